@@ -19,11 +19,16 @@ def _setting(spark: SparkSession, setting: tuple[str, int]) -> int:
 
 
 def hot_limit(spark: SparkSession, total: int) -> int:
-    """Rows a key may hold, out of ``total``, before it is treated apart."""
+    """Rows a key may hold, out of ``total``, before it is split."""
     share = -(-total // _setting(spark, HOT_KEYS))
     return max(_setting(spark, HOT_ROWS), share)
 
 
+def can_have_hot_keys(spark: SparkSession, total: int) -> bool:
+    """Whether one key could hold enough of ``total`` rows to be hot."""
+    return total > hot_limit(spark, total)
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -31,30 +36,38 @@ def lookup(
     by: Sequence[str] = (),
     how: str = "left",
     total: int | None = None,
+    counted_on: DataFrame | None = None,
 ) -> DataFrame:
     """Add the columns of ``table`` to ``rows``; ``table`` has one row per ``by`` + ``key``.
 
     ``how`` is ``"left"`` (NULLs where the key is not in the table) or ``"inner"``. ``total`` is
-    the number of ``rows``; it is counted when not given.
+    the number of ``rows`` or a bound of it; they are counted when it is not given.
+
+    The rows of a hot key are salted over as many parts as its size needs, and its one table row is
+    repeated for each part. The hot keys are broadcast to both sides; by the definition of a hot
+    key there are fewer than ``spark.archipelago.hot.keys`` of them, with twice as many parts at
+    most. If ``total`` is too small for any key to be hot, it is an ordinary join.
 
-    Rows of hot keys do not shuffle: their table rows are broadcast, of which there are fewer than
-    ``spark.archipelago.hot.keys`` by the definition of a hot key. All other rows take an ordinary
-    equi-join, where no key is large. If ``total`` is too small for any key to be hot, that join
-    is all there is.
+    Keys are counted on ``rows``, or on ``counted_on`` if that is cheaper to compute and has no
+    fewer rows of any key.
     """
     spark = rows.sparkSession
     on = [*by, key]
     if total is None:
         total = rows.count()
-    limit = hot_limit(spark, total)
-    if total <= limit:
+    if not can_have_hot_keys(spark, total):
         return rows.join(table, on, how)
 
-    hot_keys = F.broadcast(
-        rows.groupBy(*on).count().filter(F.col("count") > limit).select(*on, F.lit(True).alias("_hot"))
+    limit = hot_limit(spark, total)
+    base = rows if counted_on is None else counted_on
+    hot = F.broadcast(
+        base.groupBy(*on)
+        .count()
+        .filter(F.col("count") > limit)
+        .select(*on, F.ceil(F.col("count") / limit).cast("bigint").alias("_parts"))
     )
-    hot_table = F.broadcast(table.join(hot_keys.drop("_hot"), on, "left_semi"))
-    tagged = rows.join(hot_keys, on, "left")
-    hot = tagged.filter(F.col("_hot")).drop("_hot").join(hot_table, on, how)
-    others = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(table, on, how)
-    return hot.unionByName(others)
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), "_parts")).otherwise(0)
+    parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1)
+    salted_rows = rows.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    salted_table = table.join(hot, on, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return salted_rows.join(salted_table, [*on, "_part"], how).drop("_part")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.operators import lookup, normalise
+from archipelago.operators.lookup import can_have_hot_keys
 from archipelago.sources.round_tables import RoundTable, RoundTables
 
 
@@ -56,13 +57,17 @@ def double_pointers(
 
 
 def flatten(
-    tables: RoundTables, forest: DataFrame, total: int | None = None, by: Sequence[str] = ()
+    tables: RoundTables, forest: DataFrame, total: int, by: Sequence[str] = ()
 ) -> Flat:
     """Point every node of a forest (``node``, ``parent``) at its root.
 
-    A pointer that found no onward pointer has reached its root. Each pass follows and writes only
+    ``total`` is the number of pointers, or a bound of it. A forest large enough for hot roots is
+    written first, since it is then read several times. A pointer that found no onward pointer has reached its root. Each pass follows and writes only
     the others, so the passes get smaller.
     """
+    if can_have_hot_keys(forest.sparkSession, total):
+        trees = tables.write(forest, "forest")
+        forest, total = trees.df, trees.rows
     written = [tables.write(double_pointers(forest, forest, by, total), "pointers", moved=F.count_if("moved"))]
     settled = written[0].df.filter(~F.col("moved")).drop("moved")
     while written[-1].sums["moved"]:
@@ -79,7 +84,9 @@ def relabel(pairs: DataFrame, roots: DataFrame, by: Sequence[str], total: int) -
     of_component = roots.select(*by, F.col("node").alias("component"), F.col("parent").alias("root"))
     moved = lookup(pairs, of_node, "node", by, "inner", total).filter(F.col("src") != F.col("component"))
     # Most pairs of a sparse graph end at the root already and were dropped on the way.
-    edges = lookup(moved.select(*by, "src", "component"), of_component, "component", by, "left", total)
+    edges = lookup(
+        moved.select(*by, "src", "component"), of_component, "component", by, "left", total, pairs
+    )
     return normalise(edges.select(*by, "src", F.coalesce("root", "component").alias("dst")), by)
 
 
