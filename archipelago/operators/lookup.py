@@ -13,15 +13,16 @@ HOT_ROWS = ("spark.archipelago.hot.rows", 1_000_000)
 HOT_KEYS = ("spark.archipelago.hot.keys", 1_000_000)
 
 
-def _setting(spark: SparkSession, setting: tuple[str, int]) -> int:
-    name, default = setting
+def setting(spark: SparkSession, named: tuple[str, int]) -> int:
+    """A number from the session's settings, or its default."""
+    name, default = named
     return int(spark.conf.get(name, str(default)))
 
 
 def hot_limit(spark: SparkSession, total: int) -> int:
     """Rows a key may hold, out of ``total``, before it is split."""
-    share = -(-total // _setting(spark, HOT_KEYS))
-    return max(_setting(spark, HOT_ROWS), share)
+    share = -(-total // setting(spark, HOT_KEYS))
+    return max(setting(spark, HOT_ROWS), share)
 
 
 def can_have_hot_keys(spark: SparkSession, total: int) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.operators import dedup, emitted_pairs, normalise
-from archipelago.sources.round_tables import RoundTables
+from archipelago.sources.round_tables import RoundTable, RoundTables
 
 LOG_SCHEMA = "iteration bigint, new_pairs bigint, pairs bigint"
 
@@ -26,28 +26,41 @@ class CcfRun:
         return self.pairs.sparkSession.createDataFrame(self.log, LOG_SCHEMA)
 
 
-def run_ccf(
-    edges: DataFrame, by: Sequence[str] = (), form: str = "join", max_rounds: int = 100
-) -> CcfRun:
-    """Repeat the CCF step on ``edges`` (``src``, ``dst``) to its fixpoint.
+def ccf_steps(
+    tables: RoundTables,
+    pairs: RoundTable,
+    by: Sequence[str] = (),
+    form: str = "join",
+    max_rounds: int = 100,
+    most_pairs: int | None = None,
+) -> tuple[RoundTable, list[tuple[int, int, int]]]:
+    """Steps until none makes a new pair, or until there are more than ``most_pairs``.
 
     Each step is one job, which writes the step's pairs and counts them on the way; the driver sees
-    two numbers per step.
+    two numbers per step. Returns the last step's pairs and the log. ``pairs`` is deleted.
     """
-    tables = RoundTables(edges.sparkSession)
-    current = tables.write(normalise(edges, by), "pairs")
     log: list[tuple[int, int, int]] = []
     while True:
         if len(log) == max_rounds:
             raise RuntimeError(f"still {log[-1][1]} new pairs after {max_rounds} steps")
-        step = dedup(emitted_pairs(current.df, by, form, current.rows), by)
-        previous, current = current, tables.write(
+        step = dedup(emitted_pairs(pairs.df, by, form, pairs.rows), by)
+        previous, pairs = pairs, tables.write(
             step, "step", new_pairs=F.coalesce(F.sum("fresh"), F.lit(0))
         )
         tables.drop(previous)
-        log.append((len(log) + 1, current.sums["new_pairs"], current.rows))
-        if log[-1][1] == 0:
-            return CcfRun(current.df.select(*by, "node", "component"), log)
+        log.append((len(log) + 1, pairs.sums["new_pairs"], pairs.rows))
+        if log[-1][1] == 0 or (most_pairs is not None and pairs.rows > most_pairs):
+            return pairs, log
+
+
+def run_ccf(
+    edges: DataFrame, by: Sequence[str] = (), form: str = "join", max_rounds: int = 100
+) -> CcfRun:
+    """Repeat the CCF step on ``edges`` (``src``, ``dst``) to its fixpoint."""
+    tables = RoundTables(edges.sparkSession)
+    start = tables.write(normalise(edges, by), "pairs")
+    pairs, log = ccf_steps(tables, start, by, form, max_rounds)
+    return CcfRun(pairs.df.select(*by, "node", "component"), log)
 
 
 def iteration_log(edges: DataFrame, form: str = "join", max_rounds: int = 100) -> DataFrame:

@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archipelago.operators import component_count, with_roots, with_vertices
+from archipelago.operators.lookup import setting
 from archipelago.plans.ccf_rounds import run_ccf
 from archipelago.plans.contraction import contract
 from archipelago.sources import read_edge_file
 
-METHODS = ("contract", "ccf")
+METHODS = ("auto", "contract", "ccf")
+# Session setting: graphs with at most so many distinct edges are small.
+SMALL_PAIRS = ("spark.archipelago.small.pairs", 100_000)
 
 
 def connected_components(
     edges: DataFrame,
     vertices: DataFrame | None = None,
     include_roots: bool = True,
-    method: str = "contract",
+    method: str = "auto",
     by: Sequence[str] = (),
     form: str = "join",
     max_rounds: int = 100,
@@ -29,12 +32,18 @@ def connected_components(
     ``edges`` has ``src`` and ``dst`` (and the ``by`` columns, if several graphs run in one job);
     direction, duplicates and self-loops do not matter. Nodes without an edge appear if
     ``vertices`` (``node`` and the ``by`` columns) lists them. ``include_roots=False`` leaves out
-    the rows of nodes that are their own component. ``method`` is ``"contract"`` or ``"ccf"``
-    (``form``: see :func:`archipelago.operators.emitted_pairs`); the result is the same.
+    the rows of nodes that are their own component.
+
+    ``method`` changes the way, not the result: ``"ccf"`` repeats the CCF step (in the given
+    ``form``, see :func:`archipelago.operators.emitted_pairs`), ``"contract"`` contracts the graph,
+    and ``"auto"`` contracts it until the rest is small and then takes CCF steps.
 
     The rounds run at once; the returned DataFrame reads the last round's table.
     """
-    if method == "contract":
+    if method == "auto":
+        small = setting(edges.sparkSession, SMALL_PAIRS)
+        pairs = contract(edges, by, max_rounds, small)
+    elif method == "contract":
         pairs = contract(edges, by, max_rounds)
     elif method == "ccf":
         pairs = run_ccf(edges, by, form, max_rounds).pairs

@@ -1,7 +1,7 @@
 """Connected components by contraction: the same result as the CCF steps, for large graphs.
 
-CCF keeps linking nodes to ever smaller ids, and on long chains its pairs grow with the square of
-the chain. Here the graph shrinks instead. A round has two parts:
+CCF keeps linking nodes to ever smaller ids, and on a long chain its pairs grow to the square of
+the chain's length. Here the graph shrinks instead. A round has two parts:
 
 1. Every node with a smaller neighbour points to its smallest one. The pointers form trees, whose
    roots are the nodes without a smaller neighbour. Pointer doubling flattens the trees.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from archipelago.operators import lookup, normalise
 from archipelago.operators.lookup import can_have_hot_keys
+from archipelago.plans.ccf_rounds import ccf_steps
 from archipelago.sources.round_tables import RoundTable, RoundTables
 
 
@@ -57,24 +58,35 @@ def double_pointers(
 
 
 def flatten(
-    tables: RoundTables, forest: DataFrame, total: int, by: Sequence[str] = ()
+    tables: RoundTables,
+    forest: DataFrame,
+    total: int,
+    by: Sequence[str] = (),
+    depth: int | None = None,
 ) -> Flat:
     """Point every node of a forest (``node``, ``parent``) at its root.
 
     ``total`` is the number of pointers, or a bound of it. A forest large enough for hot roots is
-    written first, since it is then read several times. A pointer that found no onward pointer has reached its root. Each pass follows and writes only
-    the others, so the passes get smaller.
+    written first, since it is then read several times. A pointer that found no onward pointer has
+    reached its root. Each pass follows and writes only the others, so the passes get smaller.
+    ``depth`` is the longest way to a root; where it is known, no pass is spent on finding out
+    that all pointers have arrived.
     """
     if can_have_hot_keys(forest.sparkSession, total):
         trees = tables.write(forest, "forest")
         forest, total = trees.df, trees.rows
     written = [tables.write(double_pointers(forest, forest, by, total), "pointers", moved=F.count_if("moved"))]
     settled = written[0].df.filter(~F.col("moved")).drop("moved")
+    reach = 2
     while written[-1].sums["moved"]:
         moving = written[-1].df.filter("moved").drop("moved")
+        if depth is not None and reach >= depth:
+            settled = settled.unionByName(moving)
+            break
         onward = double_pointers(moving, settled.unionByName(moving), by, written[-1].sums["moved"])
         written.append(tables.write(onward, "pointers", moved=F.count_if("moved")))
         settled = settled.unionByName(written[-1].df.filter(~F.col("moved")).drop("moved"))
+        reach *= 2
     return Flat(settled, written[0].rows, written)
 
 
@@ -90,14 +102,30 @@ def relabel(pairs: DataFrame, roots: DataFrame, by: Sequence[str], total: int) -
     return normalise(edges.select(*by, "src", F.coalesce("root", "component").alias("dst")), by)
 
 
-def contract(edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 100) -> DataFrame:
-    """``node, component`` for every node that is not its component's smallest."""
+def contract(
+    edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 100, small: int = 0
+) -> DataFrame:
+    """``node, component`` for every node that is not its component's smallest.
+
+    What is left with at most ``small`` pairs is finished by CCF steps: they take one job each, and
+    at that size starting a job costs more than its rows. Should the pairs outgrow twice that, the
+    contraction goes on from there, for the pairs of any step are edges of the same components.
+    """
     tables = RoundTables(edges.sparkSession)
     current = tables.write(normalise(edges, by), "pairs")
     forests: list[Flat] = []
-    while current.rows or not forests:
-        if len(forests) == max_rounds:
+    rounds = 0
+    while current.rows:
+        if current.rows <= small:
+            current, log = ccf_steps(tables, current, by, max_rounds=max_rounds, most_pairs=2 * small)
+            if log[-1][1] == 0:
+                stars = current.df.select(*by, "node", F.col("component").alias("parent"))
+                forests.append(Flat(stars, current.rows, [current]))
+                break
+            small = 0
+        if rounds == max_rounds:
             raise RuntimeError(f"still {current.rows} edges between components after {max_rounds} rounds")
+        rounds += 1
         forest = flatten(tables, pointers(current.df, by), current.rows, by)
         forests.append(forest)
         if forest.rows == current.rows:
@@ -105,8 +133,9 @@ def contract(edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 100) ->
         between = relabel(current.df, forest.pointers, by, current.rows)
         previous, current = current, tables.write(between, "pairs")
         tables.drop(previous)
-    tables.drop(current)
 
+    if not forests:
+        return current.df.select(*by, "node", "component")
     if len(forests) == 1:
         labels = forests[0].pointers
     else:
@@ -114,6 +143,7 @@ def contract(edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 100) ->
         whole = forests[0].pointers
         for forest in forests[1:]:
             whole = whole.unionByName(forest.pointers)
-        labels = flatten(tables, whole, sum(forest.rows for forest in forests), by).pointers
+        rows = sum(forest.rows for forest in forests)
+        labels = flatten(tables, whole, rows, by, depth=len(forests)).pointers
         tables.drop(*(table for forest in forests for table in forest.tables))
     return labels.select(*by, "node", F.col("parent").alias("component"))

@@ -16,6 +16,8 @@ def spark(tmp_path_factory):
         .appName("archipelago-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.default.parallelism", "4")
+        # Plans here are many and tiny: compiling them takes longer than interpreting them.
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

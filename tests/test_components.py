@@ -42,7 +42,7 @@ COUNTS = {
     "negatives": [1, 2, 0],
     "only_a_self_loop": [0],
 }
-METHODS = [("contract", "join"), ("ccf", "join"), ("ccf", "array")]
+METHODS = [("auto", "join"), ("contract", "join"), ("ccf", "join"), ("ccf", "array")]
 
 
 def labelled(df):
@@ -67,7 +67,7 @@ def test_all_shapes_in_one_job(spark, method, form):
     assert labelled(result) == expected_of(SHAPES)
 
 
-@pytest.mark.parametrize("method", ["contract", "ccf"])
+@pytest.mark.parametrize("method", ["auto", "contract", "ccf"])
 def test_single_graph_and_roots(edges_of, method):
     with_roots = ar.connected_components(edges_of(TOY), method=method)
     assert with_roots.dtypes == [("node", "bigint"), ("component", "bigint")]
@@ -91,7 +91,7 @@ def test_iteration_log(edges_of, shape):
     assert log[-1].pairs == sum(node != c for node, c in nodes.items())
 
 
-@pytest.mark.parametrize("method", ["contract", "ccf"])
+@pytest.mark.parametrize("method", ["auto", "contract", "ccf"])
 def test_empty_graph(edges_of, method):
     result = ar.connected_components(edges_of([]), method=method)
     assert result.collect() == []
@@ -131,6 +131,29 @@ def test_hot_nodes(spark, hot_nodes, method, form):
     assert labelled(result) == expected_of(graphs)
 
 
+def test_a_small_rest_is_finished_by_ccf_steps(spark, monkeypatch):
+    monkeypatch.setattr(contraction, "RoundTables", SeenPlans)
+    graphs = random_graphs(12, 15)
+    edges = edges_with_graph(spark, graphs)
+    SeenPlans.seen = []
+    result = contract(edges, ["graph"], small=100)
+    kinds = [name for name, _ in SeenPlans.seen]
+    assert kinds[:2] == ["pairs", "pointers"] and "step" in kinds
+    assert labelled(result) == {n: c for n, c in expected_of(graphs).items() if n[1] != c}
+
+
+def test_ccf_steps_that_grow_too_much_are_given_up(spark, monkeypatch):
+    monkeypatch.setattr(contraction, "RoundTables", SeenPlans)
+    SeenPlans.seen = []
+    path = spark.range(300).selectExpr("id as src", "id + 1 as dst")
+    result = contract(path, small=300)
+    kinds = [name for name, _ in SeenPlans.seen]
+    assert kinds[:2] == ["pairs", "step"] and "pointers" in kinds
+    assert kinds.count("step") <= 2
+    assert result.count() == 300
+    assert result.filter("component <> 0").count() == 0
+
+
 def test_order_direction_duplicates_and_loops_do_not_matter(spark):
     graphs = random_graphs(9, 15)
     pick = random.Random(10)
@@ -152,7 +175,7 @@ def test_order_preserving_relabel(spark):
     assert result == {(g, 3 * n + 1): 3 * c + 1 for (g, n), c in expected_of(graphs).items()}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(-12, 12), st.integers(-12, 12)), max_size=30))
 def test_generated_graphs(spark, edges):
     df = spark.createDataFrame(edges, "src bigint, dst bigint")
