@@ -53,18 +53,22 @@ def _emit_by_join(pairs: DataFrame, symmetric: DataFrame, by: Sequence[str], tot
 
 
 def _emit_from_arrays(pairs: DataFrame, symmetric: DataFrame, by: Sequence[str], total: int) -> DataFrame:
+    # The minima meet the lists by node and part, the key the lists are grouped by: the lists do
+    # not shuffle again, and those of a large node stay spread. Only keys are joined by node alone.
     lists = adjacency_lists(symmetric, by, total=total)
+    smallest = smallest_in_neighbourhood(F.col("node"), F.col("neighbours"))
+    keys = lists.select(*by, "node", "part", smallest.alias("smallest"))
     minima = (
-        lists.select(*by, "node", smallest_in_neighbourhood(F.col("node"), F.col("neighbours")).alias("m"))
-        .groupBy(*by, "node")
-        .agg(F.min("m").alias("component"))
+        keys.groupBy(*by, "node")
+        .agg(F.min("smallest").alias("component"))
         .filter(F.col("component") != F.col("node"))
     )
+    keyed = lookup(keys.drop("smallest"), minima, "node", by, "inner", total)
     members = F.when(
         F.col("part") == 0, F.concat(F.array("node"), F.col("neighbours"))
     ).otherwise(F.col("neighbours"))
     return (
-        lookup(lists, minima, "node", by, "inner", total)
+        lists.join(keyed, [*by, "node", "part"])
         .select(*by, F.col("node").alias("centre"), "component", F.explode(members).alias("node"))
         .filter(F.col("node") != F.col("component"))
         .select(*by, "node", "component", (F.col("node") != F.col("centre")).cast("int").alias("fresh"))

@@ -31,9 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
         return checkpoint_dir
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="archipelago-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="archipelago-"))
+    return context.getCheckpointDir()
 
 
 @dataclass(frozen=True)

@@ -80,8 +80,8 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": Path(folder).name.removeprefix("sf"),
-                "cpus": cpus,
+                "sf": float(Path(folder).name.removeprefix("sf")),
+                "cpus": int(cpus),
             }
         )
     )

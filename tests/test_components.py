@@ -256,23 +256,40 @@ def test_superseded_tables_are_deleted(spark, edges_of):
     assert len(os.listdir(f"{shared}/{new}")) == 1
 
 
-def test_round_tables_need_a_shared_folder_on_a_cluster(spark):
-    class Context:
-        master = "yarn"
+class FakeSession:
+    """A session without a checkpoint folder."""
 
-        def getCheckpointDir(self):
-            return None
+    def __init__(self, master):
+        self.sparkContext = self
+        self.conf = self
+        self.master = master
+        self.folder = None
 
-    class Session:
-        sparkContext = Context()
+    def get(self, name, default):
+        return default
 
-        class conf:
-            @staticmethod
-            def get(name, default):
-                return default
+    def getCheckpointDir(self):
+        return self.folder
 
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_round_tables_need_a_shared_folder_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        round_tables.shared_folder(Session())
+        round_tables.shared_folder(FakeSession("yarn"))
+
+
+def test_local_mode_gets_a_folder_of_its_own():
+    local = FakeSession("local[2]")
+    folder = round_tables.shared_folder(local)
+    assert os.path.isdir(folder)
+    assert round_tables.shared_folder(local) == folder
+
+
+def test_the_sessions_folder_is_used(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert round_tables.RoundTables(spark).folder.startswith(f"{named}/archipelago-")
 
 
 def test_written_sums(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import archipelago as ar
-from archipelago.operators import as_edges, emitted_pairs
+from archipelago.operators import adjacency_lists, as_edges, emitted_pairs
 from tests.model import step
 
 TOY = [(1, 2), (2, 3), (2, 4), (4, 5), (6, 7), (7, 8)]
@@ -83,6 +83,18 @@ def test_step_with_hot_nodes(edges_of, hot_nodes, form):
     assert set(rows(ar.ccf_step(ar.normalise(edges_of(edges)), form=form))) == expected
 
 
+def test_array_form_with_split_lists(edges_of, monkeypatch):
+    from archipelago.operators import ccf
+
+    short = lambda symmetric, by, total: adjacency_lists(symmetric, by, list_length=5, total=total)
+    monkeypatch.setattr(ccf, "adjacency_lists", short)
+    edges = [(1, n) for n in range(2, 40)] + [(n, 50) for n in range(30, 45)] + random_edges(4, 40, 60)
+    expected, new = step(edges)
+    pairs = ar.normalise(edges_of(edges))
+    assert set(rows(ar.ccf_step(pairs, form="array"))) == expected
+    assert emitted_pairs(pairs, form="array").agg(F.sum("fresh")).first()[0] == new
+
+
 def test_unknown_form(edges_of):
     with pytest.raises(ValueError):
         ar.ccf_step(ar.normalise(edges_of(TOY)), form="other")
