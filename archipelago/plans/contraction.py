@@ -27,6 +27,10 @@ from archipelago.plans.ccf_rounds import ccf_steps
 from archipelago.sources.round_tables import RoundTable, RoundTables
 
 
+# Moving pointers are few if they are at most this fraction (one in FEW) of a large forest.
+FEW = 20
+
+
 @dataclass(frozen=True)
 class Flat:
     """Pointers to roots, how many there are, and the tables they are read from."""
@@ -57,6 +61,20 @@ def double_pointers(
     )
 
 
+def targets(
+    moving: DataFrame, forest: DataFrame, by: Sequence[str], moved: int, total: int
+) -> DataFrame:
+    """The pointers of ``forest`` that ``moving`` can run into, if looking for them pays.
+
+    A join with few rows still shuffles all of the other side if it has to keep every one of the
+    few. Filtering that side by their parents first lets Spark broadcast the parents instead.
+    """
+    if moved * FEW > total or not can_have_hot_keys(moving.sparkSession, total):
+        return forest
+    parents = moving.select(*by, F.col("parent").alias("node")).distinct()
+    return forest.join(parents, [*by, "node"], "left_semi")
+
+
 def flatten(
     tables: RoundTables,
     forest: DataFrame,
@@ -83,7 +101,9 @@ def flatten(
         if depth is not None and reach >= depth:
             settled = settled.unionByName(moving)
             break
-        onward = double_pointers(moving, settled.unionByName(moving), by, written[-1].sums["moved"])
+        moved = written[-1].sums["moved"]
+        ahead = targets(moving, settled.unionByName(moving), by, moved, total)
+        onward = double_pointers(moving, ahead, by, moved)
         written.append(tables.write(onward, "pointers", moved=F.count_if("moved")))
         settled = settled.unionByName(written[-1].df.filter(~F.col("moved")).drop("moved"))
         reach *= 2

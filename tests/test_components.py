@@ -117,6 +117,14 @@ def random_graphs(seed, n):
     return graphs
 
 
+def test_few_moving_pointers_in_a_large_forest(spark, hot_nodes):
+    # 600 stars and one chain: after the first pass only the chain's pointers move on.
+    stars = [(10_000 + 10 * n, 10_000 + 10 * n + m) for n in range(600) for m in range(1, 4)]
+    edges = stars + [(n, n + 1) for n in range(20)]
+    result = ar.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint"), method="contract")
+    assert labelled(result) == {(n,): c for n, c in components(edges).items()}
+
+
 @pytest.mark.parametrize(("method", "form"), METHODS)
 def test_many_random_graphs(spark, method, form):
     graphs = random_graphs(7, 60)

@@ -123,6 +123,7 @@ def oracle_sql() -> dict[str, str]:
             from documents left join cc on node = doc_id""",
         "cc_by_ccf_array": _cc("bulk_order_part"),
         "cc_by_ccf_join": _cc("part_supplier"),
+        "cc_by_contraction": _cc("order_part"),
         "component_count": f"{bulk} select count(distinct component) as components from cc",
         "component_count_file": f"{bulk} select count(distinct component) as components from cc",
         "component_count_pairs": f"{bulk} select count(distinct component) as components from cc",

@@ -136,6 +136,10 @@ def cc_by_ccf_join(spark: SparkSession, folder: str) -> DataFrame:
     return ar.connected_components(graphs.part_supplier(spark, folder), method="ccf", form="join")
 
 
+def cc_by_contraction(spark: SparkSession, folder: str) -> DataFrame:
+    return ar.connected_components(graphs.order_part(spark, folder), method="contract")
+
+
 def component_count(spark: SparkSession, folder: str) -> DataFrame:
     return ar.component_count(bulk_components(spark, folder))
 
@@ -201,6 +205,7 @@ def queries() -> dict[str, Query]:
             cc_documents_all,
             cc_by_ccf_array,
             cc_by_ccf_join,
+            cc_by_contraction,
             component_count,
             component_count_pairs,
             component_count_file,
