@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Session settings: a key is hot when it holds more rows than both ``hot.rows`` and
-# total / ``hot.keys``. Fewer than ``hot.keys`` keys can be that large, which bounds the broadcast.
-HOT_ROWS = ("spark.archipelago.hot.rows", 1_000_000)
+# Session settings: a key is hot when it holds more rows than both ``hot.rows`` (about what one task
+# should get) and total / ``hot.keys``. Fewer than ``hot.keys`` keys can be that large, which bounds the broadcast.
+HOT_ROWS = ("spark.archipelago.hot.rows", 4_000_000)
 HOT_KEYS = ("spark.archipelago.hot.keys", 1_000_000)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from archipelago.operators import lookup
-from archipelago.operators.lookup import hot_limit
+from archipelago.operators.lookup import HOT_KEYS, HOT_ROWS, hot_limit
 
 
 def collected(df):
@@ -42,6 +42,6 @@ def test_plain_join_where_no_key_can_be_hot(spark, tables, hot_nodes):
 
 
 def test_hot_limit_bounds_the_number_of_hot_keys(spark):
-    assert hot_limit(spark, 10) == 1_000_000
+    assert hot_limit(spark, 10) == HOT_ROWS[1]
     total = 6 * 10**12 + 1
-    assert total / hot_limit(spark, total) <= 1_000_000
+    assert total / hot_limit(spark, total) <= HOT_KEYS[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from workload.graphs import EDGE_SQL
 
-MULTI = ("bulk_order_part", "customer_order", "doc_lines")
+MULTI = ("order_part", "customer_order", "doc_lines")
 PREVIEW_ROWS = 20
 
 
@@ -97,7 +97,8 @@ def _log(name: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     edges = EDGE_SQL["order_part"]
-    bulk = _components(EDGE_SQL["bulk_order_part"])
+    documents = _components(EDGE_SQL["doc_lines"])
+    count = "select count(distinct component) as components from cc"
     wide = f"""{_graph_components()},
         counts as (
             select graph, count(*) as nodes, count(distinct component) as components
@@ -116,20 +117,20 @@ def oracle_sql() -> dict[str, str]:
         "ccf_step_join": _step_pairs("order_part"),
         "ccf_step_array": _step_pairs("order_part"),
         "new_pair_count": f"{_step(edges)} select count(*) as new_pairs from emitted",
-        "cc_pairs_no_roots": f"{bulk} select node, component from cc where node <> component",
-        "cc_pairs_by_component": f"{bulk} select component, node from cc where node <> component",
-        "cc_documents_all": f"""{_components(EDGE_SQL["doc_lines"])}
+        "cc_pairs_no_roots": f"{documents} select node, component from cc where node <> component",
+        "cc_pairs_by_component": f"{documents} select component, node from cc where node <> component",
+        "cc_documents_all": f"""{documents}
             select doc_id as node, coalesce(component, doc_id) as component
             from documents left join cc on node = doc_id""",
-        "cc_by_ccf_array": _cc("bulk_order_part"),
+        "cc_by_ccf_array": _cc("order_part"),
         "cc_by_ccf_join": _cc("part_supplier"),
         "cc_by_contraction": _cc("order_part"),
-        "component_count": f"{bulk} select count(distinct component) as components from cc",
-        "component_count_file": f"{bulk} select count(distinct component) as components from cc",
-        "component_count_pairs": f"{bulk} select count(distinct component) as components from cc",
-        "component_sizes": f"{bulk} select component, count(*) as members from cc group by component",
+        "component_count": f"{documents} {count}",
+        "component_count_file": f"{_components(EDGE_SQL['customer_order'])} {count}",
+        "component_count_pairs": f"{documents} {count}",
+        "component_sizes": f"{documents} select component, count(*) as members from cc group by component",
         "multi_graph_counts": f"{wide} select graph, components from counts",
-        "ordered_preview": f"""{bulk} select node, component from cc
+        "ordered_preview": f"""{documents} select node, component from cc
             order by component, node limit {PREVIEW_ROWS}""",
         "unpivot_report": f"""{wide}
             select graph, 'nodes' as measure, nodes as number from counts

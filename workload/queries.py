@@ -112,10 +112,11 @@ def log_query(edge_set: EdgeSet) -> Query:
 
 
 bulk_components = cc_query(graphs.bulk_order_part)
+document_components = cc_query(graphs.doc_lines)
 
 
 def cc_pairs_no_roots(spark: SparkSession, folder: str) -> DataFrame:
-    return ar.connected_components(graphs.bulk_order_part(spark, folder), include_roots=False)
+    return ar.connected_components(graphs.doc_lines(spark, folder), include_roots=False)
 
 
 def cc_pairs_by_component(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +130,7 @@ def cc_documents_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cc_by_ccf_array(spark: SparkSession, folder: str) -> DataFrame:
-    return ar.connected_components(graphs.bulk_order_part(spark, folder), method="ccf", form="array")
+    return ar.connected_components(graphs.order_part(spark, folder), method="ccf", form="array")
 
 
 def cc_by_ccf_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +142,7 @@ def cc_by_contraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def component_count(spark: SparkSession, folder: str) -> DataFrame:
-    return ar.component_count(bulk_components(spark, folder))
+    return ar.component_count(document_components(spark, folder))
 
 
 def component_count_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,11 +150,11 @@ def component_count_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def component_count_file(spark: SparkSession, folder: str) -> DataFrame:
-    return ar.component_count_from_file(spark, written_edge_file(graphs.bulk_order_part(spark, folder)))
+    return ar.component_count_from_file(spark, written_edge_file(graphs.customer_order(spark, folder)))
 
 
 def component_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return ar.component_sizes(bulk_components(spark, folder))
+    return ar.component_sizes(document_components(spark, folder))
 
 
 def several_graphs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -178,7 +179,7 @@ def unpivot_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ordered_preview(spark: SparkSession, folder: str) -> DataFrame:
-    return ar.ordered_preview(bulk_components(spark, folder), PREVIEW_ROWS, "component", "node")
+    return ar.ordered_preview(document_components(spark, folder), PREVIEW_ROWS, "component", "node")
 
 
 def write_read_assignments(spark: SparkSession, folder: str) -> DataFrame:
