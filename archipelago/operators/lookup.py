@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Session settings: a key is hot when it holds more rows than both ``hot.rows`` (about what one task
-# should get) and total / ``hot.keys``. Fewer than ``hot.keys`` keys can be that large, which bounds the broadcast.
+# should get) and total / ``hot.keys``. Fewer than ``hot.keys`` keys can be that large, which bounds
+# the broadcast.
 HOT_ROWS = ("spark.archipelago.hot.rows", 4_000_000)
 HOT_KEYS = ("spark.archipelago.hot.keys", 1_000_000)
+# Rows of a key at the limit that are looked at to find it.
+ROWS_SEEN = 10_000
 
 
 def setting(spark: SparkSession, named: tuple[str, int]) -> int:
@@ -30,6 +33,20 @@ def can_have_hot_keys(spark: SparkSession, total: int) -> bool:
     return total > hot_limit(spark, total)
 
 
+def hot_keys(rows: DataFrame, on: Sequence[str], limit: int) -> DataFrame:
+    """The keys with more than ``limit`` rows, and in ``_parts`` how many times that they have."""
+    one_in = max(1, limit // ROWS_SEEN)
+    if one_in > 1:
+        rows = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(one_in)) == 0)
+    size = F.col("count") * one_in
+    return (
+        rows.groupBy(*on)
+        .count()
+        .filter(size > limit)
+        .select(*on, F.ceil(size / limit).cast("bigint").alias("_parts"))
+    )
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -46,11 +63,13 @@ def lookup(
 
     The rows of a hot key are salted over as many parts as its size needs, and its one table row is
     repeated for each part. The hot keys are broadcast to both sides; by the definition of a hot
-    key there are fewer than ``spark.archipelago.hot.keys`` of them, with twice as many parts at
-    most. If ``total`` is too small for any key to be hot, it is an ordinary join.
+    key there are no more than about ``spark.archipelago.hot.keys`` of them, with twice as many
+    parts at most. If ``total`` is too small for any key to be hot, it is an ordinary join.
 
-    Keys are counted on ``rows``, or on ``counted_on`` if that is cheaper to compute and has no
-    fewer rows of any key.
+    Hot keys are looked for among a part of the rows, chosen by a hash of their content so that
+    both sides of the join see the same keys. Only the choice of keys to split rests on that: every
+    row is joined, and the result is the same for any choice. They are taken from ``rows``, or from
+    ``counted_on`` if that is cheaper to compute and has no fewer rows of any key.
     """
     spark = rows.sparkSession
     on = [*by, key]
@@ -59,14 +78,7 @@ def lookup(
     if not can_have_hot_keys(spark, total):
         return rows.join(table, on, how)
 
-    limit = hot_limit(spark, total)
-    base = rows if counted_on is None else counted_on
-    hot = F.broadcast(
-        base.groupBy(*on)
-        .count()
-        .filter(F.col("count") > limit)
-        .select(*on, F.ceil(F.col("count") / limit).cast("bigint").alias("_parts"))
-    )
+    hot = F.broadcast(hot_keys(rows if counted_on is None else counted_on, on, hot_limit(spark, total)))
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), "_parts")).otherwise(0)
     parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1)
     salted_rows = rows.join(hot, on, "left").withColumn("_part", part).drop("_parts")
