@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipelago.llm import chat, line_runs, mixing, near_copies, quality, warc
+from archipelago.llm import chat, line_runs, mixing, near_copies, quality, token_files, warc
 from archipelago.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,23 @@ def op3_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.near_copies(table(spark, folder, "documents")).drop("node")
 
 
+def op4_rans_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(table(spark, folder, "documents"))
+
+
+def token_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Write documents to a token file and read it back, as digests per document.
+
+    ``tokenizer`` is the path of the tokenizer's file, by default that of the public byte-level one.
+    """
+    import public_tokenizers
+
+    path = token_files.new_path(docs.sparkSession)
+    with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json")) as file:
+        token_files.write_tokens(docs, file.read(), path)
+    return token_files.read_tokens(docs.sparkSession, path).drop("ids")
+
+
 def op5_mcd_quality(spark: SparkSession, folder: str) -> DataFrame:
     verdicts = quality.judged(table(spark, folder, "documents"))
     return verdicts.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
