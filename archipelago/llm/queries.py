@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipelago.llm import chat, line_runs, mixing, near_copies, quality, token_files, warc
+from archipelago.llm import chat, decontaminate, line_runs, mixing, near_copies, quality, token_files, warc
 from archipelago.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_fm_index(spark: SparkSession, folder: str) -> DataFrame:
+    marked = decontaminate.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), "doc_id"
+    )
+    items = F.array_join(F.array_sort(F.transform("items", lambda item: item.cast("string"))), ",")
+    return marked.select(
+        "doc_id",
+        "n_words",
+        decontaminate.hit_words().alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op3_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.near_copies(table(spark, folder, "documents")).drop("node")
 
