@@ -170,3 +170,17 @@ def find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(table, values), len(table) - 1)
     return at, table[at] == values
+
+
+def split_runs(part: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The places of each part, in their order."""
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.searchsorted(part[order], np.arange(1, parts)))
+
+
+def merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and the sums of their counts."""
+    if not values:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found, at = np.unique(np.concatenate(values), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipelago.llm import chat, decontaminate, line_runs, mixing, near_copies, quality, token_files, warc
+from archipelago.llm import chat, decontaminate, line_runs, mixing, near_copies, ppm, quality, token_files, warc
 from archipelago.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.ppm_scores(table(spark, folder, "documents"))
+
+
 def op2_fm_index(spark: SparkSession, folder: str) -> DataFrame:
     marked = decontaminate.contaminated(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"), "doc_id"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,21 +100,5 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]
         yield shard, from_ipc(payloads)
 
 
-def messages(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """Rows as a batch."""
-    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(column), kind.type) for column, kind in zip(columns, schema, strict=True)],
-        schema=schema,
-    )
-
-
 def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
-
-
-def split_by(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts the values of each part together, and where each part begins in it."""
-    part = (values % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
