@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipelago.llm import chat, decontaminate, line_runs, mixing, near_copies, ppm, quality, token_files, warc
+from archipelago.llm import chat, decontaminate, line_runs, mixing, near_copies, ppm, quality, repeats, token_files, warc
 from archipelago.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,18 @@ def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derivatives(sources, "page_id")
 
 
+def op7_bucket_refinement(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = repeats.without_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["start"])
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_runs.drop_repeated_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
