@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipelago.llm.tables import row_key, union
+from archipelago.llm.tables import row_key, spread_join, union
 from archipelago.sources.round_tables import RoundTable, RoundTables
 
 # Code points that a key needs, and documents that must hold it.
@@ -140,8 +140,7 @@ def drop_repeated_lines(
     docs = docs.select("doc_id", "text")
     repeated = repeated_lines(docs, batches, length, documents)
     lost = (
-        keyed_lines(docs, length)
-        .join(repeated, "line")
+        spread_join(keyed_lines(docs, length), repeated, ["line"], "a")
         .filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("largest")))
         .groupBy("a", "b")
         .agg(F.collect_set("place").alias("places"))

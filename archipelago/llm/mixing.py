@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archipelago.llm.tables import row_key, written
+from archipelago.llm.tables import row_key, spread_join, written
 
 # Fixed values of the mix: the weights in turn, the share of all sizes, and the cap.
 WEIGHTS = (3, 1, 2)
@@ -162,7 +162,9 @@ def _balance(units: DataFrame, land: bool) -> DataFrame:
         moved = chance
         return group.set_column(group.column_names.index("chance"), "chance", pa.array(moved))
 
-    return units.groupBy("missing", "name", "chunk").applyInArrow(run, units.schema)
+    # Dealt by chunk, or all chunks of a source would stay where a join by source has brought them.
+    dealt = units.repartition("missing", "name", "chunk")
+    return dealt.groupBy("missing", "name", "chunk").applyInArrow(run, units.schema)
 
 
 def cube_sample(units: DataFrame) -> DataFrame:
@@ -175,7 +177,7 @@ def cube_sample(units: DataFrame) -> DataFrame:
     most = chunks.agg(F.max("chunks")).first()[0]
     if most is None:
         return units
-    open_ = units.join(chunks, list(by)).withColumn("chunk", F.pmod(F.xxhash64("a", "b"), "chunks"))
+    open_ = spread_join(units, chunks, list(by), "a").withColumn("chunk", F.pmod(F.xxhash64("a", "b"), "chunks"))
     open_, decided = open_.drop("chunks"), None
     while True:
         moved = written(_balance(open_, land=most <= 1), "cube-pass")
@@ -214,13 +216,13 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     ).select(*by, "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + F.lit(_EPS))
-    open_ = units.join(targets, by).select(
+    aimed = spread_join(units, targets, by, "a")
+    open_ = aimed.select(
         "a", "b", *by, "size", "rows", F.greatest(rate - whole, F.lit(0.0)).alias("chance")
     )
     chosen = cube_sample(open_).select("a", "b", F.round("chance").cast("bigint").alias("chosen"))
     return (
-        units.join(targets, by)
-        .join(chosen, ["a", "b"])
+        aimed.join(chosen, ["a", "b"])
         .withColumn("copies", whole + F.col("chosen"))
         .select("doc_id", "source", "a", "b", "rows", "size", "source_size", "target", "copies")
     )

@@ -26,7 +26,7 @@ from archipelago.llm.arrays import (
     text_pieces,
     words,
 )
-from archipelago.llm.tables import row_key, written
+from archipelago.llm.tables import row_key, spread_join, written
 
 # Fixed values of the base rules.
 FEWEST_WORDS = 20
@@ -178,7 +178,7 @@ def _group(rows: DataFrame) -> DataFrame:
             rows = rows.withColumn("grp", name)
             continue
         small = rows.groupBy("grp").count().filter(F.col("count") < FEWEST).select("grp", F.lit(True).alias("_few"))
-        rows = rows.join(small, "grp", "left").withColumn("grp", F.when(F.col("_few"), name).otherwise(F.col("grp"))).drop("_few")
+        rows = spread_join(rows, small, ["grp"], "a", "left").withColumn("grp", F.when(F.col("_few"), name).otherwise(F.col("grp"))).drop("_few")
     return rows
 
 
@@ -208,7 +208,7 @@ def _standardised(rows: DataFrame) -> DataFrame:
         value = (F.col(f"x_{n}") - F.col(f"u_{n}.middle")) / F.col(f"u_{n}.scale")
         return F.round(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), value)) * STEP).cast("bigint").alias(f"z_{n}")
 
-    return rows.join(units, "grp", "left").select("a", "b", "grp", "fit", *map(z, VECTOR))
+    return spread_join(rows, units, ["grp"], "a", "left").select("a", "b", "grp", "fit", *map(z, VECTOR))
 
 
 def _distance() -> Column:
@@ -256,7 +256,7 @@ def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     sums |= {f"p_{i}_{j}": F.sum(z[i] * z[j]) for i in size for j in size if i <= j}
     binned = (
         rows.filter("fit")
-        .join(estimates, "grp")
+        .transform(lambda fit: spread_join(fit, estimates, ["grp"], "a"))
         .withColumn("bin", bin_)
         .groupBy("grp", "bin")
         .agg(F.count(F.lit(1)).alias("n"), *[column.alias(name) for name, column in sums.items()])
@@ -299,7 +299,7 @@ def judged(docs: DataFrame) -> DataFrame:
     )
     for _ in range(STEPS):
         estimates = _concentrate(z, estimates)
-    distances = z.join(estimates, "grp", "left").select("a", "b", _distance().alias("distance"))
+    distances = spread_join(z, estimates, ["grp"], "a", "left").select("a", "b", _distance().alias("distance"))
     limit = chi_square_quantile(1 - TAIL, size)
     near = F.coalesce(F.col("distance") <= limit, F.lit(True))
     return rows.join(distances, ["a", "b"]).select(

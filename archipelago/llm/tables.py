@@ -100,5 +100,16 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]
         yield shard, from_ipc(payloads)
 
 
+def spread_join(rows: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner", parts: int = 32) -> DataFrame:
+    """Join where one key may hold a large part of ``rows``.
+
+    The rows of a key are dealt to ``parts`` tasks by a hash of their column ``by``; each row of
+    ``small`` (one for each key) is there once for every one of them.
+    """
+    many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    return salted.join(many, [*on, "_salt"], how).drop("_salt")
+
+
 def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -17,7 +17,7 @@ CRLF = "\r\n"
 # The date of pages that come without one.
 NO_DATE = "1970-01-01T00:00:00Z"
 # Elements whose content isn't text, and elements that end a line.
-HIDDEN = "script|style|noscript|template|head"
+HIDDEN = ("script", "style", "noscript", "template", "head")
 BREAKS = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|nav|header|footer|blockquote|pre|hr"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -60,7 +60,8 @@ def responses(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
 def plain_text(html: Column) -> Column:
     """The visible text of a page: a line for each block of text, white space within lines as one blank."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, rf"(?is)<({HIDDEN})\b[^>]*>.*?</\1\s*>", "")
+    for name in HIDDEN:
+        text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
     text = F.regexp_replace(text, r"[\r\n\t ]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?({BREAKS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")

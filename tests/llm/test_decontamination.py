@@ -1,0 +1,94 @@
+"""Benchmark passages by FM-index."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from archipelago.llm import decontaminate
+from archipelago.llm.fm_index import FMIndex, suffix_array
+from tests.llm import brute
+from tests.llm.conftest import same
+
+ITEMS = "item_id bigint, text string"
+
+
+@pytest.fixture(scope="module")
+def items(rows):
+    long = next(t for _, t, *_ in rows if t and len(t) > 10_000).split()
+    passage = " ".join(long[100:130])
+    return [
+        (1, passage.upper()),
+        (2, " ".join(long[120:128])),  # fewer than ten words
+        (3, "one"),
+        (3, passage),
+        (10, " ".join(long[5:16]) + " never seen"),
+        (None, " ".join(long[300:312])),
+        (7, None),
+        (8, ""),
+        (9, "..."),
+    ]
+
+
+def marked(docs, benchmark):
+    found = decontaminate.contaminated(docs, benchmark, "doc_id").collect()
+    out = []
+    for row in found:
+        hit = {w for s in row["spans"] for w in range(s["first"], s["last"])}
+        assert len(hit) == sum(s["last"] - s["first"] for s in row["spans"])
+        for s in row["spans"]:
+            words = brute.TOKEN.findall(row["text"].encode()[s["start"] : s["end"]].decode().translate(brute.LOWER))
+            assert words == brute.TOKEN.findall(brute.lower(row["text"]))[s["first"] : s["last"]]
+        out.append((row["doc_id"], row["n_words"], sorted(hit), sorted(row["items"])))
+    return out
+
+
+def test_against_brute_force(spark, docs, rows, items):
+    expected = [(d, n, sorted(h), sorted(i)) for d, n, h, i in brute.passages([r[:2] for r in rows], items)]
+    same(marked(docs, spark.createDataFrame(items, ITEMS)), expected)
+
+
+def test_many_blocks_of_items(spark, docs, rows, items, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 100)
+    monkeypatch.setattr(decontaminate, "SHARD", 2000)
+    expected = [(d, n, sorted(h), sorted(i)) for d, n, h, i in brute.passages([r[:2] for r in rows], items)]
+    same(marked(docs, spark.createDataFrame(items, ITEMS)), expected)
+
+
+def test_empty_tables(spark, docs, no_docs, rows):
+    nothing = spark.createDataFrame([], ITEMS)
+    assert marked(no_docs, nothing) == []
+    assert all(hit == [] and found == [] for _, _, hit, found in marked(docs, nothing))
+    assert len(marked(docs, nothing)) == len(rows)
+
+
+def test_clean_rows_stay_as_they_are(spark, docs, rows, items):
+    clean = decontaminate.drop_contaminated(docs, spark.createDataFrame(items, ITEMS))
+    assert clean.columns == docs.columns
+    expected = [r for r, (_, _, hit, _) in zip(rows, brute.passages([r[:2] for r in rows], items), strict=True) if not hit]
+    same(clean.select("doc_id", "text", "lang", "source", "n_chars").collect(), expected)
+    assert clean.filter("spans <> 'extra spans' or n_words <> 'extra n_words'").count() == 0
+
+
+def test_cut_spans():
+    assert decontaminate.cut_spans(b"abcdef", [(0, 2), (3, 4)]) == b"cef"
+
+
+def test_index_counts_and_locates():
+    draw = np.random.default_rng(0)
+    for _ in range(100):
+        sequence = draw.integers(0, 4, draw.integers(1, 60))
+        index = FMIndex(sequence)
+        for length in (1, 2, 5):
+            phrases = draw.integers(1, 5, (8, length))
+            for phrase, low, high in zip(phrases, *index.search(phrases), strict=True):
+                places = [i for i in range(len(sequence) - length + 1) if (sequence[i : i + length] == phrase).all()]
+                assert sorted(index.locate(np.arange(low, high)).tolist()) == places
+
+
+def test_suffixes_are_sorted():
+    sequence = np.array([1, 2, 1, 2, 1, 0, 1, 2, 1, 0, 2, 0])
+    suffixes = suffix_array(sequence).tolist()
+    zeros = {p: i for i, p in enumerate(np.flatnonzero(sequence == 0).tolist())}
+    keys = [[(0, zeros[p]) if p in zeros else (1, int(sequence[p])) for p in range(s, len(sequence))] for s in suffixes]
+    assert sorted(suffixes) == list(range(len(sequence))) and keys == sorted(keys)

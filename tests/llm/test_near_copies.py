@@ -1,0 +1,65 @@
+"""HyperMinHash near copies."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from archipelago.llm import near_copies
+from tests.llm import brute
+from tests.llm.conftest import same
+
+
+def expected(rows):
+    pairs = [r[:2] for r in rows]
+    groups = brute.near_groups(pairs)
+    least = {}
+    for (doc_id, _), group in zip(pairs, groups, strict=True):
+        if doc_id is not None:
+            least[group] = min(least.get(group, doc_id), doc_id)
+    return [
+        (doc_id, len(brute.shingles(text)), least.get(group), doc_id == least.get(group))
+        for (doc_id, text), group in zip(pairs, groups, strict=True)
+    ]
+
+
+def test_against_brute_force(docs, rows):
+    same(near_copies.near_copies(docs).drop("node").collect(), expected(rows))
+
+
+def test_empty_table(no_docs):
+    assert near_copies.near_copies(no_docs).collect() == []
+
+
+def test_kept_rows_stay_as_they_are(docs, rows):
+    kept = near_copies.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    wanted = [r for r, (*_, keep) in zip(rows, expected(rows), strict=True) if keep]
+    same(kept.select("doc_id", "text", "lang", "source", "n_chars").collect(), wanted)
+
+
+def test_members_that_the_smallest_does_not_settle(spark, monkeypatch):
+    """A chain in which neighbours are linked and the ends are not, in blocks of two."""
+    monkeypatch.setattr(near_copies, "BLOCK", 2)
+    words = [f"w{i}" for i in range(260)]
+    texts = [" ".join(words[i * 12 : i * 12 + 130]) for i in range(10)]
+    texts += [t + " more words here" for t in texts] + ["another text of a few words only"] * 3
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same(near_copies.near_copies(docs).drop("node").collect(), expected(rows))
+
+
+def test_registers_estimate_similarity():
+    draw = np.random.default_rng(3)
+    both = draw.integers(0, 2**63, 700, dtype=np.uint64)
+    a = np.concatenate((both, draw.integers(0, 2**63, 150, dtype=np.uint64)))
+    b = np.concatenate((both, draw.integers(0, 2**63, 150, dtype=np.uint64)))
+    sketch = near_copies.registers(np.concatenate((a, b)), np.array([0, len(a), len(a), len(a) + len(b)]))
+    assert sketch.shape == (2, near_copies.REGISTERS)
+    assert abs(near_copies.agreement(sketch[0], sketch[1]) - 0.7) < 0.15
+
+
+def test_registers_hold_zeros_and_mantissa():
+    low = np.array([1 << 63, (1 << 63) | (1 << 62), 1 << 40, 0, (1 << 53) - 1, (1 << 64) - 1], np.uint64)
+    packed = near_copies.compressed(low)
+    assert (packed >> 10).tolist() == [0, 0, 23, 53, 11, 0]
+    assert (packed & 1023).tolist() == [0, 512, 0, 0, 1023, 1023]
