@@ -22,8 +22,10 @@ from archipelago.plans import (
     run_ccf,
 )
 from archipelago.sources import (
+    RoundTables,
     edges_from_columns,
     edges_from_shared_value,
+    kind_and_id,
     parse_edge_lines,
     read_assignments,
     read_edge_file,
@@ -32,6 +34,7 @@ from archipelago.sources import (
 )
 
 __all__ = [
+    "RoundTables",
     "adjacency_lists",
     "by_component",
     "ccf_step",
@@ -42,6 +45,7 @@ __all__ = [
     "edges_from_columns",
     "edges_from_shared_value",
     "iteration_log",
+    "kind_and_id",
     "multi_graph",
     "multi_graph_counts",
     "neighbour_min",

@@ -15,63 +15,79 @@ from pyspark.sql import functions as F
 
 from archipelago.functions import smallest_in_neighbourhood
 from archipelago.operators.lookup import lookup
-from archipelago.operators.neighbours import adjacency_lists
+from archipelago.operators.neighbours import LIST_LENGTH, split_lists
 from archipelago.operators.pairs import as_edges, symmetrize
+from archipelago.sources.round_tables import RoundTables
 
 FORMS = ("join", "array")
 
 
 def emitted_pairs(
-    pairs: DataFrame, by: Sequence[str] = (), form: str = "join", total: int | None = None
+    pairs: DataFrame,
+    by: Sequence[str] = (),
+    form: str = "join",
+    total: int | None = None,
+    hot_rows: int | None = None,
+    list_length: int = LIST_LENGTH,
+    tables: RoundTables | None = None,
 ) -> DataFrame:
     """``node, component, fresh``: all pairs of one step; ``fresh`` is 1 on new pairs, else 0.
 
-    ``form="join"`` joins the minima back to the edges. ``form="array"`` gathers neighbour lists of
-    bounded length and unfolds them again. Both emit the same rows. ``total`` is the number of
-    pairs, counted when not given.
+    ``pairs`` must be distinct; they are read more than once. ``form="join"`` joins the minima back to
+    the edges. ``form="array"`` gathers neighbour lists of bounded length and unfolds them again; which
+    nodes need several lists is written to ``tables`` first. Both emit the same rows. ``total``
+    is the number of pairs, where it is known.
     """
     if form not in FORMS:
         raise ValueError(f"form must be one of {FORMS}, not {form!r}")
-    if total is None:
-        total = pairs.count()
     symmetric = symmetrize(as_edges(pairs, by), by)
-    emit = _emit_from_arrays if form == "array" else _emit_by_join
-    return emit(pairs, symmetric, by, 2 * total)
-
-
-def _emit_by_join(pairs: DataFrame, symmetric: DataFrame, by: Sequence[str], total: int) -> DataFrame:
+    both = None if total is None else 2 * total
     # A pair's component is always the smaller end, so the smallest neighbour of a node is the
     # smallest component among its pairs, and nodes that are their own minimum have no row here.
-    minima = pairs.groupBy(*by, F.col("node").alias("src")).agg(F.min("component").alias("component"))
-    neighbours = (
-        lookup(symmetric, minima, "src", by, "inner", total)
+    minima = pairs.groupBy(*by, "node").agg(F.min("component").alias("component"))
+    if form == "join":
+        neighbours = _by_join(symmetric, minima, by, both, hot_rows)
+    else:
+        tables = tables or RoundTables(pairs.sparkSession)
+        neighbours = _from_arrays(symmetric, minima, by, both, hot_rows, list_length, tables)
+    own = minima.select(*by, "node", "component", F.lit(0).alias("fresh"))
+    return neighbours.unionByName(own)
+
+
+def _by_join(
+    symmetric: DataFrame, minima: DataFrame, by: Sequence[str], total: int | None, hot_rows: int | None
+) -> DataFrame:
+    """The new pairs, from the edges joined to the minima."""
+    smallest = minima.withColumnRenamed("node", "src")
+    return (
+        lookup(symmetric, smallest, "src", by, "inner", total, hot_rows=hot_rows)
         .filter(F.col("dst") != F.col("component"))
         .select(*by, F.col("dst").alias("node"), "component", F.lit(1).alias("fresh"))
     )
-    own = minima.select(*by, F.col("src").alias("node"), "component", F.lit(0).alias("fresh"))
-    return neighbours.unionByName(own)
 
 
-def _emit_from_arrays(pairs: DataFrame, symmetric: DataFrame, by: Sequence[str], total: int) -> DataFrame:
-    # The minima meet the lists by node and part, the key the lists are grouped by: the lists do
-    # not shuffle again, and those of a large node stay spread. Only keys are joined by node alone.
-    lists = adjacency_lists(symmetric, by, total=total)
-    smallest = smallest_in_neighbourhood(F.col("node"), F.col("neighbours"))
-    keys = lists.select(*by, "node", "part", smallest.alias("smallest"))
-    minima = (
-        keys.groupBy(*by, "node")
-        .agg(F.min("smallest").alias("component"))
-        .filter(F.col("component") != F.col("node"))
-    )
-    keyed = lookup(keys.drop("smallest"), minima, "node", by, "inner", total)
-    members = F.when(
-        F.col("part") == 0, F.concat(F.array("node"), F.col("neighbours"))
-    ).otherwise(F.col("neighbours"))
+def _from_arrays(
+    symmetric: DataFrame,
+    minima: DataFrame,
+    by: Sequence[str],
+    total: int | None,
+    hot_rows: int | None,
+    list_length: int,
+    tables: RoundTables,
+) -> DataFrame:
+    """The new pairs, from neighbour lists: a node's only list has its minimum, split lists need a join."""
+    few, many = split_lists(tables, symmetric, by, list_length, hot_rows, total)
+    component = smallest_in_neighbourhood(F.col("node"), F.col("neighbours"))
+    listed = few.select(*by, "node", "neighbours", component.alias("component"))
+    if many is not None:
+        # A split node has a list in every part, so its rows are few and one minimum goes to each.
+        split = many.join(minima, [*by, "node"]).select(*by, "node", "neighbours", "component")
+        listed = listed.unionByName(split)
+    fresh = F.filter("neighbours", lambda other: other != F.col("component"))
     return (
-        lists.join(keyed, [*by, "node", "part"])
-        .select(*by, F.col("node").alias("centre"), "component", F.explode(members).alias("node"))
-        .filter(F.col("node") != F.col("component"))
-        .select(*by, "node", "component", (F.col("node") != F.col("centre")).cast("int").alias("fresh"))
+        listed.filter(F.col("component") < F.col("node"))
+        .select(*by, F.explode(fresh).alias("node"), "component")
+        .withColumn("fresh", F.lit(1))
     )
 
 
@@ -81,10 +97,24 @@ def dedup(emitted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def ccf_step(
-    pairs: DataFrame, by: Sequence[str] = (), form: str = "join", total: int | None = None
+    pairs: DataFrame,
+    by: Sequence[str] = (),
+    form: str = "join",
+    hot_rows: int | None = None,
+    list_length: int = LIST_LENGTH,
+    tables: RoundTables | None = None,
 ) -> DataFrame:
-    """The distinct pairs after one step."""
-    return dedup(emitted_pairs(pairs, by, form, total), by).drop("fresh")
+    """The distinct pairs after one step; repeated pairs do not matter.
+
+    The distinct input is written once, to ``tables`` (see :class:`RoundTables`, which can
+    delete it after the last use), and read from there.
+    """
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {FORMS}, not {form!r}")
+    tables = tables or RoundTables(pairs.sparkSession)
+    given = tables.write(pairs.select(*by, "node", "component").distinct(), "pairs")
+    emitted = emitted_pairs(given.df, by, form, given.rows, hot_rows, list_length, tables)
+    return dedup(emitted, by).drop("fresh")
 
 
 def new_pair_count(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

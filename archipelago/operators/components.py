@@ -27,15 +27,13 @@ def with_vertices(assignments: DataFrame, vertices: DataFrame, by: Sequence[str]
     return claims.groupBy(*by, "node").agg(F.min("component").alias("component"))
 
 
-def component_count(assignments: DataFrame, by: Sequence[str] = (), roots: bool = True) -> DataFrame:
-    """``components`` per graph, or one row.
+def component_count(assignments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``components`` per graph, or one row; the rows of the components' smallest nodes may be there or not.
 
-    With root rows present it is the number of nodes that are their own component, which takes no
-    distinct. Pairs without root rows (``roots=False``) need one.
+    Nodes of a component combine to one row before the shuffle.
     """
-    component = F.col("component")
-    counted = F.count_if(F.col("node") == component) if roots else F.count_distinct(component)
-    return assignments.groupBy(*by).agg(counted.alias("components"))
+    distinct = assignments.select(*by, "component").distinct()
+    return distinct.groupBy(*by).agg(F.count("component").alias("components"))
 
 
 def component_sizes(assignments: DataFrame, by: Sequence[str] = ()) -> DataFrame:

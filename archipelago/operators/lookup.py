@@ -7,43 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Session settings: a key is hot when it holds more rows than both ``hot.rows`` (about what one task
-# should get) and total / ``hot.keys``. Fewer than ``hot.keys`` keys can be that large, which bounds
-# the broadcast.
+# Session setting: rows of a key that one task should get at most. A key with more is hot.
 HOT_ROWS = ("spark.archipelago.hot.rows", 4_000_000)
-HOT_KEYS = ("spark.archipelago.hot.keys", 1_000_000)
-# Rows of a key at the limit that are looked at to find it.
-ROWS_SEEN = 10_000
 
 
-def setting(spark: SparkSession, named: tuple[str, int]) -> int:
-    """A number from the session's settings, or its default."""
-    name, default = named
-    return int(spark.conf.get(name, str(default)))
-
-
-def hot_limit(spark: SparkSession, total: int) -> int:
-    """Rows a key may hold, out of ``total``, before it is split."""
-    share = -(-total // setting(spark, HOT_KEYS))
-    return max(setting(spark, HOT_ROWS), share)
-
-
-def can_have_hot_keys(spark: SparkSession, total: int) -> bool:
-    """Whether one key could hold enough of ``total`` rows to be hot."""
-    return total > hot_limit(spark, total)
+def hot_limit(spark: SparkSession, hot_rows: int | None = None) -> int:
+    """Rows a key may hold before it is split: ``hot_rows``, or the session's setting, or its default."""
+    name, default = HOT_ROWS
+    return int(spark.conf.get(name, str(default))) if hot_rows is None else hot_rows
 
 
 def hot_keys(rows: DataFrame, on: Sequence[str], limit: int) -> DataFrame:
     """The keys with more than ``limit`` rows, and in ``_parts`` how many times that they have."""
-    one_in = max(1, limit // ROWS_SEEN)
-    if one_in > 1:
-        rows = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(one_in)) == 0)
-    size = F.col("count") * one_in
     return (
         rows.groupBy(*on)
         .count()
-        .filter(size > limit)
-        .select(*on, F.ceil(size / limit).cast("bigint").alias("_parts"))
+        .filter(F.col("count") > limit)
+        .select(*on, F.ceil(F.col("count") / limit).cast("bigint").alias("_parts"))
     )
 
 
@@ -55,30 +35,29 @@ def lookup(
     how: str = "left",
     total: int | None = None,
     counted_on: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add the columns of ``table`` to ``rows``; ``table`` has one row per ``by`` + ``key``.
 
-    ``how`` is ``"left"`` (NULLs where the key is not in the table) or ``"inner"``. ``total`` is
-    the number of ``rows`` or a bound of it; they are counted when it is not given.
+    ``how`` is ``"left"`` (NULLs where the key is not in the table) or ``"inner"``. Nothing runs
+    before the result is asked for.
 
-    The rows of a hot key are salted over as many parts as its size needs, and its one table row is
-    repeated for each part. The hot keys are broadcast to both sides; by the definition of a hot
-    key there are no more than about ``spark.archipelago.hot.keys`` of them, with twice as many
-    parts at most. If ``total`` is too small for any key to be hot, it is an ordinary join.
+    The rows of a hot key, one with more than ``hot_rows`` rows, are salted over as many parts as
+    its size needs, and its one table row is repeated for each part. The list of hot keys is broadcast to
+    both sides: it has at most one row for every ``hot_rows`` rows of the input, and twice as many
+    parts. ``total`` is the number of ``rows`` or a bound of it, where that is known; if it is
+    too small for any key to be hot, this is an ordinary join.
 
-    Hot keys are looked for among a part of the rows, chosen by a hash of their content so that
-    both sides of the join see the same keys. Only the choice of keys to split rests on that: every
-    row is joined, and the result is the same for any choice. They are taken from ``rows``, or from
-    ``counted_on`` if that is cheaper to compute and has no fewer rows of any key.
+    Keys are counted on ``rows``, or on ``counted_on`` if that is cheaper to compute and has no
+    fewer rows of any key; counts combine before the shuffle. Rows are dealt to parts by a hash of
+    their content, so ``rows`` should be distinct: equal rows share a part.
     """
-    spark = rows.sparkSession
     on = [*by, key]
-    if total is None:
-        total = rows.count()
-    if not can_have_hot_keys(spark, total):
+    limit = hot_limit(rows.sparkSession, hot_rows)
+    if total is not None and total <= limit:
         return rows.join(table, on, how)
 
-    hot = F.broadcast(hot_keys(rows if counted_on is None else counted_on, on, hot_limit(spark, total)))
+    hot = F.broadcast(hot_keys(rows if counted_on is None else counted_on, on, limit))
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), "_parts")).otherwise(0)
     parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1)
     salted_rows = rows.join(hot, on, "left").withColumn("_part", part).drop("_parts")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.operators.lookup import lookup
+from archipelago.sources.round_tables import RoundTables
+
+LIST_LENGTH = 100_000
 
 
 def neighbour_min(symmetric: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -23,31 +26,58 @@ def neighbour_min(symmetric: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def split_lists(
+    tables: RoundTables,
+    edges: DataFrame,
+    by: Sequence[str] = (),
+    list_length: int = LIST_LENGTH,
+    hot_rows: int | None = None,
+    total: int | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Neighbour lists (``node, part, neighbours``) of distinct symmetric edges.
+
+    The first frame has the nodes with one list, the second the lists of nodes with more, or is
+    None if there are none: which nodes those are is written first.
+    """
+    degrees = edges.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("edges"))
+    large = tables.write(
+        degrees.filter(F.col("edges") > list_length).select(
+            *by, "src", F.ceil(F.col("edges") / list_length).cast("bigint").alias("parts")
+        ),
+        "large-nodes",
+    )
+
+    def lists(edges: DataFrame) -> DataFrame:
+        members = F.array_sort(F.collect_list("dst")).alias("neighbours")
+        return edges.groupBy(*by, F.col("src").alias("node"), "part").agg(members)
+
+    whole = F.lit(0).cast("bigint")
+    if not large.rows:
+        tables.drop(large)
+        return lists(edges.withColumn("part", whole)), None
+    found = lookup(edges, large.df, "src", by, "left", total, hot_rows=hot_rows)
+    few = found.filter(F.col("parts").isNull()).withColumn("part", whole)
+    many = found.filter(F.col("parts").isNotNull()).withColumn("part", F.pmod(F.xxhash64("dst"), "parts"))
+    return lists(few), lists(many)
+
+
 def adjacency_lists(
     symmetric: DataFrame,
     by: Sequence[str] = (),
-    list_length: int = 100_000,
-    total: int | None = None,
+    list_length: int = LIST_LENGTH,
+    hot_rows: int | None = None,
+    tables: RoundTables | None = None,
 ) -> DataFrame:
     """``node, part, neighbours``: the distinct neighbours of each node as sorted arrays.
 
-    A node with up to ``list_length`` edges has one row, part 0. The neighbours of a larger one are
+    A node with up to ``list_length`` distinct neighbours has one row, part 0. Those of a larger one are
     spread by hash over as many parts as lists of that length need, so that no task and no row has
-    to hold them all; each neighbour is in exactly one part.
+    to hold them all; each neighbour is in exactly one part, and a part that gets none has no row.
+
+    The distinct edges are written once, to ``tables`` (see :class:`RoundTables`, which can delete
+    them after the last use), and everything is read from there.
     """
-    if total is None:
-        total = symmetric.count()
-    part = F.lit(0).cast("bigint")
-    if total > list_length:
-        large = (
-            symmetric.groupBy(*by, "src")
-            .agg(F.count(F.lit(1)).alias("edges"))
-            .filter(F.col("edges") > list_length)
-            .select(*by, "src", F.ceil(F.col("edges") / list_length).cast("bigint").alias("parts"))
-        )
-        symmetric = lookup(symmetric, large, "src", by, "left", total)
-        spread = F.pmod(F.xxhash64("dst"), F.col("parts"))
-        part = F.coalesce(spread, part)
-    return symmetric.groupBy(*by, F.col("src").alias("node"), part.alias("part")).agg(
-        F.array_sort(F.collect_set("dst")).alias("neighbours")
-    )
+    tables = tables or RoundTables(symmetric.sparkSession)
+    edges = tables.write(symmetric.select(*by, "src", "dst").distinct(), "edges")
+    few, many = split_lists(tables, edges.df, by, list_length, hot_rows, edges.rows)
+    return few if many is None else few.unionByName(many)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.operators import dedup, emitted_pairs, normalise
-from archipelago.sources.round_tables import RoundTable, RoundTables
+from archipelago.sources.round_tables import RoundTables
 
 LOG_SCHEMA = "iteration bigint, new_pairs bigint, pairs bigint"
 
@@ -26,43 +26,39 @@ class CcfRun:
         return self.pairs.sparkSession.createDataFrame(self.log, LOG_SCHEMA)
 
 
-def ccf_steps(
-    tables: RoundTables,
-    pairs: RoundTable,
+def run_ccf(
+    edges: DataFrame,
     by: Sequence[str] = (),
     form: str = "join",
     max_rounds: int = 100,
-    most_pairs: int | None = None,
-) -> tuple[RoundTable, list[tuple[int, int, int]]]:
-    """Steps until none makes a new pair, or until there are more than ``most_pairs``.
+    hot_rows: int | None = None,
+    tables: RoundTables | None = None,
+) -> CcfRun:
+    """Repeat the CCF step on ``edges`` (``src``, ``dst``) to its fixpoint.
 
     Each step is one job, which writes the step's pairs and counts them on the way; the driver sees
-    two numbers per step. Returns the last step's pairs and the log. ``pairs`` is deleted.
+    two numbers per step. The last step's pairs are one table of ``tables``; all others are
+    deleted, also if a step raises.
     """
+    if max_rounds < 1:
+        raise ValueError(f"max_rounds must be 1 at least, not {max_rounds}")
+    tables = tables or RoundTables(edges.sparkSession)
     log: list[tuple[int, int, int]] = []
-    while True:
-        if len(log) == max_rounds:
-            raise RuntimeError(f"still {log[-1][1]} new pairs after {max_rounds} steps")
-        step = dedup(emitted_pairs(pairs.df, by, form, pairs.rows), by)
-        previous, pairs = pairs, tables.write(
-            step, "step", new_pairs=F.coalesce(F.sum("fresh"), F.lit(0))
-        )
-        tables.drop(previous)
-        log.append((len(log) + 1, pairs.sums["new_pairs"], pairs.rows))
-        if log[-1][1] == 0 or (most_pairs is not None and pairs.rows > most_pairs):
-            return pairs, log
-
-
-def run_ccf(
-    edges: DataFrame, by: Sequence[str] = (), form: str = "join", max_rounds: int = 100
-) -> CcfRun:
-    """Repeat the CCF step on ``edges`` (``src``, ``dst``) to its fixpoint."""
-    tables = RoundTables(edges.sparkSession)
-    start = tables.write(normalise(edges, by), "pairs")
-    pairs, log = ccf_steps(tables, start, by, form, max_rounds)
-    return CcfRun(pairs.df.select(*by, "node", "component"), log)
+    with tables.temporary() as scratch:
+        pairs = scratch.write(normalise(edges, by), "pairs")
+        while not log or log[-1][1]:
+            if len(log) == max_rounds:
+                raise RuntimeError(f"still {log[-1][1]} new pairs after {max_rounds} steps")
+            emitted = emitted_pairs(pairs.df, by, form, pairs.rows, hot_rows, tables=scratch)
+            fresh = F.coalesce(F.sum("fresh"), F.lit(0))
+            previous, pairs = pairs, scratch.write(dedup(emitted, by), "step", new_pairs=fresh)
+            scratch.drop(previous)
+            log.append((len(log) + 1, pairs.sums["new_pairs"], pairs.rows))
+        kept = tables.write(pairs.df.select(*by, "node", "component"), "components")
+    return CcfRun(kept.df, log)
 
 
 def iteration_log(edges: DataFrame, form: str = "join", max_rounds: int = 100) -> DataFrame:
-    """The log of :func:`run_ccf` as a DataFrame."""
-    return run_ccf(edges, form=form, max_rounds=max_rounds).iteration_log()
+    """The log of :func:`run_ccf` as a DataFrame; the pairs are deleted."""
+    with RoundTables(edges.sparkSession) as tables:
+        return run_ccf(edges, form=form, max_rounds=max_rounds, tables=tables).iteration_log()

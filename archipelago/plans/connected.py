@@ -8,14 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archipelago.operators import component_count, with_roots, with_vertices
-from archipelago.operators.lookup import setting
 from archipelago.plans.ccf_rounds import run_ccf
 from archipelago.plans.contraction import contract
 from archipelago.sources import read_edge_file
+from archipelago.sources.round_tables import RoundTables
 
 METHODS = ("auto", "contract", "ccf")
-# Session setting: graphs with at most so many distinct edges are small.
-SMALL_PAIRS = ("spark.archipelago.small.pairs", 100_000)
 
 
 def connected_components(
@@ -26,6 +24,8 @@ def connected_components(
     by: Sequence[str] = (),
     form: str = "join",
     max_rounds: int = 100,
+    hot_rows: int | None = None,
+    tables: RoundTables | None = None,
 ) -> DataFrame:
     """Label every node with the smallest node id it can reach: ``node, component``.
 
@@ -34,21 +34,20 @@ def connected_components(
     ``vertices`` (``node`` and the ``by`` columns) lists them. ``include_roots=False`` leaves out
     the rows of nodes that are their own component.
 
-    ``method`` changes the way, not the result: ``"ccf"`` repeats the CCF step (in the given
-    ``form``, see :func:`archipelago.operators.emitted_pairs`), ``"contract"`` contracts the graph,
-    and ``"auto"`` contracts it until the rest is small and then takes CCF steps.
+    ``method`` changes the way, not the result: ``"contract"`` contracts the graph, at every size, and is
+    what ``"auto"`` takes; ``"ccf"`` repeats the CCF step (in the given ``form``, see
+    :func:`archipelago.operators.emitted_pairs`). ``hot_rows`` is how many rows of one node a task
+    should get at most (see :func:`archipelago.operators.lookup`).
 
-    The rounds run at once; the returned DataFrame reads the last round's table.
+    The rounds run at once. The returned DataFrame reads one table of ``tables``, by default of a
+    new :class:`RoundTables`; pass your own to name its folder or to delete it after use.
     """
-    if method == "auto":
-        small = setting(edges.sparkSession, SMALL_PAIRS)
-        pairs = contract(edges, by, max_rounds, small)
-    elif method == "contract":
-        pairs = contract(edges, by, max_rounds)
-    elif method == "ccf":
-        pairs = run_ccf(edges, by, form, max_rounds).pairs
-    else:
+    if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
+    if method == "ccf":
+        pairs = run_ccf(edges, by, form, max_rounds, hot_rows, tables).pairs
+    else:
+        pairs = contract(edges, by, max_rounds, hot_rows, tables)
     if not include_roots:
         return pairs
     assignments = with_roots(pairs, by)
@@ -64,6 +63,8 @@ def component_count_from_file(
 
 def multi_graph(graphs: Mapping[str, DataFrame]) -> DataFrame:
     """The edges of several graphs in one DataFrame, told apart by the column ``graph``."""
+    if not graphs:
+        raise ValueError("no graphs given")
     named = [edges.select(F.lit(name).alias("graph"), "src", "dst") for name, edges in graphs.items()]
     first, *others = named
     for edges in others:

@@ -1,4 +1,4 @@
-"""Connected components by contraction: the same result as the CCF steps, for large graphs.
+"""Connected components by contraction: the same result as the CCF steps, for graphs of any shape.
 
 CCF keeps linking nodes to ever smaller ids, and on a long chain its pairs grow to the square of
 the chain's length. Here the graph shrinks instead. A round has two parts:
@@ -17,20 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.operators import lookup, normalise
-from archipelago.operators.lookup import can_have_hot_keys
-from archipelago.plans.ccf_rounds import ccf_steps
 from archipelago.sources.round_tables import RoundTable, RoundTables
 
 
-# Moving pointers are few if they are at most this fraction (one in FEW) of a large forest.
-FEW = 20
-
-
 @dataclass(frozen=True)
 class Flat:
     """Pointers to roots, how many there are, and the tables they are read from."""
@@ -46,124 +41,123 @@ def pointers(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def double_pointers(
-    moving: DataFrame, forest: DataFrame, by: Sequence[str] = (), total: int | None = None
+    moving: DataFrame,
+    ahead: DataFrame,
+    by: Sequence[str] = (),
+    total: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``node, parent, moved``: the parent's parent where there is one.
 
-    ``moving`` are the pointers to follow, ``forest`` all pointers.
+    ``moving`` are the pointers to follow, ``ahead`` (``node, parent, at_root``) the pointers they can run into. A
+    pointer has arrived, and ``moved`` is false, if its parent has no pointer or one that is known to end at a root.
     """
-    onward = forest.select(*by, F.col("node").alias("parent"), F.col("parent").alias("next"))
-    return lookup(moving, onward, "parent", by, "left", total).select(
+    onward = ahead.select(*by, F.col("node").alias("parent"), F.col("parent").alias("next"), "at_root")
+    return lookup(moving, onward, "parent", by, "left", total, hot_rows=hot_rows).select(
         *by,
         "node",
         F.coalesce("next", "parent").alias("parent"),
-        F.col("next").isNotNull().alias("moved"),
+        (F.col("next").isNotNull() & ~F.coalesce("at_root", F.lit(False))).alias("moved"),
     )
 
 
-def targets(
-    moving: DataFrame, forest: DataFrame, by: Sequence[str], moved: int, total: int
-) -> DataFrame:
-    """The pointers of ``forest`` that ``moving`` can run into, if looking for them pays.
-
-    A join with few rows still shuffles all of the other side if it has to keep every one of the
-    few. Filtering that side by their parents first lets Spark broadcast the parents instead.
-    """
-    if moved * FEW > total or not can_have_hot_keys(moving.sparkSession, total):
-        return forest
-    parents = moving.select(*by, F.col("parent").alias("node")).distinct()
-    return forest.join(parents, [*by, "node"], "left_semi")
-
-
 def flatten(
     tables: RoundTables,
     forest: DataFrame,
-    total: int,
     by: Sequence[str] = (),
-    depth: int | None = None,
+    hot_rows: int | None = None,
 ) -> Flat:
-    """Point every node of a forest (``node``, ``parent``) at its root.
+    """Point every node of a forest (``node``, ``parent``, and ``at_root`` where that is known) at its root.
 
-    ``total`` is the number of pointers, or a bound of it. A forest large enough for hot roots is
-    written first, since it is then read several times. A pointer that found no onward pointer has
-    reached its root. Each pass follows and writes only the others, so the passes get smaller.
-    ``depth`` is the longest way to a root; where it is known, no pass is spent on finding out
-    that all pointers have arrived.
+    Each pass follows and writes only the pointers that may not have arrived yet, so the passes get smaller: the
+    pointers they can run into are picked by a semi-join with the few, and the rest of the forest is not shuffled
+    again. A pointer that meets one that has arrived has arrived itself, so no pass is spent on finding that out.
     """
-    if can_have_hot_keys(forest.sparkSession, total):
-        trees = tables.write(forest, "forest")
-        forest, total = trees.df, trees.rows
-    written = [tables.write(double_pointers(forest, forest, by, total), "pointers", moved=F.count_if("moved"))]
-    settled = written[0].df.filter(~F.col("moved")).drop("moved")
-    reach = 2
-    while written[-1].sums["moved"]:
-        moving = written[-1].df.filter("moved").drop("moved")
-        if depth is not None and reach >= depth:
-            settled = settled.unionByName(moving)
-            break
-        moved = written[-1].sums["moved"]
-        ahead = targets(moving, settled.unionByName(moving), by, moved, total)
-        onward = double_pointers(moving, ahead, by, moved)
-        written.append(tables.write(onward, "pointers", moved=F.count_if("moved")))
-        settled = settled.unionByName(written[-1].df.filter(~F.col("moved")).drop("moved"))
-        reach *= 2
-    return Flat(settled, written[0].rows, written)
-
-
-def relabel(pairs: DataFrame, roots: DataFrame, by: Sequence[str], total: int) -> DataFrame:
+    if "at_root" not in forest.columns:
+        forest = forest.withColumn("at_root", F.lit(False))
+    trees = tables.write(forest, "forest")
+    passes = [
+        tables.write(
+            double_pointers(trees.df.select(*by, "node", "parent"), trees.df, by, trees.rows, hot_rows),
+            "pointers",
+            moved=F.count_if("moved"),
+        )
+    ]
+    tables.drop(trees)
+    while passes[-1].sums["moved"]:
+        last = passes[-1]
+        moving = last.df.filter("moved").drop("moved")
+        known = [table.df.filter(~F.col("moved")).withColumn("moved", F.lit(True)) for table in passes]
+        known.append(last.df.filter("moved").withColumn("moved", F.lit(False)))
+        ahead = _union(known).withColumnRenamed("moved", "at_root")
+        targets = moving.select(*by, F.col("parent").alias("node")).distinct()
+        ahead = ahead.join(targets, [*by, "node"], "left_semi")
+        onward = double_pointers(moving, ahead, by, last.sums["moved"], hot_rows)
+        passes.append(tables.write(onward, "pointers", moved=F.count_if("moved")))
+    settled = _union([table.df.filter(~F.col("moved")).drop("moved") for table in passes])
+    return Flat(settled, trees.rows, passes)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def relabel(
+    pairs: DataFrame, roots: DataFrame, by: Sequence[str], total: int, hot_rows: int | None = None
+) -> DataFrame:
     """Canonical pairs between the trees: both ends replaced by their roots."""
     of_node = roots.select(*by, "node", F.col("parent").alias("src"))
     of_component = roots.select(*by, F.col("node").alias("component"), F.col("parent").alias("root"))
-    moved = lookup(pairs, of_node, "node", by, "inner", total).filter(F.col("src") != F.col("component"))
-    # Most pairs of a sparse graph end at the root already and were dropped on the way.
-    edges = lookup(
-        moved.select(*by, "src", "component"), of_component, "component", by, "left", total, pairs
-    )
+    moved = lookup(pairs, of_node, "node", by, "inner", total, hot_rows=hot_rows)
+    # Most pairs of a sparse graph end at the root already and are dropped on the way.
+    moved = moved.filter(F.col("src") != F.col("component")).select(*by, "src", "component")
+    edges = lookup(moved, of_component, "component", by, "left", total, pairs, hot_rows)
     return normalise(edges.select(*by, "src", F.coalesce("root", "component").alias("dst")), by)
 
 
 def contract(
-    edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 100, small: int = 0
+    edges: DataFrame,
+    by: Sequence[str] = (),
+    max_rounds: int = 100,
+    hot_rows: int | None = None,
+    tables: RoundTables | None = None,
 ) -> DataFrame:
     """``node, component`` for every node that is not its component's smallest.
 
-    What is left with at most ``small`` pairs is finished by CCF steps: they take one job each, and
-    at that size starting a job costs more than its rows. Should the pairs outgrow twice that, the
-    contraction goes on from there, for the pairs of any step are edges of the same components.
+    The result is one table of ``tables``; all others are deleted, also if a round raises.
     """
-    tables = RoundTables(edges.sparkSession)
+    tables = tables or RoundTables(edges.sparkSession)
+    with tables.temporary() as scratch:
+        labels = _rounds(scratch, edges, by, max_rounds, hot_rows)
+        return tables.write(labels, "components").df
+
+
+def _rounds(
+    tables: RoundTables, edges: DataFrame, by: Sequence[str], max_rounds: int, hot_rows: int | None
+) -> DataFrame:
     current = tables.write(normalise(edges, by), "pairs")
     forests: list[Flat] = []
-    rounds = 0
     while current.rows:
-        if current.rows <= small:
-            current, log = ccf_steps(tables, current, by, max_rounds=max_rounds, most_pairs=2 * small)
-            if log[-1][1] == 0:
-                stars = current.df.select(*by, "node", F.col("component").alias("parent"))
-                forests.append(Flat(stars, current.rows, [current]))
-                break
-            small = 0
-        if rounds == max_rounds:
+        if len(forests) == max_rounds:
             raise RuntimeError(f"still {current.rows} edges between components after {max_rounds} rounds")
-        rounds += 1
-        forest = flatten(tables, pointers(current.df, by), current.rows, by)
+        forest = flatten(tables, pointers(current.df, by), by, hot_rows)
         forests.append(forest)
         if forest.rows == current.rows:
             break  # one smaller neighbour each: the edges were a forest, and nothing is left
-        between = relabel(current.df, forest.pointers, by, current.rows)
+        between = relabel(current.df, forest.pointers, by, current.rows, hot_rows)
         previous, current = current, tables.write(between, "pairs")
         tables.drop(previous)
 
     if not forests:
         return current.df.select(*by, "node", "component")
-    if len(forests) == 1:
-        labels = forests[0].pointers
-    else:
-        # A node is in the forest of the round that removed it; together they are one forest.
-        whole = forests[0].pointers
-        for forest in forests[1:]:
-            whole = whole.unionByName(forest.pointers)
-        rows = sum(forest.rows for forest in forests)
-        labels = flatten(tables, whole, rows, by, depth=len(forests)).pointers
-        tables.drop(*(table for forest in forests for table in forest.tables))
+    # A node is in the forest of the round that removed it. From the last round back, the root that a round
+    # has found is replaced by what the later rounds have made of it.
+    labels = forests[-1].pointers
+    for forest in reversed(forests[:-1]):
+        later = labels.select(*by, F.col("node").alias("parent"), F.col("parent").alias("next"))
+        onward = lookup(forest.pointers, later, "parent", by, "left", forest.rows, hot_rows=hot_rows)
+        onward = onward.select(*by, "node", F.coalesce("next", "parent").alias("parent"))
+        labels = labels.unionByName(onward)
+        if forest is not forests[0]:
+            labels = tables.write(labels, "labels").df
     return labels.select(*by, "node", F.col("parent").alias("component"))

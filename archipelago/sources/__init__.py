@@ -1,10 +1,13 @@
 from archipelago.sources.assignments import read_assignments, write_assignments
-from archipelago.sources.edge_tables import edges_from_columns, edges_from_shared_value
+from archipelago.sources.edge_tables import edges_from_columns, edges_from_shared_value, kind_and_id
 from archipelago.sources.edge_text import parse_edge_lines, read_edge_file, read_edge_lines
+from archipelago.sources.round_tables import RoundTables
 
 __all__ = [
+    "RoundTables",
     "edges_from_columns",
     "edges_from_shared_value",
+    "kind_and_id",
     "parse_edge_lines",
     "read_assignments",
     "read_edge_file",

@@ -25,14 +25,12 @@ def parse_edge_lines(lines: DataFrame, on_bad: str = "drop") -> DataFrame:
     edges = lines.filter(is_edge_line(line)).select(
         line, id_field(line, 0).alias("src"), id_field(line, 1).alias("dst")
     )
-    bad = F.col("src").isNull() | F.col("dst").isNull()
-    if on_bad == "drop":
-        return edges.filter(~bad).select("src", "dst")
-    refuse = F.raise_error(F.concat(F.lit("not an edge line: "), line))
-    return edges.select(
-        F.when(bad, refuse).otherwise(F.col("src")).alias("src"),
-        F.when(bad, refuse).otherwise(F.col("dst")).alias("dst"),
-    )
+    good = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    if on_bad == "fail":
+        # In the filter, where no later choice of columns can leave it out.
+        refuse = F.raise_error(F.concat(F.lit("not an edge line: "), line)).cast("boolean")
+        good = F.when(good, F.lit(True)).otherwise(refuse)
+    return edges.filter(good).select("src", "dst")
 
 
 def read_edge_file(spark: SparkSession, path: str | list[str], on_bad: str = "drop") -> DataFrame:

@@ -8,8 +8,10 @@ columns are not read again, and a round no longer needed can be deleted at once.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -46,13 +48,24 @@ class RoundTable:
 
 
 class RoundTables:
-    """The tables of one run, in a folder of their own."""
+    """The tables of one run, in a folder of their own.
 
-    def __init__(self, spark: SparkSession) -> None:
+    ``folder`` names the place; by default it is in the shared folder of the session's settings.
+    Results read tables of their run, which stay until :meth:`delete` (or ``with``) removes them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self._spark = spark
-        self.folder = f"{shared_folder(spark).rstrip('/')}/archipelago-{uuid.uuid4().hex}"
+        parent = shared_folder(spark) if folder is None else folder
+        self.folder = f"{parent.rstrip('/')}/archipelago-{uuid.uuid4().hex}"
         self._written = 0
 
+    def __enter__(self) -> RoundTables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.delete()
+
     def new_path(self, name: str) -> str:
         self._written += 1
         return f"{self.folder}/{self._written:04d}-{name}"
@@ -73,9 +86,21 @@ class RoundTables:
         return RoundTable(self._spark.read.schema(df.schema).parquet(path), path, rows, taken)
 
     def drop(self, *tables: RoundTable) -> None:
-        """Delete tables that no later round reads."""
-        jvm = self._spark.sparkContext._jvm
-        configuration = self._spark.sparkContext._jsc.hadoopConfiguration()
+        """Delete tables that nothing reads any more."""
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table.path)
-            path.getFileSystem(configuration).delete(path, True)
+            self._remove(table.path)
+
+    def delete(self) -> None:
+        """Delete all tables of the run, and with them what reads them."""
+        self._remove(self.folder)
+
+    @contextlib.contextmanager
+    def temporary(self) -> Iterator[RoundTables]:
+        """Tables that are deleted at the end of a ``with`` block, however it ends."""
+        with RoundTables(self._spark, self.folder) as tables:
+            yield tables
+
+    def _remove(self, name: str) -> None:
+        context = self._spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -29,7 +29,8 @@ HEADLINES = (
     "component_count_file",
     "multi_graph_counts",
     "cc_by_ccf_join",
-    "iteration_log_bulk_order_part",
+    "iteration_log_order_part",
+    "cc_by_contraction",
     "ccf_step_join",
     "ccf_step_array",
     "adjacency_lists",

@@ -12,9 +12,9 @@ from hypothesis import strategies as st
 import archipelago as ar
 from archipelago.plans import contract, contraction
 from archipelago.sources import round_tables
+from tests.goldens import TOY
 from tests.model import components, counts
 
-TOY = [(1, 2), (2, 3), (2, 4), (4, 5), (6, 7), (7, 8)]
 SHAPES = {
     "toy": TOY,
     "reciprocal": [*TOY, (2, 1), (2, 4)],
@@ -96,7 +96,6 @@ def test_empty_graph(edges_of, method):
     result = ar.connected_components(edges_of([]), method=method)
     assert result.collect() == []
     assert ar.component_count(result).first()[0] == 0
-    assert ar.component_count(result, roots=False).first()[0] == 0
 
 
 def test_vertices_without_edges(spark, edges_of):
@@ -139,27 +138,13 @@ def test_hot_nodes(spark, hot_nodes, method, form):
     assert labelled(result) == expected_of(graphs)
 
 
-def test_a_small_rest_is_finished_by_ccf_steps(spark, monkeypatch):
+def test_one_way_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(contraction, "RoundTables", SeenPlans)
-    graphs = random_graphs(12, 15)
-    edges = edges_with_graph(spark, graphs)
+    monkeypatch.setattr(SeenPlans, "temporary", lambda self: SeenPlans(self._spark, self.folder))
     SeenPlans.seen = []
-    result = contract(edges, ["graph"], small=100)
-    kinds = [name for name, _ in SeenPlans.seen]
-    assert kinds[:2] == ["pairs", "pointers"] and "step" in kinds
-    assert labelled(result) == {n: c for n, c in expected_of(graphs).items() if n[1] != c}
-
-
-def test_ccf_steps_that_grow_too_much_are_given_up(spark, monkeypatch):
-    monkeypatch.setattr(contraction, "RoundTables", SeenPlans)
-    SeenPlans.seen = []
-    path = spark.range(300).selectExpr("id as src", "id + 1 as dst")
-    result = contract(path, small=300)
-    kinds = [name for name, _ in SeenPlans.seen]
-    assert kinds[:2] == ["pairs", "step"] and "pointers" in kinds
-    assert kinds.count("step") <= 2
-    assert result.count() == 300
-    assert result.filter("component <> 0").count() == 0
+    assert ar.connected_components(edges_with_graph(spark, random_graphs(12, 15)), by=["graph"]).count()
+    kinds = {name for name, _ in SeenPlans.seen}
+    assert "pointers" in kinds and "step" not in kinds
 
 
 def test_order_direction_duplicates_and_loops_do_not_matter(spark):
@@ -207,6 +192,17 @@ def test_too_many_rounds_raise(edges_of, method):
         ar.connected_components(edges, method=method, max_rounds=1)
 
 
+@pytest.mark.parametrize("method", ["contract", "ccf"])
+def test_no_rounds_at_all(edges_of, method):
+    with pytest.raises((RuntimeError, ValueError), match="round"):
+        ar.connected_components(edges_of(TOY), method=method, max_rounds=0)
+
+
+def test_no_graphs():
+    with pytest.raises(ValueError, match="no graphs"):
+        ar.multi_graph({})
+
+
 def test_unknown_method(edges_of):
     with pytest.raises(ValueError):
         ar.connected_components(edges_of(TOY), method="other")
@@ -220,7 +216,7 @@ def test_counts_and_sizes(spark):
     toy = ar.connected_components(frames["toy"])
     assert {(r.component, r.members) for r in ar.component_sizes(toy).collect()} == {(1, 5), (6, 3)}
     pairs = ar.connected_components(frames["toy"], include_roots=False)
-    assert ar.component_count(pairs, roots=False).collect() == ar.component_count(toy).collect()
+    assert ar.component_count(pairs).collect() == ar.component_count(toy).collect()
 
 
 class SeenPlans(round_tables.RoundTables):
@@ -237,6 +233,7 @@ def test_plans_do_not_grow(spark, monkeypatch):
 
     SeenPlans.seen = []
     monkeypatch.setattr(ccf_rounds, "RoundTables", SeenPlans)
+    monkeypatch.setattr(SeenPlans, "temporary", lambda self: SeenPlans(self._spark, self.folder))
     ar.run_ccf(spark.range(1, 64).selectExpr("id as src", "id + 1 as dst"))
     leaves = [n for name, n in SeenPlans.seen if name == "step"]
     assert len(leaves) == 8
@@ -246,6 +243,7 @@ def test_plans_do_not_grow(spark, monkeypatch):
 def test_contraction_plans_do_not_grow(spark, monkeypatch):
     SeenPlans.seen = []
     monkeypatch.setattr(contraction, "RoundTables", SeenPlans)
+    monkeypatch.setattr(SeenPlans, "temporary", lambda self: SeenPlans(self._spark, self.folder))
     pick = random.Random(3)
     order = list(range(400))
     pick.shuffle(order)
@@ -256,12 +254,22 @@ def test_contraction_plans_do_not_grow(spark, monkeypatch):
     assert max(n for _, n in SeenPlans.seen) <= 30
 
 
-def test_superseded_tables_are_deleted(spark, edges_of):
-    shared = round_tables.shared_folder(spark)
-    before = set(os.listdir(shared))
-    ar.run_ccf(edges_of(SHAPES["cycle"]))
-    (new,) = set(os.listdir(shared)) - before
-    assert len(os.listdir(f"{shared}/{new}")) == 1
+@pytest.mark.parametrize("method", ["auto", "ccf"])
+@pytest.mark.parametrize("shape", ["cycle", "path_down_up", "only_a_self_loop", "star_high"])
+def test_only_what_the_result_reads_is_kept(spark, edges_of, tmp_path, method, shape):
+    with round_tables.RoundTables(spark, str(tmp_path)) as tables:
+        result = ar.connected_components(edges_of(SHAPES[shape]), method=method, tables=tables, hot_rows=3)
+        assert [d.split("-", 1)[1] for d in os.listdir(tables.folder)] == ["components"]
+        assert labelled(result) == {(n,): c for n, c in components(SHAPES[shape]).items()}
+    assert os.listdir(tmp_path) == []
+
+
+@pytest.mark.parametrize("method", ["auto", "ccf"])
+def test_nothing_is_left_by_a_run_that_raises(spark, edges_of, tmp_path, method):
+    tables = round_tables.RoundTables(spark, str(tmp_path))
+    with pytest.raises(RuntimeError):
+        ar.connected_components(edges_of(SHAPES["path_down_up"]), method=method, max_rounds=1, tables=tables)
+    assert os.listdir(tables.folder) == []
 
 
 class FakeSession:

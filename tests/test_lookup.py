@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from archipelago.operators import lookup
-from archipelago.operators.lookup import HOT_KEYS, HOT_ROWS, hot_keys, hot_limit
+from archipelago.operators.lookup import HOT_ROWS, hot_keys, hot_limit
 
 
 def collected(df):
@@ -41,31 +41,33 @@ def test_plain_join_where_no_key_can_be_hot(spark, tables, hot_nodes):
     assert "_part" not in lookup(rows, table, "k", ["g"], total=3)._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_hot_limit_bounds_the_number_of_hot_keys(spark):
-    assert hot_limit(spark, 10) == HOT_ROWS[1]
-    total = 6 * 10**12 + 1
-    assert total / hot_limit(spark, total) <= HOT_KEYS[1]
-
-
-def test_hot_keys_are_found_in_a_part_of_the_rows(spark):
-    # One key with 300,000 rows, one with 30,000 and 70,000 with one row each; the limit is 100,000.
-    key = "case when id < 300000 then 1 when id < 330000 then 2 else id end as k"
-    rows = spark.range(400_000).selectExpr(key, "id as n")
-    found = hot_keys(rows, ["k"], 100_000).collect()
-    assert [row.k for row in found] == [1]
-    assert 3 <= found[0]._parts <= 4
-
-
-def test_join_with_keys_found_in_a_part_of_the_rows(spark):
-    spark.conf.set("spark.archipelago.hot.rows", "50000")
-    try:
-        key = "case when id < 100000 then 1 else id end as k"
-        rows = spark.range(150_000).selectExpr(key, "id as n")
-        table = spark.range(0, 150_000, 2).selectExpr("id + 1 as k", "id as v")
-        for how in ("left", "inner"):
-            joined = lookup(rows, table, "k", how=how, total=150_000)
-            plain = rows.join(table, "k", how)
-            assert joined.exceptAll(plain).count() == 0
-            assert joined.count() == plain.count()
-    finally:
-        spark.conf.unset("spark.archipelago.hot.rows")
+def test_the_limit_is_an_argument_or_a_setting(spark, hot_nodes):
+    assert hot_limit(spark) == 3
+    assert hot_limit(spark, 10) == 10
+    spark.conf.unset(HOT_ROWS[0])
+    assert hot_limit(spark) == HOT_ROWS[1]
+
+
+def test_hot_keys_are_those_above_the_limit(spark):
+    key = "case when id < 3000 then 1 when id < 4000 then 2 else id end as k"
+    rows = spark.range(5000).selectExpr(key, "id as n")
+    assert [tuple(row) for row in hot_keys(rows, ["k"], 1000).collect()] == [(1, 3)]
+
+
+def test_nothing_runs_before_the_result_is_asked_for(spark, tables):
+    rows, table = tables
+    spark.sparkContext.setJobGroup("lookup", "")
+    lookup(rows, table, "k", ["g"], hot_rows=3)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("lookup")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_join_with_many_hot_keys(spark):
+    key = "case when id < 10000 then id % 7 else id end as k"
+    rows = spark.range(15_000).selectExpr(key, "id as n")
+    table = spark.range(0, 15_000, 2).selectExpr("id + 1 as k", "id as v")
+    for how in ("left", "inner"):
+        joined = lookup(rows, table, "k", how=how, hot_rows=500)
+        plain = rows.join(table, "k", how)
+        assert joined.exceptAll(plain).count() == 0
+        assert joined.count() == plain.count()

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import gzip
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 import archipelago as ar
+from archipelago.sources import RoundTables
+from tests.goldens import TOY
 
-TOY_FILE = "# bla bla\n# header\n1\t2\n2\t3\n2\t4\n4\t5\n6\t7\n7\t8\n"
-TOY = [(1, 2), (2, 3), (2, 4), (4, 5), (6, 7), (7, 8)]
+TOY_FILE = "# six undirected edges\n# of two components\n" + "".join(f"{a}\t{b}\n" for a, b in TOY)
 
 
 def rows(df):
@@ -24,7 +26,7 @@ def lines(spark, *values):
 def test_toy_file(spark, tmp_path):
     (tmp_path / "toy.txt").write_text(TOY_FILE)
     path = str(tmp_path / "toy.txt")
-    assert [r.value for r in ar.read_edge_lines(spark, path).limit(3).collect()] == ["# bla bla", "# header", "1\t2"]
+    assert [r.value for r in ar.read_edge_lines(spark, path).limit(3).collect()] == ["# six undirected edges", "# of two components", "1\t2"]
     edges = ar.read_edge_file(spark, path, on_bad="fail")
     assert edges.dtypes == [("src", "bigint"), ("dst", "bigint")]
     assert rows(edges) == TOY
@@ -71,6 +73,21 @@ def test_bad_lines(spark, line):
         ar.parse_edge_lines(lines(spark, line, "1\t2"), "fail").collect()
 
 
+@pytest.mark.parametrize(
+    "consume",
+    [
+        lambda edges: edges.count(),
+        lambda edges: edges.select("src").collect(),
+        lambda edges: edges.select("dst").collect(),
+        lambda edges: edges.filter("src > 100").collect(),
+        lambda edges: edges.agg(F.max("dst")).collect(),
+    ],
+)
+def test_bad_lines_fail_whatever_is_read(spark, consume):
+    with pytest.raises(Exception, match="not an edge line"):
+        consume(ar.parse_edge_lines(lines(spark, "1\t2", "1\tx"), "fail"))
+
+
 def test_on_bad_is_checked(spark):
     with pytest.raises(ValueError):
         ar.parse_edge_lines(lines(spark, ""), "ignore")
@@ -78,9 +95,27 @@ def test_on_bad_is_checked(spark):
 
 def test_edges_from_columns(spark):
     table = spark.createDataFrame([(1, 2), (None, 3), (4, None)], "a int, b bigint")
-    edges = ar.edges_from_columns(table, "a", "b", 100)
+    edges = ar.edges_from_columns(table, "a", "b")
     assert edges.dtypes == [("src", "bigint"), ("dst", "bigint")]
-    assert rows(edges) == [(1, 102)]
+    assert rows(edges) == [(1, 2)]
+
+
+def test_two_kinds_of_ids_never_meet(spark):
+    pairs = [(1, 2), (1_000_000_007, 9), (3, 7), (-4, -4), (2**62 - 1, -(2**62))]
+    table = spark.createDataFrame(pairs, "a bigint, b bigint")
+    edges = ar.edges_from_columns(table, "a", "b", two_kinds=True)
+    assert ar.component_count(ar.connected_components(edges)).first()[0] == len(pairs)
+    kind, own = ar.kind_and_id("src")
+    assert sorted(r[1] for r in edges.select(kind, own).collect()) == sorted(a for a, _ in pairs)
+    kind, own = ar.kind_and_id("dst")
+    assert {(r[0], r[1]) for r in edges.select(kind, own).collect()} == {(1, b) for _, b in pairs}
+
+
+@pytest.mark.parametrize("pair", [(2**62, 1), (1, 2**62), (-(2**62) - 1, 1)])
+def test_ids_that_do_not_fit_fail(spark, pair):
+    table = spark.createDataFrame([pair], "a bigint, b bigint")
+    with pytest.raises(Exception, match="out of range"):
+        ar.edges_from_columns(table, "a", "b", two_kinds=True).collect()
 
 
 def shared_value_edges(held):
@@ -101,9 +136,19 @@ def test_edges_from_shared_value(spark):
     assert rows(upper) == shared_value_edges(HELD)
 
 
-def test_edges_from_a_hot_value(spark, hot_nodes):
+def test_edges_from_a_hot_value(spark):
+    table = spark.createDataFrame(HELD * 3, "id int, v string")
+    edges = ar.edges_from_shared_value(table, "id", "v", hot_rows=3)
+    assert rows(edges) == shared_value_edges(HELD)
+
+
+def test_holders_are_deleted(spark, tmp_path):
     table = spark.createDataFrame(HELD, "id int, v string")
-    assert rows(ar.edges_from_shared_value(table, "id", "v")) == shared_value_edges(HELD)
+    with RoundTables(spark, str(tmp_path)) as tables:
+        edges = ar.edges_from_shared_value(table, "id", "v", tables=tables)
+        assert [d.split("-", 1)[1] for d in os.listdir(tables.folder)] == ["shared-values"]
+        assert edges.count() == len(shared_value_edges(HELD))
+    assert os.listdir(tmp_path) == []
 
 
 def test_write_and_read_assignments(spark, tmp_path):
@@ -124,9 +169,9 @@ def test_comment_filter_reaches_the_scan(spark, tmp_path):
 
 
 def test_reports(spark):
-    wide = spark.createDataFrame([("x", 1, 2), ("y", 3, 4)], "cluster string, RDD int, DF int")
-    long = ar.wide_to_long(wide, ["cluster"], ["RDD", "DF"], {"variable": "RDD/DF", "value": "computation time"})
-    assert long.columns == ["cluster", "RDD/DF", "computation time"]
-    assert rows(long) == [("x", "DF", 2), ("x", "RDD", 1), ("y", "DF", 4), ("y", "RDD", 3)]
-    assert [tuple(r) for r in ar.ordered_preview(wide, 1, "DF").collect()] == [("x", 1, 2)]
+    wide = spark.createDataFrame([("x", 1, 2), ("y", 3, 4)], "place string, first int, second int")
+    long = ar.wide_to_long(wide, ["place"], ["first", "second"], {"variable": "attempt", "value": "points"})
+    assert long.columns == ["place", "attempt", "points"]
+    assert rows(long) == [("x", "first", 1), ("x", "second", 2), ("y", "first", 3), ("y", "second", 4)]
+    assert [tuple(r) for r in ar.ordered_preview(wide, 1, "second").collect()] == [("x", 1, 2)]
     assert ar.ordered_preview(wide, 5).count() == 2

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import archipelago as ar
-from archipelago.operators import adjacency_lists, as_edges, emitted_pairs
+from archipelago.operators import as_edges, emitted_pairs
+from archipelago.sources import RoundTables
+from tests.goldens import FIRST, LAST, SECOND, TOY
 from tests.model import step
 
-TOY = [(1, 2), (2, 3), (2, 4), (4, 5), (6, 7), (7, 8)]
-FIRST = {(2, 1), (3, 1), (3, 2), (4, 2), (4, 1), (5, 2), (5, 4), (7, 6), (8, 7), (8, 6)}
-SECOND = {(2, 1), (3, 1), (4, 1), (4, 2), (5, 1), (5, 2), (7, 6), (8, 6)}
-LAST = {(2, 1), (3, 1), (4, 1), (5, 1), (7, 6), (8, 6)}
-
 
 def rows(df):
     return sorted(tuple(row) for row in df.collect())
@@ -83,16 +81,36 @@ def test_step_with_hot_nodes(edges_of, hot_nodes, form):
     assert set(rows(ar.ccf_step(ar.normalise(edges_of(edges)), form=form))) == expected
 
 
-def test_array_form_with_split_lists(edges_of, monkeypatch):
-    from archipelago.operators import ccf
+HUBS = [(1, n) for n in range(2, 40)] + [(n, 50) for n in range(30, 45)] + random_edges(4, 40, 60)
 
-    short = lambda symmetric, by, total: adjacency_lists(symmetric, by, list_length=5, total=total)
-    monkeypatch.setattr(ccf, "adjacency_lists", short)
-    edges = [(1, n) for n in range(2, 40)] + [(n, 50) for n in range(30, 45)] + random_edges(4, 40, 60)
-    expected, new = step(edges)
-    pairs = ar.normalise(edges_of(edges))
-    assert set(rows(ar.ccf_step(pairs, form="array"))) == expected
-    assert emitted_pairs(pairs, form="array").agg(F.sum("fresh")).first()[0] == new
+
+def test_array_form_with_split_lists(edges_of):
+    expected, new = step(HUBS)
+    pairs = ar.normalise(edges_of(HUBS))
+    assert set(rows(ar.ccf_step(pairs, form="array", list_length=5))) == expected
+    emitted = emitted_pairs(pairs, form="array", list_length=5)
+    assert emitted.agg(F.sum("fresh")).first()[0] == new
+
+
+@pytest.mark.parametrize("form", ["join", "array"])
+@pytest.mark.parametrize("ids", [(1, 2), (7, 40), (-3, 0)])
+def test_many_equal_pairs(spark, form, ids):
+    small, large = ids
+    pairs = spark.range(100_002).select(F.lit(large).cast("bigint").alias("node"), F.lit(small).cast("bigint").alias("component"))
+    assert rows(ar.ccf_step(pairs, form=form)) == [(large, small)]
+
+
+def test_lists_do_not_depend_on_duplicates(spark):
+    edges = spark.range(250_000).selectExpr("1L as src", "2L as dst")
+    assert rows(ar.adjacency_lists(ar.symmetrize(edges))) == [(1, 0, [2]), (2, 0, [1])]
+
+
+def test_steps_write_their_input_once(spark, edges_of, tmp_path):
+    with RoundTables(spark, str(tmp_path)) as tables:
+        result = ar.ccf_step(ar.normalise(edges_of(TOY)), tables=tables)
+        assert set(rows(result)) == FIRST
+        assert [d.split("-", 1)[1] for d in os.listdir(tables.folder)] == ["pairs"]
+    assert os.listdir(tmp_path) == []
 
 
 def test_unknown_form(edges_of):

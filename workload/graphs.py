@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from archipelago import edges_from_columns, edges_from_shared_value
 
-# Where two columns number different things, the second one's ids start here.
-OTHER_KIND = 1_000_000_000
 # A line that two documents share links them if it has at least this many characters.
 TELLING_LINE = 40
 
@@ -27,28 +25,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def order_part(spark: SparkSession, folder: str) -> DataFrame:
     """Orders and the parts they contain."""
-    return edges_from_columns(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey", OTHER_KIND)
+    return edges_from_columns(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey", two_kinds=True)
 
 
 def bulk_order_part(spark: SparkSession, folder: str) -> DataFrame:
     """Orders and the parts they contain in bulk (a quantity of 49 or 50)."""
     bulk = table(spark, folder, "lineitem").filter(F.col("l_quantity") >= 49)
-    return edges_from_columns(bulk, "l_orderkey", "l_partkey", OTHER_KIND)
+    return edges_from_columns(bulk, "l_orderkey", "l_partkey", two_kinds=True)
 
 
 def part_supplier(spark: SparkSession, folder: str) -> DataFrame:
     """Parts and the suppliers they came from: few suppliers, so every one of them is a hub."""
-    return edges_from_columns(table(spark, folder, "lineitem"), "l_partkey", "l_suppkey", OTHER_KIND)
+    return edges_from_columns(table(spark, folder, "lineitem"), "l_partkey", "l_suppkey", two_kinds=True)
 
 
 def customer_order(spark: SparkSession, folder: str) -> DataFrame:
     """Customers and their orders."""
-    return edges_from_columns(table(spark, folder, "orders"), "o_custkey", "o_orderkey", OTHER_KIND)
+    return edges_from_columns(table(spark, folder, "orders"), "o_custkey", "o_orderkey", two_kinds=True)
 
 
 def supplier_nation(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers and their nations."""
-    return edges_from_columns(table(spark, folder, "supplier"), "s_suppkey", "s_nationkey", OTHER_KIND)
+    return edges_from_columns(table(spark, folder, "supplier"), "s_suppkey", "s_nationkey", two_kinds=True)
 
 
 def doc_copies(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,13 +54,13 @@ def doc_copies(spark: SparkSession, folder: str) -> DataFrame:
     return edges_from_shared_value(table(spark, folder, "documents"), "doc_id", "text")
 
 
-def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that share a telling line."""
+def doc_lines(spark: SparkSession, folder: str, hot_rows: int | None = None) -> DataFrame:
+    """Documents that share a line of at least ``TELLING_LINE`` characters, which the SQL asks for too."""
     lines = table(spark, folder, "documents").select(
         "doc_id", F.explode(F.split("text", "\n")).alias("line")
     )
     telling = lines.select("doc_id", F.trim("line").alias("line")).filter(F.length("line") >= TELLING_LINE)
-    return edges_from_shared_value(telling, "doc_id", "line")
+    return edges_from_shared_value(telling, "doc_id", "line", hot_rows)
 
 
 def _star_sql(holders: str) -> str:
@@ -73,13 +71,13 @@ def _star_sql(holders: str) -> str:
 
 
 EDGE_SQL: dict[str, str] = {
-    "order_part": f"select l_orderkey as src, {OTHER_KIND} + l_partkey as dst from lineitem",
-    "bulk_order_part": f"""
-        select l_orderkey as src, {OTHER_KIND} + l_partkey as dst from lineitem where l_quantity >= 49""",
-    "part_supplier": f"select l_partkey as src, {OTHER_KIND} + l_suppkey as dst from lineitem",
-    "customer_order": f"select o_custkey as src, {OTHER_KIND} + o_orderkey as dst from orders",
-    "supplier_nation": f"""
-        select s_suppkey as src, cast({OTHER_KIND} + s_nationkey as bigint) as dst from supplier""",
+    "order_part": "select 2 * l_orderkey as src, 2 * l_partkey + 1 as dst from lineitem",
+    "bulk_order_part": """
+        select 2 * l_orderkey as src, 2 * l_partkey + 1 as dst from lineitem where l_quantity >= 49""",
+    "part_supplier": "select 2 * l_partkey as src, 2 * l_suppkey + 1 as dst from lineitem",
+    "customer_order": "select 2 * o_custkey as src, 2 * o_orderkey + 1 as dst from orders",
+    "supplier_nation": """
+        select 2 * s_suppkey as src, cast(2 * s_nationkey + 1 as bigint) as dst from supplier""",
     "doc_copies": _star_sql("select doc_id, text as held from documents"),
     "doc_lines": _star_sql(
         f"""

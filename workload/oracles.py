@@ -114,8 +114,12 @@ def oracle_sql() -> dict[str, str]:
         "adjacency_lists": f"""select src as node, cast(0 as bigint) as part, count(*) as degree,
             string_agg(cast(dst as varchar), ',' order by dst) as neighbours
             from ({_symmetric(edges)}) sym group by src""",
+        "adjacency_lists_split": f"""select src as node, count(*) as degree, count(*) > 50 as several,
+            string_agg(cast(dst as varchar), ',' order by dst) as neighbours
+            from ({_symmetric(EDGE_SQL['part_supplier'])}) sym group by src""",
         "ccf_step_join": _step_pairs("order_part"),
         "ccf_step_array": _step_pairs("order_part"),
+        "ccf_step_array_split": _step_pairs("part_supplier"),
         "new_pair_count": f"{_step(edges)} select count(*) as new_pairs from emitted",
         "cc_pairs_no_roots": f"{documents} select node, component from cc where node <> component",
         "cc_pairs_by_component": f"{documents} select component, node from cc where node <> component",
@@ -125,6 +129,8 @@ def oracle_sql() -> dict[str, str]:
         "cc_by_ccf_array": _cc("order_part"),
         "cc_by_ccf_join": _cc("part_supplier"),
         "cc_by_contraction": _cc("order_part"),
+        "cc_part_supplier_hot": _cc("part_supplier"),
+        "cc_doc_lines_hot": _cc("doc_lines"),
         "component_count": f"{documents} {count}",
         "component_count_file": f"{_components(EDGE_SQL['customer_order'])} {count}",
         "component_count_pairs": f"{documents} {count}",

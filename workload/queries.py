@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import archipelago as ar
 from archipelago.sources.round_tables import RoundTables
 from workload import graphs
-from workload.graphs import OTHER_KIND, EdgeSet, table
+from workload.graphs import EdgeSet, table
 from workload.oracles import MULTI, PREVIEW_ROWS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +46,8 @@ def edge_file_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 def edge_lines_malformed(spark: SparkSession, folder: str) -> DataFrame:
     """Every line item as a line, in one of seven shapes of which three are edges."""
-    src = F.col("l_orderkey").cast("string")
-    dst = (F.col("l_partkey") + OTHER_KIND).cast("string")
+    src = (2 * F.col("l_orderkey")).cast("string")
+    dst = (2 * F.col("l_partkey") + 1).cast("string")
     shapes = {
         1: F.concat_ws("\t", src, dst),
         2: F.concat_ws("\t", src, dst, F.lit("extra")),
@@ -85,6 +85,18 @@ def adjacency_lists(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def adjacency_lists_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists of about 50 neighbours: what all lists of a node hold together."""
+    lists = ar.adjacency_lists(ar.symmetrize(graphs.part_supplier(spark, folder)), list_length=50)
+    each = lists.select("node", "part", F.explode("neighbours").alias("neighbour"))
+    held = F.transform(F.array_sort(F.collect_list("neighbour")), lambda n: n.cast("string"))
+    return each.groupBy("node").agg(
+        F.count(F.lit(1)).alias("degree"),
+        (F.count_distinct("part") > 1).alias("several"),
+        F.array_join(held, ",").alias("neighbours"),
+    )
+
+
 def ccf_step_join(spark: SparkSession, folder: str) -> DataFrame:
     return ar.ccf_step(normalise(spark, folder), form="join")
 
@@ -93,6 +105,11 @@ def ccf_step_array(spark: SparkSession, folder: str) -> DataFrame:
     return ar.ccf_step(normalise(spark, folder), form="array")
 
 
+def ccf_step_array_split(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = ar.normalise(graphs.part_supplier(spark, folder))
+    return ar.ccf_step(pairs, form="array", list_length=50)
+
+
 def new_pair_count(spark: SparkSession, folder: str) -> DataFrame:
     return ar.new_pair_count(normalise(spark, folder))
 
@@ -141,12 +158,21 @@ def cc_by_contraction(spark: SparkSession, folder: str) -> DataFrame:
     return ar.connected_components(graphs.order_part(spark, folder), method="contract")
 
 
+def cc_part_supplier_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with every supplier and many parts as hot keys."""
+    return ar.connected_components(graphs.part_supplier(spark, folder), hot_rows=20)
+
+
+def cc_doc_lines_hot(spark: SparkSession, folder: str) -> DataFrame:
+    return ar.connected_components(graphs.doc_lines(spark, folder, hot_rows=3), hot_rows=3)
+
+
 def component_count(spark: SparkSession, folder: str) -> DataFrame:
     return ar.component_count(document_components(spark, folder))
 
 
 def component_count_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return ar.component_count(cc_pairs_no_roots(spark, folder), roots=False)
+    return ar.component_count(cc_pairs_no_roots(spark, folder))
 
 
 def component_count_file(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,8 +224,10 @@ def queries() -> dict[str, Query]:
             normalise,
             neighbour_min,
             adjacency_lists,
+            adjacency_lists_split,
             ccf_step_join,
             ccf_step_array,
+            ccf_step_array_split,
             new_pair_count,
             cc_pairs_no_roots,
             cc_pairs_by_component,
@@ -207,6 +235,8 @@ def queries() -> dict[str, Query]:
             cc_by_ccf_array,
             cc_by_ccf_join,
             cc_by_contraction,
+            cc_part_supplier_hot,
+            cc_doc_lines_hot,
             component_count,
             component_count_pairs,
             component_count_file,
