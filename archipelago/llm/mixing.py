@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archipelago.llm.tables import row_key, spread_join, written
+from archipelago.llm.tables import row_key, small_side, spread_join, written
 
 # Fixed values of the mix: the weights in turn, the share of all sizes, and the cap.
 WEIGHTS = (3, 1, 2)
@@ -241,7 +241,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     return (
         docs.withColumn("_mix_key", key())
         .withColumns({key_a: F.col("_mix_key.a"), key_b: F.col("_mix_key.b")})
-        .join(copies, [key_a, key_b])
+        .join(small_side(copies, "copies"), [key_a, key_b])
         .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
         .select(*docs.columns)
     )

@@ -26,7 +26,7 @@ from archipelago.llm.arrays import (
     text_pieces,
     words,
 )
-from archipelago.llm.tables import row_key, spread_join, written
+from archipelago.llm.tables import row_key, small_side, spread_join, written
 
 # Fixed values of the base rules.
 FEWEST_WORDS = 20
@@ -314,5 +314,7 @@ def key() -> Column:
 
 def reject_outliers(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    gone = judged(docs).filter(~F.col("kept")).select(F.struct("a", "b").alias("_verdict_key")).distinct()
-    return docs.withColumn("_verdict_key", key()).join(gone, "_verdict_key", "left_anti").select(*docs.columns)
+    names = {"a": "_verdict_a", "b": "_verdict_b"}
+    gone = judged(docs).filter(~F.col("kept")).select("a", "b").distinct().withColumnsRenamed(names)
+    keyed = docs.withColumn("_verdict", key()).withColumns({n: F.col(f"_verdict.{k}") for k, n in names.items()})
+    return keyed.join(small_side(gone, "rejected"), list(names.values()), "left_anti").select(*docs.columns)

@@ -15,6 +15,8 @@ from archipelago.sources.round_tables import RoundTables
 # Bytes of text in a shard, and in one row of it.
 SHARD_BYTES = 8 << 20
 ROW_BYTES = 1 << 20
+# The largest side of a join that is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return RoundTables(df.sparkSession).write(df, name).df
 
 
+def small_side(df: DataFrame, name: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A side of a join with rows of a few numbers, written and counted; broadcast if it has ``most`` bytes at most.
+
+    A larger one is joined as Spark sees fit. The rows that come out are the same.
+    """
+    side = RoundTables(df.sparkSession).write(df, name)
+    fits = side.rows * 8 * (len(df.columns) + 1) <= most
+    return F.broadcast(side.df) if fits else side.df
+
+
 def row_key(*columns: Column | str) -> Column:
     """128 bits that identify a row by the values of some columns; null differs from any value."""
     parts = []

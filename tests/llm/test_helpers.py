@@ -1,0 +1,92 @@
+"""The helpers that the operators share."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from archipelago.llm import arrays, tables
+from tests.llm import brute
+from tests.llm.conftest import same
+
+
+def column(rows):
+    return pa.array([r[1] for r in rows], pa.string())
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 20])
+def test_words_and_hashes(rows, size):
+    seen: dict[bytes, int] = {}
+    for first, end, data, limits in arrays.text_pieces(column(rows), size):
+        data = arrays.lower_case(data)
+        starts, ends, counts = arrays.words(data, limits, arrays.any_but_white())
+        hashes = arrays.span_hashes(data, starts, ends)
+        words = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        expected = [brute.WORD.findall(brute.lower(r[1]).encode()) for r in rows[first:end]]
+        assert counts.tolist() == [len(x) for x in expected]
+        assert words == [w for x in expected for w in x]
+        for word, value in zip(words, hashes.tolist(), strict=True):
+            assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_shingles(rows):
+    names: dict = {}
+    for first, end, data, limits in arrays.text_pieces(column(rows), 5000):
+        data = arrays.lower_case(data)
+        starts, ends, counts = arrays.words(data, limits, arrays.any_but_white())
+        values, found = arrays.shingles(arrays.span_hashes(data, starts, ends), counts, 5)
+        at = 0
+        for row, count in zip(rows[first:end], found.tolist(), strict=True):
+            own, at = set(values[at : at + count].tolist()), at + count
+            expected = brute.shingles(row[1])
+            assert len(own) == len(expected)
+            assert names.setdefault(expected, own) == own
+
+
+def test_slices_of_columns():
+    given = pa.array(["ab", None, "é", "", "xyz"], pa.string()).slice(1, 3)
+    data, limits = arrays.utf8(given)
+    assert data.tobytes() == "é".encode() and limits.tolist() == [0, 0, 2, 2]
+    data, limits = arrays.utf8(pa.array([], pa.string()))
+    assert len(data) == 0 and limits.tolist() == [0]
+    data, limits = arrays.utf8(pa.array([b"a", None], pa.large_binary()))
+    assert data.tobytes() == b"a" and limits.tolist() == [0, 1, 1]
+
+
+def test_packing():
+    given = [np.array([3, 5, 2**63], np.uint64), np.zeros(0, np.float32), np.array([True, False]), np.arange(5, dtype=np.int16)]
+    for a, b in zip(given, arrays.unpack(arrays.pack(*given)), strict=True):
+        assert a.dtype == b.dtype and a.tolist() == b.tolist()
+    assert np.cumsum(arrays.differences(given[0]), dtype=np.uint64).tolist() == given[0].tolist()
+    parts = arrays.split_runs(np.array([2, 0, 2, 1, 0]), 4)
+    assert [p.tolist() for p in parts] == [[1, 4], [3], [0, 2], []]
+
+
+def test_shards_hold_every_row_once(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(tables, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(tables, "ROW_BYTES", 1000)
+    shards = tables.text_shards(docs.select("doc_id", "text"))
+    found = []
+    for batch in shards.collect():
+        found += [tuple(r.values()) for r in tables.from_ipc([bytes(batch["payload"])]).to_pylist()]
+    same(found, [r[:2] for r in rows])
+    assert shards.select("shard").distinct().count() > 10
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_joins_give_what_plain_joins_give(spark, how):
+    left = spark.range(300).select((F.col("id") % 7).alias("k"), F.col("id").alias("n"))
+    right = spark.range(2, 20).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    expected = left.join(right, "k", how).collect()
+    same(tables.spread_join(left, right, ["k"], "n", how, parts=5).collect(), expected)
+    for most in (0, 1 << 20):
+        same(left.join(tables.small_side(right, "right", most), "k", how).collect(), expected)
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = [(None, "a"), ("a", None), ("", "a"), ("a", ""), (None, None), ("", ""), ("a", "a")]
+    keys = spark.createDataFrame(rows, "x string, y string").select(tables.row_key("x", "y").alias("k")).collect()
+    assert len({tuple(r["k"]) for r in keys}) == len(rows)
