@@ -23,16 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.operators import lookup, normalise
-from archipelago.sources.round_tables import RoundTable, RoundTables
+from archipelago.sources.round_tables import RoundTables
 
 
 @dataclass(frozen=True)
 class Flat:
-    """Pointers to roots, how many there are, and the tables they are read from."""
+    """Pointers to roots, and how many there are."""
 
     pointers: DataFrame
     rows: int
-    tables: list[RoundTable]
 
 
 def pointers(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -64,38 +63,30 @@ def double_pointers(
 def flatten(
     tables: RoundTables,
     forest: DataFrame,
+    total: int,
     by: Sequence[str] = (),
     hot_rows: int | None = None,
 ) -> Flat:
-    """Point every node of a forest (``node``, ``parent``, and ``at_root`` where that is known) at its root.
+    """Point every node of a forest (``node``, ``parent``; ``total`` pointers at most) at its root.
 
     Each pass follows and writes only the pointers that may not have arrived yet, so the passes get smaller: the
     pointers they can run into are picked by a semi-join with the few, and the rest of the forest is not shuffled
     again. A pointer that meets one that has arrived has arrived itself, so no pass is spent on finding that out.
+    The first pass reads ``forest`` twice; Spark computes an aggregation like that of :func:`pointers` once.
     """
-    if "at_root" not in forest.columns:
-        forest = forest.withColumn("at_root", F.lit(False))
-    trees = tables.write(forest, "forest")
-    passes = [
-        tables.write(
-            double_pointers(trees.df.select(*by, "node", "parent"), trees.df, by, trees.rows, hot_rows),
-            "pointers",
-            moved=F.count_if("moved"),
-        )
-    ]
-    tables.drop(trees)
+    first = double_pointers(forest, forest.withColumn("at_root", F.lit(False)), by, total, hot_rows)
+    passes = [tables.write(first, "pointers", moved=F.count_if("moved"))]
     while passes[-1].sums["moved"]:
         last = passes[-1]
         moving = last.df.filter("moved").drop("moved")
-        known = [table.df.filter(~F.col("moved")).withColumn("moved", F.lit(True)) for table in passes]
-        known.append(last.df.filter("moved").withColumn("moved", F.lit(False)))
-        ahead = _union(known).withColumnRenamed("moved", "at_root")
+        ahead = _union([table.df.filter(~F.col("moved")).withColumn("at_root", F.lit(True)) for table in passes])
+        ahead = ahead.drop("moved").unionByName(moving.withColumn("at_root", F.lit(False)))
         targets = moving.select(*by, F.col("parent").alias("node")).distinct()
         ahead = ahead.join(targets, [*by, "node"], "left_semi")
         onward = double_pointers(moving, ahead, by, last.sums["moved"], hot_rows)
         passes.append(tables.write(onward, "pointers", moved=F.count_if("moved")))
     settled = _union([table.df.filter(~F.col("moved")).drop("moved") for table in passes])
-    return Flat(settled, trees.rows, passes)
+    return Flat(settled, passes[0].rows)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -140,7 +131,7 @@ def _rounds(
     while current.rows:
         if len(forests) == max_rounds:
             raise RuntimeError(f"still {current.rows} edges between components after {max_rounds} rounds")
-        forest = flatten(tables, pointers(current.df, by), by, hot_rows)
+        forest = flatten(tables, pointers(current.df, by), current.rows, by, hot_rows)
         forests.append(forest)
         if forest.rows == current.rows:
             break  # one smaller neighbour each: the edges were a forest, and nothing is left
