@@ -42,6 +42,19 @@ def test_several_and_compressed_files(spark, tmp_path):
     assert rows(edges) == [*TOY, (8, 9)]
 
 
+def test_paths_of_any_file_system(spark, tmp_path):
+    """A path that only Spark's readers and writers can open."""
+    (tmp_path / "toy.txt").write_text(TOY_FILE)
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    configuration.set("fs.viewfs.mounttable.graphs.link./in", f"file://{tmp_path}")
+    edges = ar.read_edge_file(spark, "viewfs://graphs/in/toy.txt", on_bad="fail")
+    assert rows(edges) == TOY
+    with RoundTables(spark, "viewfs://graphs/in/rounds") as tables:
+        assert ar.component_count(ar.connected_components(edges, tables=tables)).first()[0] == 2
+        ar.write_assignments(ar.connected_components(edges, tables=tables), "viewfs://graphs/in/out")
+    assert ar.read_assignments(spark, "viewfs://graphs/in/out").count() == 8
+
+
 def test_windows_line_ends_and_comma_in_the_first_line(spark, tmp_path):
     (tmp_path / "w.txt").write_bytes(b"# a, b\r\n1\t2\r\n\r\n2\t3\r\n")
     assert rows(ar.read_edge_file(spark, str(tmp_path / "w.txt"), on_bad="fail")) == [(1, 2), (2, 3)]
