@@ -14,8 +14,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipelago.llm.tables import row_key, spread_join, union
-from archipelago.sources.round_tables import RoundTable, RoundTables
+from archipelago.llm.tables import row_key, run_tables, spread_join, union
+from archipelago.sources.round_tables import RoundTable
 
 # Code points that a key needs, and documents that must hold it.
 KEY_LENGTH = 40
@@ -59,7 +59,7 @@ class LineRuns:
     """The line keys of all batches so far, as runs sorted by key, in levels."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
-        self._tables = RoundTables(spark)
+        self._tables = run_tables(spark)
         self._fanout = fanout
         self.levels: list[list[RoundTable]] = [[]]
 
@@ -76,8 +76,10 @@ class LineRuns:
     def add(self, batch: DataFrame) -> RoundTable:
         """Add the keys of a batch of :func:`keyed_lines` and return its run.
 
-        A batch must hold all rows of the documents in it. ``fresh`` marks keys that no earlier batch had.
+        A batch must hold all rows of the documents in it. ``fresh`` marks keys that no earlier batch had. The run
+        can be read until the next batch is added.
         """
+        self._compact()
         own = (
             batch.select("line", "doc_id")
             .distinct()
@@ -94,9 +96,7 @@ class LineRuns:
             seen = own.join(known.hint("merge"), "line", "left_semi").withColumn("fresh", F.lit(False))
             run = fresh.unionByName(seen)
         self._write(run, 0)
-        added = self.levels[0][-1]
-        self._compact()
-        return added
+        return self.levels[0][-1]
 
     def _compact(self) -> None:
         level = 0
@@ -104,6 +104,7 @@ class LineRuns:
             if len(self.levels[level]) >= self._fanout:
                 full, self.levels[level] = self.levels[level], []
                 self._write(_merge(union(*[run.df for run in full])), level + 1)
+                self._tables.drop(*full)
             level += 1
 
     def repeated(self, documents: int = DOCUMENTS) -> DataFrame:

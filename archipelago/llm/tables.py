@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
+from contextvars import ContextVar
 from functools import reduce
 
 import pyarrow as pa
@@ -24,9 +26,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_tables: ContextVar[RoundTables | None] = ContextVar("_tables", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, folder: str | None = None) -> Iterator[RoundTables]:
+    """The intermediate tables of all operators called in a ``with`` block, deleted at its end.
+
+    What the operators return reads these tables, so it has to be written elsewhere before. Without such a
+    block the tables stay in the shared folder.
+    """
+    with RoundTables(spark, folder) as tables:
+        token = _tables.set(tables)
+        try:
+            yield tables
+        finally:
+            _tables.reset(token)
+
+
+def run_tables(spark: SparkSession) -> RoundTables:
+    """Where operators put their intermediate tables."""
+    return _tables.get() or RoundTables(spark)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once, as a table in the shared folder, and read it back."""
-    return RoundTables(df.sparkSession).write(df, name).df
+    return run_tables(df.sparkSession).write(df, name).df
 
 
 def small_side(df: DataFrame, name: str, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -34,7 +59,7 @@ def small_side(df: DataFrame, name: str, most: int = BROADCAST_BYTES) -> DataFra
 
     A larger one is joined as Spark sees fit. The rows that come out are the same.
     """
-    side = RoundTables(df.sparkSession).write(df, name)
+    side = run_tables(df.sparkSession).write(df, name)
     fits = side.rows * 8 * (len(df.columns) + 1) <= most
     return F.broadcast(side.df) if fits else side.df
 

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from archipelago.llm.arrays import pieces, utf8
 from archipelago.llm.pretokens import PieceEncoder
 from archipelago.llm.rans import Decoder, Frequencies, encode
-from archipelago.llm.tables import written
-from archipelago.sources.round_tables import RoundTables
+from archipelago.llm.tables import run_tables, written
 
 # Ids of a block, unless a single document has more.
 BLOCK = 1 << 20
@@ -190,4 +189,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def new_path(spark: SparkSession) -> str:
     """A path in the shared folder for a file that only this run needs."""
-    return RoundTables(spark).new_path("tokens")
+    return run_tables(spark).new_path("tokens")

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from archipelago.llm import decontaminate, mixing, near_copies, quality
 from archipelago.llm.queries import token_digests
-from archipelago.llm.tables import table, written
+from archipelago.llm.tables import scratch, table
+from archipelago.sources.round_tables import RoundTables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,7 +59,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the whole table of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), RoundTables(spark)
+    last = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        # A stage's own tables go when its rows are written, and these when the next stage's are.
+        with scratch(spark):
+            rows = kept.write(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            kept.drop(last)
+        docs, last = rows.df, rows
     return docs

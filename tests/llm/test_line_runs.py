@@ -34,7 +34,7 @@ def test_runs_are_compacted_and_tell_new_keys(spark):
         # The shared line is new in the first batch only; it is in two documents of each.
         assert sorted(r["fresh"] for r in run) == ([True, True] if batch == 0 else [False, True])
         assert {r["documents"] for r in run} == {2}
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
+    assert [len(level) for level in runs.levels] == [3, 2]
     repeated = runs.repeated(18).collect()
     assert len(repeated) == 1 and repeated[0]["largest"] == 81
     assert len(runs.repeated(2).collect()) == 10
