@@ -2,11 +2,11 @@
 
 Each document's word shingles are hashed into registers, each the minimum of an own hash over all
 shingles, kept as its leading-zero count and the bits that follow (the mantissa). Equal shingle sets are
-one class from there on. Bands of registers name buckets, and in a bucket every class is
-paired with the smallest one only. Register agreement, corrected for chance collisions, drops hopeless
-pairs; the others are compared by their full shingle sets. What the pairs with the smallest
-leave open in a bucket (members that ended in different components) is compared in blocks, so no link
-between two members of a bucket is lost and no bucket is ever unfolded into all its pairs.
+one class from there on. Bands of registers name buckets. Members of a bucket whose registers agree enough,
+corrected for chance collisions, belong to one family: first every member is compared with the bucket's
+smallest, then those that are not near it are compared with the others in blocks. Only edges
+that join families come out, never all pairs of a bucket. Within a family, the links are then
+verified on full shingle sets, again in blocks of which only joining links come out.
 """
 
 from __future__ import annotations
@@ -15,12 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from archipelago import connected_components
-from archipelago.llm.arrays import any_but_white, lower_case, mix, shingles, span_hashes, text_pieces, words
-from archipelago.llm.tables import written
+from archipelago.llm.arrays import (
+    any_but_white,
+    lower_case,
+    mix,
+    release,
+    shingles,
+    span_hashes,
+    text_pieces,
+    words,
+)
+from archipelago.llm.tables import run_tables, small_side, spread_join, written
 
 WORDS = 5
 # Linked if LEAST percent of the union are shared.
@@ -35,10 +44,12 @@ ZERO_BITS = 6
 MANTISSA_BITS = 10
 # Pairs with less agreement than this are hopeless: six standard deviations under the limit.
 HOPELESS = LEAST / 100 - 6 * (0.75 * 0.25 / REGISTERS) ** 0.5
-# Members of a bucket that are compared with as many others at a time.
-BLOCK = 1024
+# Members of a bucket or family that are compared with as many others at a time.
+BLOCK = 512
+# Columns of the tables of shingles that are multiplied at a time.
+_WIDTH = 4096
 
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 def _shingle_sets(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +133,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     ],
                     names=names,
                 )
+        release()
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), node().alias("node"), "text")
     return own.mapInArrow(run, schema)
@@ -168,21 +180,21 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, shingles``: the sorted shingle sets of some documents."""
+def _sets(docs: DataFrame, families: DataFrame) -> DataFrame:
+    """``family, chunks, node, shingles``: the sorted shingle sets of the documents in families."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, limits in text_pieces(batch.column(1), _PIECE):
+            for first, end, data, limits in text_pieces(batch.column(3), _PIECE):
                 hashes, at = _shingle_sets(data, limits)
                 values = [np.unique(hashes[at[i] : at[i + 1]]).tobytes() for i in range(end - first)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(values, pa.binary())],
-                    names=["node", "shingles"],
-                )
+                own = batch.slice(first, end - first)
+                yield own.set_column(3, "shingles", pa.array(values, pa.binary()))
+        release()
 
-    texts = docs.select(node().alias("node"), "text").join(nodes, "node", "left_semi")
-    return texts.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+    texts = docs.select(node().alias("node"), "text").join(small_side(families, "members"), "node")
+    shape = "family bigint, chunks bigint, node bigint, shingles binary"
+    return texts.select("family", "chunks", "node", "text").mapInArrow(run, shape).dropDuplicates(["node"])
 
 
 def node() -> Column:
@@ -191,41 +203,34 @@ def node() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), made)
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _join(label: np.ndarray, a: int, others: np.ndarray) -> Iterator[int]:
+    """Give all ``others`` the label of ``a``; yields one of them for each label that goes."""
+    gone, first = np.unique(label[others], return_index=True)
+    for old, at in zip(gone.tolist(), first.tolist(), strict=True):
+        if old != label[a]:
+            label[label == old] = label[a]
+            yield int(others[at])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                enough = 100 * min(len(a), len(b)) >= LEAST * max(len(a), len(b))
-                if enough:
-                    both = np.sort(np.concatenate((a, b)), kind="stable")
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    enough = 100 * shared >= LEAST * (len(both) - shared)
-                keep.append(enough)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return (
-        pairs.join(sets.toDF("dst", "right"), "dst")
-        .join(sets.toDF("src", "left"), "src")
-        .select("src", "dst", "left", "right")
-        .mapInArrow(run, "src bigint, dst bigint")
-    )
+def _edges(pairs: list[tuple[int, int]]) -> dict[str, pa.Array]:
+    return {
+        "src": pa.array([min(p) for p in pairs], pa.int64()),
+        "dst": pa.array([max(p) for p in pairs], pa.int64()),
+    }
 
 
-def _left_open(members: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components that the bucket's smallest member doesn't settle.
+def _left_open(members: DataFrame, near: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (``src, dst``) between members of a bucket that its smallest member doesn't join.
 
-    ``few`` are the members outside the smallest member's component. Each pair to look at has one of
-    them, so blocks of the few meet blocks of all members. What comes out are the promising pairs.
+    That one has been compared with all others; ``near`` are its edges. ``few`` are the members without one. Each pair
+    left to look at has one of them, so blocks of the few meet blocks of all members.
     """
+    joined = near.toDF("leader", "node").withColumn("near", F.lit(True))
     labelled = (
-        members.join(component.toDF("node", "component"), "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .join(component.toDF("leader", "of_leader"), "leader", "left")
-        .withColumn("few", F.col("component") != F.coalesce("of_leader", "leader"))
+        members.join(joined, ["leader", "node"], "left")
+        .withColumn("few", F.col("near").isNull() & (F.col("node") != F.col("leader")))
+        .withColumn("label", F.when(F.col("few"), F.col("node")).otherwise(F.col("leader")))
+        .drop("near")
     )
     open_ = (
         labelled.groupBy("band", "bucket")
@@ -233,41 +238,124 @@ def _left_open(members: DataFrame, component: DataFrame, classes: DataFrame) ->
         .filter((F.col("n") > 2) & (F.col("n_few") > 0))
         .withColumns({"n": F.ceil(F.col("n") / BLOCK), "n_few": F.ceil(F.col("n_few") / BLOCK)})
     )
-    rows = (
-        labelled.join(open_, ["band", "bucket"])
-        .join(classes.select("node", "registers"), "node")
-        .withColumn("own", F.xxhash64("node"))
-    )
-    shape = ["band", "bucket", "i", "j", "side", "node", "leader", "component", "registers"]
-    many = rows.withColumns(
-        {"side": F.lit(0), "i": F.explode(F.sequence(F.lit(0), F.col("n_few").cast("int") - 1))}
-    ).withColumn("j", F.pmod("own", "n").cast("int"))
-    few = (
-        rows.filter("few")
-        .withColumns({"side": F.lit(1), "j": F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))})
-        .withColumn("i", F.pmod("own", "n_few").cast("int"))
-    )
+    rows = labelled.join(open_, ["band", "bucket"]).join(classes.select("node", "registers"), "node")
 
     def run(group: pa.Table) -> pa.Table:
-        value = {name: group.column(name).to_numpy() for name in ("side", "node", "leader", "component")}
+        side, ids, label, few = (group.column(n).to_numpy() for n in ("side", "node", "label", "few"))
         sketch = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        others = np.flatnonzero(value["side"] == 0)
-        src, dst = [], []
-        for at in np.flatnonzero(value["side"] == 1):
-            a, leader = value["node"][at], value["leader"][at]
-            node, component = value["node"][others], value["component"][others]
-            fits = (component != value["component"][at]) & (node != leader) & (a != leader)
-            near = others[fits]
-            near = near[agreement(sketch[near], sketch[at]) >= HOPELESS]
-            src.append(np.minimum(a, value["node"][near]))
-            dst.append(np.maximum(a, value["node"][near]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"src": np.concatenate(src or none), "dst": np.concatenate(dst or none)})
-
-    blocks = many.select(*shape).unionByName(few.select(*shape)).groupBy("band", "bucket", "i", "j")
+        label, others, pairs = label.copy(), np.flatnonzero(side == 0), []
+        for a in np.flatnonzero(side == 1):
+            # A pair of two of the few meets twice: once is enough.
+            near = others[(label[others] != label[a]) & (~few[others] | (ids[others] > ids[a]))]
+            near = near[agreement(sketch[near], sketch[a]) >= HOPELESS]
+            pairs += [(int(ids[a]), int(ids[b])) for b in _join(label, a, near)]
+        return pa.table(_edges(pairs))
+
+    blocks = _blocks(rows, ["band", "bucket"], "n", "n_few", ["label", "registers"])
     return blocks.applyInArrow(run, "src bigint, dst bigint").distinct()
 
 
+def _blocks(rows: DataFrame, by: list[str], chunks: str, few_chunks: str, columns: list[str]) -> GroupedData:
+    """Groups in which a block of the ``few`` rows (side 1) meets a block of all rows (side 0)."""
+    shape = [*by, "i", "j", "side", "node", "few", *columns]
+    own = F.xxhash64("node")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
+
+    many = rows.withColumns({"side": F.lit(0), "i": every(few_chunks)})
+    many = many.withColumn("j", F.pmod(own, chunks).cast("int"))
+    few = rows.filter("few").withColumns({"side": F.lit(1), "j": every(chunks)})
+    few = few.withColumn("i", F.pmod(own, few_chunks).cast("int"))
+    return many.select(*shape).unionByName(few.select(*shape)).groupBy(*by, "i", "j")
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets ``left`` (rows) and ``right`` (columns) are similar enough, exactly."""
+    sizes = np.array([len(x) for x in left + right])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    values = np.concatenate(left + right)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    column = np.cumsum(new) - 1
+    # A shingle that a single set holds adds nothing.
+    several = np.bincount(column, minlength=1)[column] > 1
+    owner, column = owner[several], column[several]
+    column = np.cumsum(np.concatenate(([0], (column[1:] != column[:-1]).astype(np.int64)))) if len(column) else column
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _WIDTH):
+        begin, end = np.searchsorted(column, (first, first + _WIDTH))
+        held = np.zeros((len(sizes), min(_WIDTH, int(column[-1]) + 1 - first)), np.float32)
+        held[owner[begin:end], column[begin:end] - first] = 1
+        shared += held[: len(left)] @ held[len(left) :].T
+    a, b = sizes[: len(left), None], sizes[None, len(left) :]
+    return 100 * shared.astype(np.int64) >= LEAST * (a + b - shared.astype(np.int64))
+
+
+def _arrays(group: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(value.as_buffer(), np.uint64) for value in group.column("shingles")]
+
+
+def _family_components(sets: DataFrame) -> DataFrame:
+    """``node, component``: members of a family that full sets link, directly or by others, share a component."""
+    chunk = F.pmod(F.xxhash64("node"), "chunks").cast("int")
+    rows = sets.filter("node <> family").withColumn("chunk", chunk)
+    leaders = sets.filter("node = family").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))
+    )
+
+    def within(group: pa.Table) -> pa.Table:
+        ids, family = group.column("node").to_numpy(), group.column("family")[0].as_py()
+        arrays = _arrays(group)
+        near, label = linked(arrays, arrays), ids.copy()
+        for a in range(len(ids)):
+            for _ in _join(label, a, np.flatnonzero(near[a])):
+                pass
+        root = {old: int(ids[label == old].min()) for old in np.unique(label).tolist()}
+        top = label[ids == family]
+        if len(top):
+            root[int(top[0])] = family
+        return pa.table(
+            {
+                "family": group.column("family"),
+                "chunks": group.column("chunks"),
+                "node": group.column("node"),
+                "root": pa.array([root[x] for x in label.tolist()], pa.int64()),
+            }
+        )
+
+    shape = "family bigint, chunks bigint, node bigint, root bigint"
+    labels = written(rows.unionByName(leaders).groupBy("family", "chunk").applyInArrow(within, shape), "labels")
+
+    # Families of several chunks: members not linked to the smallest may be linked across chunks.
+    several = labels.filter("chunks > 1").withColumn("few", F.col("root") != F.col("family"))
+    open_ = several.groupBy("family").agg(F.count_if("few").alias("n_few")).filter("n_few > 0")
+    open_ = open_.withColumn("n_few", F.ceil(F.col("n_few") / BLOCK))
+    left = written(spread_join(several.dropDuplicates(["node"]).drop("chunks"), open_, ["family"], "node"), "open")
+    across = left.join(sets.filter("chunks > 1").drop("family"), "node")
+
+    def between(group: pa.Table) -> pa.Table:
+        side, ids, label, few = (group.column(n).to_numpy() for n in ("side", "node", "root", "few"))
+        a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        pairs: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            arrays, label = _arrays(group), label.copy()
+            near = linked([arrays[i] for i in a], [arrays[i] for i in b])
+            for at, i in enumerate(a.tolist()):
+                own = b[near[at] & (~few[b] | (ids[b] > ids[i]))]
+                pairs += [(int(ids[i]), int(ids[j])) for j in _join(label, i, own)]
+        return pa.table(_edges(pairs))
+
+    blocks = _blocks(across, ["family"], "chunks", "n_few", ["root", "shingles"])
+    across_links = blocks.applyInArrow(between, "src bigint, dst bigint")
+    links = left.filter("root <> node").select(F.col("root").alias("src"), F.col("node").alias("dst"))
+    settled = spread_join(labels, open_.select("family"), ["family"], "node", "left_anti")
+    settled = settled.select("node", F.col("root").alias("component")).distinct()
+    return settled.unionByName(_components(links.unionByName(across_links)))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, node, n_shingles, component_id, kept``: the group of near copies of each document.
 
@@ -300,15 +388,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .select(F.col("leader").alias("src"), F.col("node").alias("dst"))
         .distinct()
     )
-    first = written(_promising(stars, classes), "promising")
-    sets = written(_sets(given, _ends(first)), "sets")
-    links = written(_links(first, sets), "links")
-    component = written(connected_components(links), "components")
-
-    second = written(_left_open(members, component, classes), "left-open")
-    more = written(_links(second, written(_sets(given, _ends(second)), "more-sets")), "more-links")
-    if not more.isEmpty():
-        component = written(connected_components(links.unionByName(more)), "components")
+    near = written(_promising(stars, classes), "promising")
+    more = written(_left_open(members, near, classes), "left-open")
+    families = _components(near.unionByName(more))
+    families = families.select("node", F.col("component").alias("family"))
+    chunks = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
+    sets = written(_sets(given, spread_join(families, chunks, ["family"], "node")), "sets")
+    component = written(_family_components(sets), "components")
 
     group = classes.select("a", "b", "node").join(component, "node", "left")
     group = group.select("a", "b", F.coalesce("component", "node").alias("group"))
@@ -324,11 +410,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     )
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links, tables=run_tables(links.sparkSession))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     gone = near_copies(docs).filter(~F.col("kept")).select(F.col("node").alias("_copy")).distinct()
-    return docs.withColumn("_copy", node()).join(gone, "_copy", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_copy", node())
+    return keyed.join(small_side(gone, "copies"), "_copy", "left_anti").select(*docs.columns)
