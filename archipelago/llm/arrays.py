@@ -137,13 +137,23 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
     return mix(value + length.astype(np.uint64)), found
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def release() -> None:
+    """Give memory that is free inside this Python process back, as it lives on for other tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value. Sorted 64-bit arrays are best stored as differences."""
     parts = [len(arrays).to_bytes(4, "little")]
     for array in arrays:
         kind = array.dtype.str.encode()
         parts += [bytes([len(kind)]), kind, len(array).to_bytes(8, "little"), array.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
