@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archipelago.llm.arrays import find, letters_and_digits, lower_case, span_hashes, text_pieces, words
+from archipelago.llm.arrays import find, letters_and_digits, lower_case, release, span_hashes, text_pieces, words
 from archipelago.llm.fm_index import FMIndex
 
 WINDOW = 10
 # Bytes of text of a shard, and of benchmark items that are searched for at a time.
-SHARD = 1 << 22
+SHARD = 1 << 20
 ITEMS = 1 << 23
 
 _SPANS = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"
@@ -157,6 +157,7 @@ def _marked(docs: DataFrame, phrases: Phrases) -> DataFrame:
                 for name, column in new.items():
                     own = own.set_column(own.schema.get_field_index(name), name, column)
                 yield own
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

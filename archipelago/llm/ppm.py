@@ -30,6 +30,7 @@ from archipelago.llm.arrays import (
     merged,
     mix,
     pack,
+    release,
     span_hashes,
     split_runs,
     text_pieces,
@@ -45,7 +46,7 @@ SHARED = 1
 # A document is held out if the checksum of its id is this, modulo HELD_OUT_OF.
 HELD_OUT, HELD_OUT_OF = 2, 7
 
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _END = np.uint64(0x00E4D0FDEADBEEF1)  # the end token's hash
 
 
@@ -126,6 +127,7 @@ def _deal(shards: DataFrame, parts: int) -> DataFrame:
                 ],
                 names=["shard", "part", "payload"],
             )
+        release()
 
     return shards.mapInArrow(run, "shard bigint, part int, payload binary")
 
@@ -240,6 +242,7 @@ def _answer(dealt: DataFrame, shared: dict[int, tuple[np.ndarray, np.ndarray]])
             payloads.append(pack(differences(own_events), answer[0], differences(own_tokens), answer[1]))
             e, t = e + len(own_events), t + len(own_tokens)
         own = len(shards)
+        release()
         return pa.table(
             {
                 "shard": pa.array([*shards, -1 - key[0].as_py()], pa.int64()),
@@ -302,6 +305,7 @@ def _scored(shards: DataFrame, answers: DataFrame) -> DataFrame:
             n_tokens[first:end] = np.diff(begins)
             n_known[first:end] = np.add.reduceat(count > 0, begins[:-1], dtype=np.int64)
             log_counts[first:end] = np.add.reduceat(np.log10(count + 1.0), begins[:-1])
+        release()
         return pa.table(
             {
                 "totals": pa.array(np.zeros(rows, bool)),

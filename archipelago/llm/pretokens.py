@@ -16,7 +16,7 @@ _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 # Slots of the table of known pieces; it starts anew when half of them are taken.
-_SLOTS = 1 << 22
+_SLOTS = 1 << 21
 
 
 class PieceEncoder:
@@ -98,7 +98,7 @@ class PieceEncoder:
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key in the memory, -1 for unknown ones."""
         out = np.full(len(keys), -1, np.int32)
-        slot = (keys >> np.uint64(42)).astype(np.int64)
+        slot = (keys >> np.uint64(43)).astype(np.int64)
         todo = np.arange(len(keys))
         while len(todo):
             held = self._keys[slot]
@@ -124,7 +124,7 @@ class PieceEncoder:
         self._ids[self._used : self._used + len(flat)] = flat
         self._used += len(flat)
         places = np.arange(first, self._count, dtype=np.int32)
-        slot = (keys >> np.uint64(42)).astype(np.int64)
+        slot = (keys >> np.uint64(43)).astype(np.int64)
         while len(keys):
             _, own = np.unique(slot, return_index=True)
             own = own[self._keys[slot[own]] == 0]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from archipelago.llm.arrays import (
     any_but_white,
     mix,
+    release,
     shingles,
     span_hashes,
     text_pieces,
@@ -52,7 +53,7 @@ TAIL = 1e-9
 # Distance bins in a factor of two.
 BINS = 16
 
-_PIECE = 1 << 21
+_PIECE = 1 << 19
 
 
 def _statistics(data: np.ndarray, limits: np.ndarray) -> dict[str, np.ndarray]:
@@ -141,6 +142,7 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
                 columns += [pa.array(n[name], pa.int64()) for name in COUNTS]
                 columns += [pa.array(np.rint(share[name] * GRID).astype(np.int64)) for name in VECTOR]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *COUNTS, *(f"x_{n}" for n in VECTOR)])
+        release()
 
     return chosen.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from archipelago.llm.arrays import pieces, utf8
+from archipelago.llm.arrays import pieces, release, utf8
 from archipelago.llm.pretokens import PieceEncoder
 from archipelago.llm.rans import Decoder, Frequencies, encode
 from archipelago.llm.tables import run_tables, written
@@ -25,7 +25,7 @@ from archipelago.llm.tables import run_tables, written
 # Ids of a block, unless a single document has more.
 BLOCK = 1 << 20
 # Bytes of text that are cut into pieces at a time.
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 def _encoder(tokenizer_json: str, end: int) -> PieceEncoder:
@@ -92,6 +92,7 @@ def tokenized(docs: DataFrame, tokenizer_json: str, end: int) -> DataFrame:
                 held += len(new)
         if doc_ids:
             yield block()
+        release()
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     in_order = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -181,6 +182,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
+        release()
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
     blocks = spark.read.parquet(f"{path}/blocks").select("first_id", "doc_ids", "sizes", "block")
