@@ -46,7 +46,7 @@ FLOOR = 160  # grid steps
 # The share of a group that is sought, and the concentration steps.
 PART = 0.75
 STEPS = 6
-# Groups of fewer documents are judged together with the other small ones of their language.
+# Groups of fewer documents that pass the base rules are judged together with the other small ones of their language.
 FEWEST = 100
 # A clean document is rejected with this chance if the statistics are Gaussian.
 TAIL = 1e-9
@@ -173,13 +173,14 @@ def chi_square_quantile(chance: float, freedom: float) -> float:
 
 
 def _group(rows: DataFrame) -> DataFrame:
-    """Add ``grp``: language and source, or a pool of small groups."""
+    """Add ``grp``: language and source, or a pool of groups with few ``fit`` documents."""
     for columns in (("lang", "source"), ("lang",), ()):
         name = F.to_json(F.struct(F.lit(len(columns)).alias("columns"), *columns))
         if columns == ("lang", "source"):
             rows = rows.withColumn("grp", name)
             continue
-        small = rows.groupBy("grp").count().filter(F.col("count") < FEWEST).select("grp", F.lit(True).alias("_few"))
+        few = rows.groupBy("grp").agg(F.count_if("fit").alias("count")).filter(F.col("count") < FEWEST)
+        small = few.select("grp", F.lit(True).alias("_few"))
         rows = spread_join(rows, small, ["grp"], "a", "left").withColumn("grp", F.when(F.col("_few"), name).otherwise(F.col("grp"))).drop("_few")
     return rows
 
@@ -280,8 +281,8 @@ def judged(docs: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id, text, lang, source``; other columns are not read. ``base_failed`` documents are
     rejected and left out of the estimates. Others are rejected beyond the chi-square quantile of
     ``1 - TAIL``. Null languages and sources are groups of their own; a null or empty text has no words
-    and fails. If all small groups together have fewer than ``FEWEST`` documents, those are kept (their
-    distance is null). Equal rows get equal verdicts; an empty table gives an empty result. ``a`` and
+    and fails. Groups are small by the documents that pass the base rules; if all
+    small groups together have fewer than ``FEWEST`` of these, those are kept (their distance is null). Equal rows get equal verdicts; an empty table gives an empty result. ``a`` and
     ``b`` are the row's :func:`key`.
     """
     keyed = docs.select("doc_id", "lang", "source", "text", key().alias("_key")).select(

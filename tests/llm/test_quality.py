@@ -51,6 +51,19 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert len([i for i in range(600) if i % 10 >= 2 and i in kept]) == 480
 
 
+def test_sources_of_mostly_short_documents_are_pooled(spark):
+    draw = random.Random(2)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(500)]
+    rows = [(i, " ".join(draw.choices(words, k=5)), "en", "short") for i in range(300)]
+    for i in range(300, 600):
+        said = draw.choices(words, k=draw.randint(40, 200))
+        if 300 <= i < 306:
+            said = [w + "###" for w in said]
+        rows.append((i, " ".join(said) + ".", "en", "short" if i < 360 else f"small{i % 6}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert {r["doc_id"] for r in quality.reject_outliers(docs).collect()} == set(range(306, 600))
+
+
 def test_chi_square():
     assert quality.chi_square(3.0, 2) == pytest.approx(0.7768698, abs=1e-6)
     assert quality.chi_square_quantile(0.95, 6) == pytest.approx(12.5916, abs=1e-3)
