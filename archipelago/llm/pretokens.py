@@ -7,6 +7,8 @@ only pieces not seen before are given to the tokenizer.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,12 +24,19 @@ _SLOTS = 1 << 21
 class PieceEncoder:
     """Token ids of texts, with a memory of the pieces seen so far."""
 
-    def __init__(self, tokenizer_json: str, end: int) -> None:
+    def __init__(self, tokenizer_json: str, end: int, added: bool = False) -> None:
+        """With ``added``, strings of added tokens in a text are those tokens, else ordinary text."""
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        # Their strings in a text are ordinary text.
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added
+        # Tokens that aren't special are cut out in either case.
+        tokens = [t for t in self._tokenizer.get_added_tokens_decoder().values() if added or not t.special]
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+            raise ValueError("added tokens that depend on what is beside them are not supported")
+        # The longest of those that begin at a place.
+        names = sorted((t.content for t in tokens), key=len, reverse=True)
+        self._added = re.compile("|".join(map(re.escape, names))) if names else None
         self._end = end
         self._kinds = np.full(0x110000, 255, np.uint8)
         self._values = mix(np.arange(1, 0x110001, dtype=np.uint64))
@@ -59,12 +68,21 @@ class PieceEncoder:
             kinds = self._kinds[points]
         return kinds
 
-    def _cuts(self, points: np.ndarray, limits: np.ndarray) -> np.ndarray:
-        """Where pieces begin."""
+    def _found(self, text: str, limits: np.ndarray) -> list[tuple[int, int]]:
+        """Where added tokens are, within rows."""
+        if self._added is None or not self._added.search(text):
+            return []
+        rows = zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)
+        return [m.span() for low, high in rows for m in self._added.finditer(text, low, high)]
+
+    def _cuts(self, points: np.ndarray, limits: np.ndarray, found: list[tuple[int, int]]) -> np.ndarray:
+        """Where pieces begin; each of ``found`` is one, and what is beside it is cut like a text of its own."""
         kinds = self._kind_of(points)
         n = len(points)
         head = np.zeros(n + 1, bool)
         head[limits] = True
+        for span in found:
+            head[list(span)] = True
         change = head[:n].copy()
         change[1:] |= kinds[1:] != kinds[:-1]
         space = kinds == _SPACE
@@ -93,6 +111,8 @@ class PieceEncoder:
                 begin[where + 1] = False
                 after = where + size
                 begin[after[after < n]] = True
+        for first, last in found:
+            begin[first + 1 : last] = False
         return np.flatnonzero(begin)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
@@ -141,7 +161,7 @@ class PieceEncoder:
         # Where rows begin, in code points.
         leads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         limits = leads[limits]
-        cuts = self._cuts(points, limits)
+        cuts = self._cuts(points, limits, self._found(text, limits))
         sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(self._values[points] * powers(_BASE, len(points)), out=sums[1:])
         ends = np.append(cuts[1:], len(points))

@@ -38,7 +38,7 @@ def _encoder(tokenizer_json: str, end: int) -> PieceEncoder:
     key = (zlib.crc32(tokenizer_json.encode()), end)
     held = getattr(tokenizers, "_piece_encoder", None)
     if held is None or held[0] != key:
-        held = (key, PieceEncoder(tokenizer_json, end))
+        held = (key, PieceEncoder(tokenizer_json, end, added=True))
         tokenizers._piece_encoder = held
     return held[1]
 
@@ -121,7 +121,8 @@ def frequencies(blocks: DataFrame, most: int) -> Frequencies:
 def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end: int = 2) -> None:
     """Encode ``text`` of all documents and write a file to ``path``.
 
-    A null text is empty; every document ends with the id ``end``. Documents are in ascending order of
+    A null text is empty; strings of added tokens are those tokens, as the tokenizer has it by default;
+    every document ends with the id ``end``. Documents are in ascending order of
     ``doc_id``, those without one first, repeated ones in the order of their texts. An empty table gives a
     file without blocks. Other columns are not read.
     """

@@ -64,6 +64,25 @@ def test_pieces_are_those_of_the_tokenizer(vocabulary, plain):
         at += count
 
 
+def test_added_tokens_are_those_of_the_tokenizer(spark, vocabulary, tmp_path):
+    import random
+
+    draw = random.Random(2)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "b's", "'ll", "'", "é", "12", "!", "<", "|>"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(2000)] + ["a <|endoftext|> b", "<|endof", "text|>"]
+    library = tokenizers.Tokenizer.from_str(vocabulary)
+    expected = [[*library.encode(text, add_special_tokens=False).ids, 2] for text in texts]
+    assert expected[2000] == [64, 220, 50256, 275, 2]
+    ids, counts = PieceEncoder(vocabulary, 2, added=True).encode(pa.array(texts, pa.string()))
+    at = 0
+    for text, count, wanted in zip(texts, counts.tolist(), expected, strict=True):
+        assert ids[at : at + count].tolist() == wanted, text
+        at += count
+    docs = spark.createDataFrame(list(enumerate(texts[-50:])), "doc_id bigint, text string")
+    found = read(spark, docs, vocabulary, str(tmp_path / "file")).orderBy("start").collect()
+    assert [list(struct.unpack(f"<{r['n_tokens']}I", r["ids"])) for r in found] == expected[-50:]
+
+
 def test_segments_decode_by_themselves():
     draw = np.random.default_rng(0)
     ids = draw.zipf(1.3, 20_000) % 1000
