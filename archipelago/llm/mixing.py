@@ -32,6 +32,9 @@ CHUNK = 4096
 # Documents of a source that wait for the landing.
 WAITING = 12
 
+# Documents with so many times the mean words are decided first, against all others.
+LARGE = 4
+
 _EPS = 1e-9
 
 
@@ -92,14 +95,94 @@ def source_targets(
     return ranked.withColumn("target", F.least(F.lit(level) * F.col("weight"), cap.cast("double")))
 
 
+def _shifted(chance: np.ndarray, ones: np.ndarray, sizes: np.ndarray, rows: float, words: float) -> np.ndarray | None:
+    """Chances with these totals of documents and words, the given ones mixed with extreme ones; None if there are none."""
+    had, most = chance @ ones, ones.sum()
+    if not 0 <= rows <= most:
+        return None
+    moved = chance * (rows / had) if rows <= had else 1 - (1 - chance) * ((most - rows) / (most - had))
+    tokens = ones * sizes
+    order = np.argsort(sizes if moved @ tokens > words else -sizes, kind="stable")
+    extreme = np.zeros(len(chance))
+    extreme[order] = np.clip((rows - np.cumsum(ones[order]) + ones[order]) / ones[order], 0, 1)
+    apart, off = extreme @ tokens - moved @ tokens, words - moved @ tokens
+    if abs(off) <= 1e-9 * tokens.sum():
+        return moved
+    return moved + off / apart * (extreme - moved) if 0 < off / (apart or -off) <= 1 else None
+
+
+def _walked(
+    unit: int, chance: np.ndarray, ones: np.ndarray, sizes: np.ndarray, draw: np.random.Generator
+) -> np.ndarray | None:
+    """Chances after ``unit`` has reached 0 or 1 in steps that move all others a little; None if these run out."""
+    chance, kept = chance.copy(), np.vstack((ones * sizes / (ones[unit] * sizes[unit]), ones))
+    while 0 < chance[unit] < 1:
+        others = np.flatnonzero((chance > 0) & (chance < 1))
+        others = others[others != unit]
+        if len(others) < 3:
+            return None
+        pull = chance[others] * (1 - chance[others]) * kept[:, others]
+        along = -np.linalg.lstsq(pull @ kept[:, others].T, kept[:, unit], rcond=1e-12)[0] @ pull
+        if np.abs(kept[:, others] @ along + kept[:, unit]).max() > 1e-9:
+            return None
+        units, step = np.append(others, unit), np.append(along, 1.0)
+        units, step = units[step != 0], step[step != 0]
+        above, below = (1 - chance[units]) / np.abs(step), chance[units] / np.abs(step)
+        up, down = np.where(step > 0, above, below).min(), np.where(step > 0, below, above).min()
+        moved = chance[units] + (up if draw.random() * (up + down) < down else -down) * step
+        chance[units] = np.where(moved < _EPS, 0.0, np.where(moved > 1 - _EPS, 1.0, moved))
+    return chance
+
+
+def decide_large(chances: np.ndarray, counts: np.ndarray, sizes: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Decide the units that are large beside the others, while those can still make up for them.
+
+    Both totals are held by steps like those of :func:`flight`. If such steps run out, the unit is drawn and the
+    others' chances are shifted: to both totals, else to that of the words, else as near to it as they come.
+    """
+    chance, ones, tokens = chances.astype(float), counts.astype(float), (counts * sizes).astype(float)
+    for unit in np.argsort(-tokens, kind="stable"):
+        others = np.flatnonzero((chance > 0) & (chance < 1))
+        others = others[others != unit]
+        # Documents without words make up for nothing.
+        if len(others) < 3 or not tokens[others].any() or tokens[unit] <= LARGE * tokens[others].mean():
+            break
+        if not 0 < chance[unit] < 1:
+            continue
+        held, own, many = chance[others], ones[others], sizes[others].astype(float)
+        drawn = float(draw.random() < chance[unit])
+        tried = []
+        for outcome in (drawn, 1 - drawn):
+            off = chance[unit] - outcome
+            rows, words = held @ own + off * ones[unit], held @ (own * many) + off * tokens[unit]
+            tried.append((outcome, words, _shifted(held, own, many, rows, words)))
+        walked = None
+        if all(moved is not None for *_, moved in tried):
+            walked = _walked(unit, chance, ones, sizes, draw)
+        if walked is not None:
+            chance = walked
+            continue
+        found = [(outcome, moved) for outcome, _, moved in tried if moved is not None]
+        if found:
+            outcome, moved = found[0]
+        else:
+            most = own @ many
+            outcome, words, _ = min(tried, key=lambda t: max(0.0, -t[1], t[1] - most))
+            had, words = held @ (own * many), min(max(words, 0.0), most)
+            moved = held * (words / had) if words <= had else 1 - (1 - held) * ((most - words) / (most - had))
+        chance[unit] = outcome
+        chance[others] = np.where(moved < _EPS, 0.0, np.where(moved > 1 - _EPS, 1.0, moved))
+    return chance
+
+
 def flight(chances: np.ndarray, counts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     """Move inclusion probabilities to 0 or 1, keeping sum(chance * count) and sum(chance * count * size).
 
     At most two stay in between.
     """
-    chance = chances.tolist()
-    ones, tokens = counts.tolist(), (counts * sizes).tolist()
     draw = np.random.Generator(np.random.PCG64(seed))
+    chance = decide_large(chances, counts, sizes, draw).tolist()
+    ones, tokens = counts.tolist(), (counts * sizes).tolist()
     held: list[int] = []
 
     def move(units: list[int], along: tuple[float, ...]) -> None:
@@ -141,20 +224,28 @@ def landing(chances: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.nd
     return outcomes[int(np.argmin(off))].astype(float)
 
 
+def waiting(moving: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which of ``moving``, in descending order of words, wait for the landing: small ones of different sizes.
+
+    With them it can even out what the flight leaves.
+    """
+    small = moving[tokens[moving] <= 2 * tokens[moving].mean()] if len(moving) else moving
+    return small[np.unique(np.linspace(0, len(small) - 1, min(WAITING, len(small))).astype(int))]
+
+
 def _balance(units: DataFrame, land: bool) -> DataFrame:
     """One pass: the chances of each chunk of a source, moved."""
 
     def run(group: pa.Table) -> pa.Table:
-        # Large documents first, so that small ones are left to the end.
+        # In descending order, so that small ones are left to the end.
         group = group.sort_by([("size", "descending"), ("a", "ascending"), ("b", "ascending")])
         value = {name: group.column(name).to_numpy() for name in ("chance", "rows", "size", "a", "chunk")}
         seed = int(np.bitwise_xor.reduce(value["a"])) & 0xFFFFFFFF ^ int(value["chunk"][0])
         chance, rows, size = value["chance"].copy(), value["rows"], value["size"]
         moving = np.flatnonzero((chance > 0) & (chance < 1))
-        if land:
-            # Documents of all sizes wait for the landing, so that it can even out what the flight leaves.
-            waiting = moving[np.unique(np.linspace(0, len(moving) - 1, min(WAITING, len(moving))).astype(int))]
-            moving = np.setdiff1d(moving, waiting)
+        # One chunk of each that meet in the next pass holds small documents back.
+        if land or value["chunk"][0] % (CHUNK // 2) == 0:
+            moving = np.setdiff1d(moving, waiting(moving, rows * size))
         chance[moving] = flight(chance[moving], rows[moving], size[moving], seed)
         if land:
             last = np.flatnonzero((chance > 0) & (chance < 1))

@@ -77,6 +77,39 @@ def test_taken_words_come_near_the_targets(spark, monkeypatch):
         assert abs(taken[source] - target) <= 0.01 * target + 5
 
 
+def test_a_document_with_a_third_of_the_words(spark):
+    rows = []
+    for source in ("a", "b", "c"):
+        draw = np.random.default_rng(ord(source))
+        sizes = [*draw.lognormal(3, 1, 500).astype(int).tolist()]
+        sizes.append(sum(sizes) // 2)
+        rows += [(len(rows) + i, "w " * size, "en", source) for i, size in enumerate(sizes)]
+    docs = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id bigint, text string, source string")
+    mix = mixing.mix_sources(docs).collect()
+    wanted, taken = check(mix, rows)
+    for source, target in wanted.items():
+        assert abs(taken[source] - target) <= 0.001 * target + 5
+
+
+@pytest.mark.parametrize("large", [50, 150, 255])
+def test_flight_decides_large_units(large):
+    ones, expected = np.ones(501, np.int64), []
+    for seed in range(100):
+        size = np.append(large * 340, np.random.default_rng(seed).lognormal(5.3, 1, 500).astype(np.int64))
+        size[0] = min(size[0], size[1:].sum() // 2)
+        moved = mixing.flight(np.full(501, 0.5), ones, size, seed)
+        assert moved[0] in (0, 1) and ((moved > 0) & (moved < 1)).sum() <= 2
+        assert moved @ size == pytest.approx(size.sum() / 2, rel=1e-6)
+        expected.append(moved[0])
+    assert np.mean(expected) == pytest.approx(0.5, abs=0.2)
+
+
+def test_flight_beside_units_without_words():
+    chance, ones, size = np.full(41, 0.5), np.ones(41, np.int64), np.array([100] + [0] * 40)
+    moved = mixing.flight(chance, ones, size, 1)
+    assert ((moved >= 0) & (moved <= 1)).all() and ((moved > 0) & (moved < 1)).sum() <= 2
+
+
 def test_flight_keeps_totals():
     draw = np.random.default_rng(0)
     chance, ones, size = draw.random(500), np.ones(500, np.int64), draw.integers(0, 900, 500)
