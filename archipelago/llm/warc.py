@@ -8,6 +8,9 @@ target, date and digests; the conversion record can be reached from the metadata
 
 from __future__ import annotations
 
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,15 +60,30 @@ def responses(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
     )
 
 
-def plain_text(html: Column) -> Column:
-    """The visible text of a page: a line for each block of text, white space within lines as one blank."""
+def unescaped(text: Column) -> Column:
+    """Text with all of HTML's character references decoded once, named, decimal and hexadecimal."""
+
+    @F.arrow_udf("string")
+    def decoded(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else unescape(t) for t in texts.to_pylist()], pa.string())
+
+    return F.replace(decoded(text), F.lit("\u00a0"), F.lit(" "))
+
+
+def plain_text(html: Column, all_references: bool = False) -> Column:
+    """The visible text of a page: a line for each block of text, white space within lines as one blank.
+
+    Character references other than ``ENTITIES`` stay as they are, unless ``all_references`` are decoded.
+    """
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for name in HIDDEN:
         text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
     text = F.regexp_replace(text, r"[\r\n\t ]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?({BREAKS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    for entity, character in ENTITIES:
+    if all_references:
+        text = unescaped(text)
+    for entity, character in () if all_references else ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(character))
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))
@@ -76,15 +94,31 @@ def header(response_headers: Column, name: str) -> Column:
     return F.trim(F.regexp_extract(response_headers, rf"(?im)^{name}:([^\r\n]*)", 1))
 
 
-def derivatives(sources: DataFrame, *keep: str) -> DataFrame:
+def other_headers(response_headers: Column) -> Column:
+    """A line ``source-header`` for each header field but the first content type and length, in their order."""
+    lines = F.filter(F.split(response_headers, "\r?\n"), lambda line: line.rlike(r"^[^:\s]+:"))
+    names = F.transform(lines, lambda line: F.lower(F.substring_index(line, ":", 1)))
+
+    def other(line: Column, at: Column) -> Column:
+        name = F.get(names, at)
+        return ~name.isin("content-type", "content-length") | (F.array_position(names, name) <= at)
+
+    kept = F.transform(F.filter(lines, other), lambda line: F.concat(F.lit("source-header: "), line, F.lit(CRLF)))
+    return F.array_join(kept, "")
+
+
+def derivatives(sources: DataFrame, *keep: str, all_references: bool = False) -> DataFrame:
     """Two records for each response: the columns ``keep``, and
 
     ``kind`` (``metadata`` or ``conversion``), ``record_id``, ``refers_to``, ``target_uri``, ``date``,
     ``payload_digest`` (of the response's payload), ``block_digest``, ``content_type``, ``block``, and
     ``record``, the whole record as it stands in a file. Null values of a response count as empty. Equal
-    responses give equal records. Other columns are not read.
+    responses give equal records. Other columns are not read. The metadata block has all header fields of the
+    source. ``all_references`` is that of :func:`plain_text`.
     """
     given = {n: F.coalesce(n, F.lit("")) for n in ("record_id", "target_uri", "date", "http_headers", "payload")}
+    # A field may go on in lines that begin with white space.
+    given["http_headers"] = F.regexp_replace(given["http_headers"], r"\r?\n[ \t]+", " ")
     text_id = record_id(F.lit("conversion"), F.col("record_id"), F.col("payload_digest"))
     about = [
         ("conversion", F.col("_text_id")),
@@ -94,7 +128,7 @@ def derivatives(sources: DataFrame, *keep: str) -> DataFrame:
         ("text-digest", digest(F.col("_text"))),
         ("text-characters", F.length("_text").cast("string")),
     ]
-    fields = F.concat(*[F.concat(F.lit(f"{n}: "), value, F.lit(CRLF)) for n, value in about])
+    fields = F.concat(*[F.concat(F.lit(f"{n}: "), value, F.lit(CRLF)) for n, value in about], other_headers(F.col("http_headers")))
     kinds = F.array(
         F.struct(
             F.lit("metadata").alias("kind"),
@@ -112,7 +146,7 @@ def derivatives(sources: DataFrame, *keep: str) -> DataFrame:
     records = (
         sources.select(*keep, *[column.alias(n) for n, column in given.items() if n not in keep])
         .withColumn("payload_digest", digest(F.col("payload")))
-        .withColumns({"_text_id": text_id, "_text": plain_text(F.col("payload"))})
+        .withColumns({"_text_id": text_id, "_text": plain_text(F.col("payload"), all_references)})
         .withColumn("_record", F.explode(kinds))
     )
     block = F.col("_record.block")

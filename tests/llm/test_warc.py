@@ -61,6 +61,29 @@ def test_given_headers_are_kept(spark):
     assert any("source-content-type: text/html\r\n" in r["block"] for r in found)
 
 
+def test_all_header_fields_are_kept(spark):
+    headers = "HTTP/1.1 200 OK\r\nServer: a: b\r\ncontent-type: text/html;\r\n charset=utf-8\r\nSet-Cookie: x=1\r\nContent-Length: 8\r\nSet-Cookie: y=2\r\nContent-Type: text/plain\r\n\r\n"
+    rows = [("<urn:uuid:1>", "u", "2020-01-01T00:00:00Z", headers, "<p>x</p>")]
+    sources = spark.createDataFrame(rows, "record_id string, target_uri string, date string, http_headers string, payload string")
+    [about] = warc.derivatives(sources).filter("kind = 'metadata'").collect()
+    lines = about["block"].removesuffix("\r\n").split("\r\n")
+    assert "source-content-type: text/html; charset=utf-8" in lines and "source-content-length: 8" in lines
+    assert [line.removeprefix("source-header: ") for line in lines if line.startswith("source-header: ")] == [
+        "Server: a: b", "Set-Cookie: x=1", "Set-Cookie: y=2", "Content-Type: text/plain"
+    ]
+    assert f"\r\nContent-Length: {len(about['block'].encode())}\r\n" in about["record"]
+
+
+def test_all_references_are_decoded_once(spark):
+    page = "<p>&copy; 2024 &middot; caf&eacute;&nbsp;&#8217;&#x27;&#X41; &amp;lt; &amp;copy; &lt;b&gt; &hearts; &none; 日本</p>"
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", None)], SCHEMA)
+    found = warc.derivatives(warc.responses(pages), "page_id", all_references=True).filter("kind = 'conversion'")
+    same(
+        found.select("page_id", "block").collect(),
+        [(1, "© 2024 · café ’'A &lt; &copy; <b> ♥ &none; 日本"), (2, "")],
+    )
+
+
 def test_empty_table_and_long_pages(spark):
     nothing = warc.responses(spark.createDataFrame([], SCHEMA))
     assert warc.derivatives(nothing).collect() == []
