@@ -188,6 +188,14 @@ def _chats() -> str:
         from placed group by conv_id"""
 
 
+def _exact_copies() -> str:
+    return f"""
+        with keyed as (select doc_id, {_lower("coalesce(text, '')")} as said from documents)
+        select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+            doc_id = max(doc_id) over same as kept, sha256(said) as text_sha256
+        from keyed window same as (partition by said)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_fm_index": _passages(),
@@ -196,4 +204,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_bucket_refinement": _repeats(),
         "op8_line_runs": _lines(),
         "op9_chat_format": _chats(),
+        "op13_exact_copies": _exact_copies(),
     }

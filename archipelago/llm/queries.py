@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipelago.llm import chat, decontaminate, line_runs, mixing, near_copies, ppm, quality, repeats, token_files, warc
+from archipelago.llm import (
+    chat,
+    decontaminate,
+    exact_copies,
+    line_runs,
+    mixing,
+    near_copies,
+    ppm,
+    quality,
+    repeats,
+    token_files,
+    warc,
+)
 from archipelago.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +124,11 @@ def op10_cube_mix(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("_row")
 
 
+def op13_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: which of the equal texts stays."""
+    return exact_copies.exact_copies(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = [value for name, value in globals().items() if name.startswith("op") and name[2].isdigit()]
     return {query.__name__: query for query in found}
