@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archipelago.llm import (
+    alignment,
     chat,
     decontaminate,
     exact_copies,
@@ -124,6 +125,16 @@ def op10_cube_mix(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("_row")
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: its tokens by both public tokenizers, as counts and a digest of the groups."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as first, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as second:
+        found = alignment.aligned(table(spark, folder, "documents"), first.read(), second.read())
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op13_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: which of the equal texts stays."""
     return exact_copies.exact_copies(table(spark, folder, "documents"))
