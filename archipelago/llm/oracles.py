@@ -6,6 +6,7 @@ import string
 
 from archipelago.llm import chat, line_runs, warc
 from archipelago.llm.decontaminate import WINDOW
+from archipelago.llm.hard_negatives import ANCHOR_OF, NEGATIVES, POSITIVES, SCALE
 from archipelago.llm.near_copies import LEAST, WORDS
 from archipelago.llm.repeats import LENGTH
 
@@ -188,6 +189,30 @@ def _chats() -> str:
         from placed group by conv_id"""
 
 
+def _hard_negatives() -> str:
+    return f"""
+        with item as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                [floor({SCALE} * cast(x as double)) for x in embedding] as v
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+                and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+        scored as (
+            select a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike,
+                cast(list_dot_product(a.v, b.v) as bigint) as score
+            from item a join item b on a.vec_id % {ANCHOR_OF} = 0 and a.vec_id <> b.vec_id),
+        positive as (
+            select anchor_id, vec_id as positive_id, score as positive_score from scored where alike
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= {POSITIVES}),
+        negative as (
+            select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+                cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank
+            from positive join scored using (anchor_id)
+            where not alike and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+        select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+        from negative where rank <= {NEGATIVES}"""
+
+
 def _exact_copies() -> str:
     return f"""
         with keyed as (select doc_id, {_lower("coalesce(text, '')")} as said from documents)
@@ -204,5 +229,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_bucket_refinement": _repeats(),
         "op8_line_runs": _lines(),
         "op9_chat_format": _chats(),
+        "op11_angular_negatives": _hard_negatives(),
         "op13_exact_copies": _exact_copies(),
     }

@@ -12,6 +12,7 @@ from archipelago.llm import (
     chat,
     decontaminate,
     exact_copies,
+    hard_negatives,
     line_runs,
     mixing,
     near_copies,
@@ -125,6 +126,11 @@ def op10_cube_mix(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("_row")
 
 
+def op11_angular_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Five hard negatives for each anchor and positive."""
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: its tokens by both public tokenizers, as counts and a digest of the groups."""
     import public_tokenizers

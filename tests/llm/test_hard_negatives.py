@@ -1,0 +1,119 @@
+"""Hard negatives against a plain model of the contract."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from archipelago.llm import hard_negatives as hn
+from tests.llm.conftest import same
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def brute(rows):
+    own = {}
+    for vec_id, vector, label in rows:
+        if vec_id is None or vector is None or label is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        item = ((label + 1) % 10 if vec_id % 7 == 0 else label, [math.floor(256 * float(np.float32(x))) for x in vector])
+        own[vec_id] = min(own.get(vec_id, item), item)
+    out = []
+    for anchor, (label, vector) in own.items():
+        if anchor % 100:
+            continue
+        scores = {i: sum(a * b for a, b in zip(vector, v, strict=False)) for i, (_, v) in own.items() if i != anchor}
+        first = sorted(scores, key=lambda i: (-scores[i], i))
+        for positive in [i for i in first if own[i][0] == label][:5]:
+            p = scores[positive]
+            fit = [i for i in first if own[i][0] != label and 80 * p <= 100 * scores[i] <= 100 * p]
+            out += [(anchor, positive, k + 1, i, p, scores[i]) for k, i in enumerate(fit[:5])]
+    return out
+
+
+def vectors(seed: int, size: int, dims: int, labels: int = 10, spread: float = 1.0, around: int = 0):
+    """Random rows, around a few centres if ``around`` is given."""
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(max(around, 1), dims)) if around else np.zeros((1, dims))
+    made = centres[draw.integers(0, len(centres), size)] + spread * draw.normal(size=(size, dims))
+    return [(i, made[i].astype(np.float32).tolist(), int(draw.integers(0, labels))) for i in range(size)]
+
+
+def mined(spark, rows):
+    return hn.hard_negatives(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+
+
+@pytest.mark.parametrize("around", [0, 6])
+def test_brute_force(spark, monkeypatch, around):
+    """Several slices and groups; with centres, most of them don't meet."""
+    monkeypatch.setattr(hn, "SLICE", 150)
+    monkeypatch.setattr(hn, "GROUP", 3)
+    rows = vectors(1, 1201, 12, spread=0.1 if around else 1.0, around=around)
+    expected = brute(rows)
+    assert len(expected) > 100
+    same(mined(spark, rows), expected)
+
+
+def test_ties_and_copies(spark):
+    """A third of the rows is one vector, in all labels; ties go to the smaller ids."""
+    rows = vectors(2, 620, 3, labels=3)
+    rows = [(i, [1.0, 0.5, 0.25] if i % 3 == 0 else [round(x) / 2 for x in v], label) for i, v, label in rows]
+    expected = brute(rows)
+    assert {r[5] for r in expected if r[4] == r[5]}
+    same(mined(spark, rows), expected)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [0.5, 0.5], 1), (100, [0.0, 0.0], 2), (200, [], 2), (300, [1.0], 2), (None, [1.0, 1.0], 2), (400, None, 2),
+        (500, [1.0, None], 2), (600, [nan, 1.0], 2), (800, [inf, 1.0], 2), (900, [1.0, 1.0], None), (7, [0.4, 0.4], 9),
+        (14, [0.5, 0.4], 0), (1, [0.3, 0.5], 2), (2, [0.2, 0.6, 0.1], 3), (3, [-0.5, -0.5], 2), (4, [0.45, 0.4], 1),
+        (5, [0.1, 0.9], 2), (1, [0.3, 0.5], 2), (1, [0.3, 0.4], 2), (300, [1.0], 2), (-100, [0.6, 0.1], 1), (1000, [-1.0, -1.0], 3),
+    ]
+    expected = brute(rows)
+    assert len(expected) > 10
+    same(mined(spark, rows), expected)
+
+
+def test_large_components(spark):
+    """Beyond what doubles hold exactly; and beyond what a long holds."""
+    draw = random.Random(4)
+    rows = [(i, [float(draw.randint(-(2**18), 2**18)) for _ in range(4)], i % 2) for i in range(1, 40)]
+    rows.append((100, [2.0**17, 3.0, 2.0**17 + 0.5, 1.0], 1))
+    same(mined(spark, rows), brute(rows))
+    with pytest.raises(Exception, match="too large"):
+        mined(spark, [*rows, (41, [1e20, 0.0, 0.0, 0.0], 1), (200, [1e20, 0.0, 0.0, 0.0], 1)])
+
+
+def test_few_rows(spark):
+    assert mined(spark, []) == []
+    assert mined(spark, [(100, [1.0], 1)]) == []
+    assert mined(spark, [(100, [1.0], 1), (1, [1.0], 1)]) == []
+    same(mined(spark, [(100, [1.0], 1), (1, [1.0], 1), (2, [0.9], 2)]), [(100, 1, 1, 2, 65536, 58880)])
+    assert mined(spark, [(100, [0.0], 1), (1, [0.0], 1)]) == []
+
+
+def test_extra_columns(spark):
+    rows = vectors(3, 205, 4)
+    plain = spark.createDataFrame(rows, SCHEMA)
+    wide = plain.withColumns({name: F.lit("x") for name in ("ints", "cell", "near", "number", "rank", "group", "row", "least")})
+    same(hn.hard_negatives(wide).collect(), brute(rows))
+
+
+def test_bounds_hold_the_scores():
+    """Every score is between its bounds, also of parallel, opposite and zero vectors; and bounds exclude something."""
+    rows = vectors(5, 400, 6, spread=0.3, around=4) + [(400, [0.0] * 6, 0)]
+    ints = np.floor(256 * np.array([v for _, v, _ in rows])).astype(np.int64)
+    ints = np.concatenate((ints, -ints[:50], 3 * ints[:50]))
+    directions = ints[:200:20] / np.linalg.norm(ints[:200:20], axis=1)[:, None]
+    norms, angles = hn._angles(ints, directions)
+    own = hn.Rows(np.arange(len(ints)), np.zeros(len(ints)), ints, norms, angles)
+    lower, upper = hn._bounds(own, own)
+    scores = hn._scores(own, own)
+    assert (lower <= scores).all() and (scores <= upper).all()
+    assert (upper < 0.8 * np.sort(scores, axis=1)[:, -6:-5]).mean() > 0.3
