@@ -14,14 +14,20 @@ from archipelago.operators import (
     wide_to_long,
 )
 from archipelago.plans import (
+    Update,
+    added_edges,
     component_count_from_file,
     connected_components,
     iteration_log,
     multi_graph,
     multi_graph_counts,
+    offences,
+    removed_edges,
     run_ccf,
+    spanning_forest,
 )
 from archipelago.sources import (
+    AssignmentStore,
     RoundTables,
     edges_from_columns,
     edges_from_shared_value,
@@ -34,7 +40,10 @@ from archipelago.sources import (
 )
 
 __all__ = [
+    "AssignmentStore",
     "RoundTables",
+    "Update",
+    "added_edges",
     "adjacency_lists",
     "by_component",
     "ccf_step",
@@ -51,12 +60,15 @@ __all__ = [
     "neighbour_min",
     "new_pair_count",
     "normalise",
+    "offences",
     "ordered_preview",
     "parse_edge_lines",
     "read_assignments",
     "read_edge_file",
     "read_edge_lines",
+    "removed_edges",
     "run_ccf",
+    "spanning_forest",
     "symmetrize",
     "wide_to_long",
     "write_assignments",

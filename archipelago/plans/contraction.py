@@ -141,8 +141,17 @@ def _rounds(
 
     if not forests:
         return current.df.select(*by, "node", "component")
-    # A node is in the forest of the round that removed it. From the last round back, the root that a round
-    # has found is replaced by what the later rounds have made of it.
+    return resolved(tables, forests, by, hot_rows)
+
+
+def resolved(
+    tables: RoundTables, forests: list[Flat], by: Sequence[str] = (), hot_rows: int | None = None
+) -> DataFrame:
+    """``node, component`` from the flat forests of all rounds.
+
+    A node is in the forest of the round that removed it. From the last round back, the root that a round
+    has found is replaced by what the later rounds have made of it.
+    """
     labels = forests[-1].pointers
     for forest in reversed(forests[:-1]):
         later = labels.select(*by, F.col("node").alias("parent"), F.col("parent").alias("next"))

@@ -49,6 +49,20 @@ def supplier_nation(spark: SparkSession, folder: str) -> DataFrame:
     return edges_from_columns(table(spark, folder, "supplier"), "s_suppkey", "s_nationkey", two_kinds=True)
 
 
+def order_part_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and parts again, as the first five lines of each order and the lines that came later."""
+    lines = table(spark, folder, "lineitem")
+    first, later = F.col("l_linenumber") <= 5, F.col("l_linenumber") > 5
+    return tuple(edges_from_columns(lines.filter(part), "l_orderkey", "l_partkey", two_kinds=True) for part in (first, later))
+
+
+def customer_order_pending(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and their orders again, as those decided and those pending."""
+    orders = table(spark, folder, "orders")
+    pending = F.col("o_orderstatus") == "P"
+    return tuple(edges_from_columns(orders.filter(part), "o_custkey", "o_orderkey", two_kinds=True) for part in (~pending, pending))
+
+
 def doc_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the same text."""
     return edges_from_shared_value(table(spark, folder, "documents"), "doc_id", "text")
@@ -76,6 +90,9 @@ EDGE_SQL: dict[str, str] = {
         select 2 * l_orderkey as src, 2 * l_partkey + 1 as dst from lineitem where l_quantity >= 49""",
     "part_supplier": "select 2 * l_partkey as src, 2 * l_suppkey + 1 as dst from lineitem",
     "customer_order": "select 2 * o_custkey as src, 2 * o_orderkey + 1 as dst from orders",
+    "order_part_first_lines": "select 2 * l_orderkey as src, 2 * l_partkey + 1 as dst from lineitem where l_linenumber <= 5",
+    "customer_order_decided": """
+        select 2 * o_custkey as src, 2 * o_orderkey + 1 as dst from orders where o_orderstatus <> 'P'""",
     "supplier_nation": """
         select 2 * s_suppkey as src, cast(2 * s_nationkey + 1 as bigint) as dst from supplier""",
     "doc_copies": _star_sql("select doc_id, text as held from documents"),

@@ -6,6 +6,8 @@ from workload.graphs import EDGE_SQL
 
 MULTI = ("order_part", "customer_order", "doc_lines")
 PREVIEW_ROWS = 20
+# Edge sets that others start from or end with.
+EARLIER = ("order_part_first_lines", "customer_order_decided")
 
 
 def _canonical(edges: str) -> str:
@@ -95,6 +97,27 @@ def _log(name: str) -> str:
         from steps where step > 0 group by step"""
 
 
+def _stale(before: str, edges: str) -> str:
+    """Offences of the components of ``before`` against ``edges``, a larger set."""
+    return f"""{_components(edges)},
+        old_sym as ({_symmetric(before)}),
+        old_cc(node, component) using key (node) as (
+            select distinct src, src from old_sym
+            union
+            select old.node, min(new.component)
+            from recurring.old_cc old join old_sym on old_sym.src = old.node join old_cc new on new.node = old_sym.dst
+            where new.component < old.component group by old.node
+        )
+        select 'node of an edge without a row' as reason, node, cast(null as bigint) as component
+        from cc where node not in (select node from old_cc)
+        union all
+        select 'edge between labels', pair.node, pair.component from ({_canonical(edges)}) pair
+        join old_cc a on a.node = pair.node join old_cc b on b.node = pair.component where a.component <> b.component
+        union all
+        select 'forest does not connect the node with its label', node, old_cc.component
+        from old_cc join cc using (node) where cc.component <> old_cc.component"""
+
+
 def oracle_sql() -> dict[str, str]:
     edges = EDGE_SQL["order_part"]
     documents = _components(EDGE_SQL["doc_lines"])
@@ -142,8 +165,19 @@ def oracle_sql() -> dict[str, str]:
             select graph, 'nodes' as measure, nodes as number from counts
             union all select graph, 'components', components from counts""",
         "write_read_assignments": _cc("customer_order"),
+        "cc_added_edges": _cc("order_part"),
+        "cc_added_links": f"""{_components(f"{EDGE_SQL['doc_lines']} union all {EDGE_SQL['doc_copies']}")}
+            select node, component from cc""",
+        "cc_stored_updates": _cc("customer_order"),
+        "cc_removed_edges": _cc("customer_order_decided"),
+        "cc_removed_edges_forest": _cc("order_part_first_lines"),
+        "spanning_forest_edges": f"""{documents}
+            select component, count(*) - 1 as forest_edges, count(*) - 1 as graph_edges from cc group by component""",
+        "cc_by_forest": _cc("order_part"),
+        "certificate_accepts": f"{_components(edges)} select count(*) as nodes, cast(0 as bigint) as offences from cc",
+        "certificate_stale": _stale(EDGE_SQL["customer_order_decided"], EDGE_SQL["customer_order"]),
     }
-    sql |= {f"cc_{name}": _cc(name) for name in EDGE_SQL}
+    sql |= {f"cc_{name}": _cc(name) for name in EDGE_SQL if name not in EARLIER}
     sql |= {
         f"iteration_log_{name}": _log(name)
         for name in ("order_part", "bulk_order_part", "part_supplier", "doc_lines")

@@ -214,6 +214,74 @@ def write_read_assignments(spark: SparkSession, folder: str) -> DataFrame:
     return ar.read_assignments(spark, path)
 
 
+def cc_added_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Later order lines, folded into the components of the first ones."""
+    before, added = graphs.order_part_lines(spark, folder)
+    stored = ar.connected_components(before)
+    return ar.added_edges(stored, added).applied_to(stored)
+
+
+def cc_added_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of documents, folded into the clusters by shared lines."""
+    stored = document_components(spark, folder)
+    return ar.added_edges(stored, graphs.doc_copies(spark, folder)).applied_to(stored)
+
+
+def cc_stored_updates(spark: SparkSession, folder: str) -> DataFrame:
+    """A store of the decided orders' components, with the pending orders added."""
+    before, added = graphs.customer_order_pending(spark, folder)
+    store = ar.AssignmentStore(spark, RoundTables(spark).new_path("store"))
+    store.create(ar.connected_components(before), parts=64)
+    update = ar.added_edges(store.read(), added)
+    store.update(update.touched, update.rows)
+    return store.read()
+
+
+def cc_removed_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The pending orders taken away again."""
+    remaining, removed = graphs.customer_order_pending(spark, folder)
+    stored = ar.connected_components(graphs.customer_order(spark, folder))
+    return ar.removed_edges(stored, remaining, removed).applied_to(stored)
+
+
+def cc_removed_edges_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The later order lines taken away; components that keep their spanning forest are not computed again."""
+    edges = graphs.order_part(spark, folder)
+    remaining, removed = graphs.order_part_lines(spark, folder)
+    stored = ar.connected_components(edges)
+    return ar.removed_edges(stored, remaining, removed, forest=ar.spanning_forest(edges)).applied_to(stored)
+
+
+def spanning_forest_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Per component, the edges of the forest, and how many of them are edges of the graph."""
+    edges = graphs.doc_lines(spark, folder)
+    forest = ar.spanning_forest(edges)
+    real = forest.join(edges.distinct(), ["src", "dst"], "left_semi")
+    counted = forest.groupBy("component").agg(F.count(F.lit(1)).alias("forest_edges"))
+    return counted.join(real.groupBy("component").agg(F.count(F.lit(1)).alias("graph_edges")), "component", "left")
+
+
+def cc_by_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of the spanning forest alone."""
+    return ar.connected_components(ar.spanning_forest(graphs.order_part(spark, folder)))
+
+
+def certificate_accepts(spark: SparkSession, folder: str) -> DataFrame:
+    """Right components: how many nodes, and no offence."""
+    edges = graphs.order_part(spark, folder)
+    assignments = ar.connected_components(edges)
+    found = ar.offences(assignments, edges, ar.spanning_forest(edges))
+    nodes = assignments.agg(F.count(F.lit(1)).alias("nodes"))
+    return nodes.join(found.agg(F.count(F.lit(1)).alias("offences")), how="full")
+
+
+def certificate_stale(spark: SparkSession, folder: str) -> DataFrame:
+    """What is wrong with components from before the pending orders came."""
+    edges = graphs.customer_order(spark, folder)
+    before, _ = graphs.customer_order_pending(spark, folder)
+    return ar.offences(ar.connected_components(before), edges, ar.spanning_forest(edges))
+
+
 def queries() -> dict[str, Query]:
     named: dict[str, Query] = {
         query.__name__: query
@@ -245,6 +313,15 @@ def queries() -> dict[str, Query]:
             unpivot_report,
             ordered_preview,
             write_read_assignments,
+            cc_added_edges,
+            cc_added_links,
+            cc_stored_updates,
+            cc_removed_edges,
+            cc_removed_edges_forest,
+            spanning_forest_edges,
+            cc_by_forest,
+            certificate_accepts,
+            certificate_stale,
         )
     }
     named |= {f"cc_{name}": cc_query(edge_set) for name, edge_set in EDGE_SETS.items()}
