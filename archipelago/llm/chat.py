@@ -12,6 +12,8 @@ back. In roles, line breaks and percent signs are written as ``%0A`` and ``%25``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,13 @@ def _unescaped_role(role: Column) -> Column:
     return F.replace(F.replace(unescaped(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def _before(lengths: Column) -> Column:
-    """For each item of an array of lengths, the sum of the items before it."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever and however often ``body`` uses it, lambdas included."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(lengths: Column) -> Column:
+    """For each item of an array, the sum of those before it. Every step copies what there is: for short arrays."""
     start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("all"))
     return F.aggregate(
         lengths,
@@ -53,6 +60,31 @@ def _before(lengths: Column) -> Column:
     )
 
 
+def _before(lengths: Column) -> Column:
+    """For each item of an array of lengths, the sum of the items before it.
+
+    The array is cut into as many pieces as a piece has items. Sums run inside each piece and over the pieces, so what is
+    copied are n times the root of n references: for a million items not much more than the items themselves.
+    """
+
+    def summed(lengths: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(lengths))).cast("int"), F.lit(1))
+        cut = _let(width, lambda w: F.transform(F.sequence(F.lit(0), w - 1), lambda i: F.slice(lengths, i * w + 1, w)))
+        total = F.lit(0).cast("bigint")
+
+        def joined(pieces: Column) -> Column:
+            starts = _running(F.transform(pieces, lambda piece: F.aggregate(piece, total, lambda a, b: a + b)))
+            inside = F.transform(pieces, _running)
+            return F.flatten(F.zip_with(inside, starts, lambda sums, first: F.transform(sums, lambda s: s + first)))
+
+        return _let(cut, joined)
+
+    return _let(lengths, summed)
+
+
+_SPANS = "array<struct<turn:int,start:bigint,length:int>>"
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """``conv_id, formatted, loss``: one row per conversation.
 
@@ -60,7 +92,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     and ``text``, so ties have one order; a null ``turn`` comes first. Null texts and roles are empty. Equal
     rows are turns of their own. Rows without ``conv_id`` are one conversation without id. An empty
     table gives an empty result, and other columns are not read. ``loss`` lists the spans of
-    assistant texts in ``formatted``: the block, and start and length in code points. Empty texts have spans too.
+    assistant texts in ``formatted``: the number of the turn in that order, and start and length in code points. Empty
+    texts have spans too. Time and memory grow with the turns of a conversation and the length of its texts.
     """
     turns = conversations.select(
         "conv_id",
@@ -70,56 +103,60 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
             F.coalesce("text", F.lit("")).alias("text"),
         ).alias("said"),
     )
+    collected = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("said")).alias("turns"))
+    return collected.select("conv_id", _let(_blocks(F.col("turns")), _written).alias("out")).select("conv_id", "out.*")
+
+
+def _blocks(turns: Column) -> Column:
+    """Adjacent turns of a role as ``role, first`` (the number of its first turn) ``, texts``."""
+
+    def merged(heads: Column) -> Column:
+        def block(head: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(heads, i + 1), F.size(turns))
+            texts = F.transform(F.slice(turns, head + 1, after - head), lambda turn: escaped(turn["text"]))
+            return F.struct(
+                _escaped_role(F.get(turns, head)["role"]).alias("role"),
+                (F.get(turns, head)["role"] == ASSISTANT).alias("learned"),
+                head.alias("first"),
+                texts.alias("texts"),
+            )
+
+        return F.transform(heads, block)
+
     heads = F.filter(
-        F.sequence(F.lit(0), F.size("turns") - 1),
-        lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]),
+        F.sequence(F.lit(0), F.size(turns) - 1),
+        lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]),
     )
+    return _let(heads, merged)
 
-    def block(head: Column, i: Column) -> Column:
-        after = F.coalesce(F.get("heads", i + 1), F.size("turns"))
-        own = F.slice("turns", head + 1, after - head)
-        return F.struct(
-            F.get("turns", head)["role"].alias("role"),
-            F.transform(own, lambda turn: escaped(turn["text"])).alias("texts"),
-        )
 
-    def written(block: Column) -> Column:
+def _written(blocks: Column) -> Column:
+    """``formatted`` and ``loss`` of a conversation's blocks."""
+
+    def text_of(block: Column) -> Column:
         return F.concat(
-            F.lit(START),
-            _escaped_role(block["role"]),
-            F.lit("\n"),
-            F.array_join(block["texts"], NEXT),
-            F.lit(f"{END}\n"),
+            F.lit(START), block["role"], F.lit("\n"), F.array_join(block["texts"], NEXT), F.lit(f"{END}\n")
         )
 
-    def spans(block: Column, i: Column) -> Column:
-        head = F.length(_escaped_role(block["role"])) + len(START) + 1
+    def spans(block: Column, start: Column) -> Column:
+        """The block's texts in the conversation; the block begins at ``start``."""
+        head = start + F.length(block["role"]) + len(START) + 1
         gaps = _before(F.transform(block["texts"], lambda text: (F.length(text) + len(NEXT)).cast("bigint")))
-        return F.when(
-            block["role"] == ASSISTANT,
-            F.transform(
-                block["texts"],
-                lambda text, k: F.struct(
-                    i.alias("block"),
-                    (F.get("starts", i) + head + F.get(gaps, k)).alias("start"),
-                    F.length(text).alias("length"),
-                ),
-            ),
-        ).otherwise(F.array().cast("array<struct<block:int,start:bigint,length:int>>"))
-
-    return (
-        turns.groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list("said")).alias("turns"))
-        .withColumn("heads", heads)
-        .withColumn("blocks", F.transform("heads", block))
-        .withColumn("written", F.transform("blocks", written))
-        .withColumn("starts", _before(F.transform("written", lambda text: F.length(text).cast("bigint"))))
-        .select(
-            "conv_id",
-            F.array_join("written", "").alias("formatted"),
-            F.flatten(F.transform("blocks", spans)).alias("loss"),
+        placed = F.zip_with(
+            F.transform(block["texts"], lambda text, k: F.struct((block["first"] + k).alias("turn"), F.length(text).alias("length"))),
+            gaps,
+            lambda own, gap: F.struct(own["turn"].alias("turn"), (head + gap).alias("start"), own["length"].alias("length")),
+        )
+        return F.when(block["learned"], placed.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
+
+    def out(written: Column) -> Column:
+        starts = _before(F.transform(written, lambda text: F.length(text).cast("bigint")))
+        return F.struct(
+            F.array_join(written, "").alias("formatted"),
+            F.flatten(F.zip_with(blocks, starts, spans)).alias("loss"),
         )
-    )
+
+    return _let(F.transform(blocks, text_of), out)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -130,7 +167,9 @@ def read_turns(formatted: Column) -> Column:
         role = F.substring_index(block, "\n", 1)
         said = F.split(F.substr(block, F.length(role) + 2), r"<\|im_next\|>")
         name = _unescaped_role(F.substr(role, F.lit(len(START) + 1)))
-        return F.transform(said, lambda text: F.struct(name.alias("role"), unescaped(text).alias("text")))
+        return _let(
+            name, lambda name: F.transform(said, lambda text: F.struct(name.alias("role"), unescaped(text).alias("text")))
+        )
 
     return F.flatten(F.transform(blocks, turns))
 
@@ -138,17 +177,24 @@ def read_turns(formatted: Column) -> Column:
 def read_loss(formatted: Column, loss: Column) -> Column:
     """The texts under the loss mask, as an array.
 
-    Each span is cut from its own block, so a long conversation isn't walked through for each span.
+    Each span is cut from what its own turn has written, so a long conversation isn't walked through for each span.
     """
-    ends = F.split(formatted, rf"(?<=<\|im_end\|>\n)")
-    starts = _before(F.transform(ends, lambda block: F.length(block).cast("bigint")))
-    return F.transform(
-        loss,
-        lambda span: unescaped(
-            F.substr(
-                F.get(ends, span["block"]),
-                (span["start"] - F.get(starts, span["block"]) + 1).cast("int"),
-                span["length"],
-            )
-        ),
-    )
+    own = F.split(formatted, r"(?<=<\|im_end\|>\n)|(?<=<\|im_next\|>)")
+
+    def cut(pieces: Column) -> Column:
+        starts = _before(F.transform(pieces, lambda piece: F.length(piece).cast("bigint")))
+        return _let(
+            starts,
+            lambda starts: F.transform(
+                loss,
+                lambda span: unescaped(
+                    F.substr(
+                        F.get(pieces, span["turn"]),
+                        (span["start"] - F.get(starts, span["turn"]) + 1).cast("int"),
+                        span["length"],
+                    )
+                ),
+            ),
+        )
+
+    return _let(own, cut)

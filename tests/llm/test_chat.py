@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,7 +69,7 @@ def escape(text: str) -> str:
 def test_adjacent_turns_of_a_role_share_a_block(spark):
     row = read(spark, [(1, 2, "assistant", "c"), (1, 0, "user", "a"), (1, 1, "assistant", "b")])[0]
     assert row["formatted"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_next|>c<|im_end|>\n"
-    assert [tuple(s) for s in row["loss"]] == [(1, 51, 1), (1, 63, 1)]
+    assert [tuple(s) for s in row["loss"]] == [(1, 51, 1), (2, 63, 1)]
 
 
 def test_empty_table(spark):
@@ -77,3 +80,44 @@ def test_no_python_in_the_plan(spark, turns):
     out = chat.format_conversations(spark.createDataFrame(turns, SCHEMA))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def timed(spark, rows):
+    """Seconds to format and read back, once everything is compiled."""
+    out = read_all(spark, rows)
+    begin = time.perf_counter()
+    row = out.first()
+    return time.perf_counter() - begin, row
+
+
+def read_all(spark, rows):
+    out = chat.format_conversations(rows)
+    return out.select(
+        F.length("formatted").alias("size"),
+        F.size(chat.read_turns(F.col("formatted"))).alias("turns"),
+        F.sha2(F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "|"), 256).alias("learned"),
+    )
+
+
+@pytest.mark.parametrize("alternating", [True, False])
+def test_time_grows_with_the_turns(spark, alternating):
+    """100,000 turns of one conversation, one block for each or all in one block."""
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant") if alternating else F.lit("assistant")
+    taken = {}
+    for n in (1000, 1000, 10_000, 100_000):
+        rows = spark.range(n).select(
+            F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("é <|x|> "), F.col("id")).alias("text")
+        )
+        taken[n], row = timed(spark, rows)
+        said = [f"é <|x|> {i}" for i in range(n) if i % 2 or not alternating]
+        assert row["turns"] == n
+        assert row["learned"] == hashlib.sha256("|".join(said).encode()).hexdigest()
+    # In proportion; the smaller ones cost little but the start of a job.
+    assert taken[100_000] < 60
+    assert taken[100_000] < 25 * max(taken[10_000], 0.5)
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 2, 3, 4, 5, 8, 9, 10, 99, 100, 101):
+        found = spark.range(1).select(chat._before(F.array(*[F.lit(k * k + 1).cast("bigint") for k in range(n)]).cast("array<bigint>")).alias("x")).first()["x"]
+        assert found == [sum(k * k + 1 for k in range(i)) for i in range(n)]
