@@ -8,6 +8,7 @@ only pieces not seen before are given to the tokenizer.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from archipelago.llm.arrays import mix, powers, utf8
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-# Slots of the table of known pieces; it starts anew when half of them are taken.
+# Slots of the table of known pieces; it starts anew when half of them are taken, and what does not fit into an empty
+# one is encoded half a table at a time.
 _SLOTS = 1 << 21
 
 
@@ -45,14 +47,11 @@ class PieceEncoder:
     def _forget(self) -> None:
         self._keys = np.zeros(_SLOTS, np.uint64)
         self._places = np.zeros(_SLOTS, np.int32)
-        # Piece 0 is the end of a text.
-        self._count = 1
+        self._count = 0
         self._starts = np.zeros(1 << 16, np.int64)
         self._sizes = np.zeros(1 << 16, np.int32)
-        self._sizes[0] = 1
         self._ids = np.zeros(1 << 18, np.uint32)
-        self._ids[0] = self._end
-        self._used = 1
+        self._used = 0
 
     def _kind_of(self, points: np.ndarray) -> np.ndarray:
         """The class of each code point, as the tokenizer sees it."""
@@ -115,10 +114,14 @@ class PieceEncoder:
             begin[first + 1 : last] = False
         return np.flatnonzero(begin)
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        """Where a key is looked for first."""
+        return (keys >> np.uint64(65 - _SLOTS.bit_length())).astype(np.int64)
+
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key in the memory, -1 for unknown ones."""
         out = np.full(len(keys), -1, np.int32)
-        slot = (keys >> np.uint64(43)).astype(np.int64)
+        slot = self._slot(keys)
         todo = np.arange(len(keys))
         while len(todo):
             held = self._keys[slot]
@@ -144,7 +147,7 @@ class PieceEncoder:
         self._ids[self._used : self._used + len(flat)] = flat
         self._used += len(flat)
         places = np.arange(first, self._count, dtype=np.int32)
-        slot = (keys >> np.uint64(43)).astype(np.int64)
+        slot = self._slot(keys)
         while len(keys):
             _, own = np.unique(slot, return_index=True)
             own = own[self._keys[slot[own]] == 0]
@@ -167,6 +170,14 @@ class PieceEncoder:
         ends = np.append(cuts[1:], len(points))
         keys = mix((sums[ends] - sums[cuts]) * powers(_INVERSE, len(points) + 1)[cuts] + (ends - cuts).astype(np.uint64))
         keys |= np.uint64(1)  # never 0
+        ids, sizes = self._ids_of(keys, lambda at: [text[cuts[i] : ends[i]] for i in at.tolist()])
+        # The end of each text, after its pieces.
+        after = np.searchsorted(cuts, limits[1:])
+        before = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[after]
+        return np.insert(ids, before, np.uint32(self._end)), np.diff(np.concatenate(([0], before + np.arange(1, len(before) + 1))))
+
+    def _ids_of(self, keys: np.ndarray, spelled: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has; ``spelled`` gives the pieces at some places."""
         places = self._find(keys)
         if (places < 0).any():
             new, first = np.unique(np.where(places < 0, keys, np.uint64(0)), return_index=True)
@@ -174,13 +185,18 @@ class PieceEncoder:
             if 2 * (self._count + len(new)) > _SLOTS:
                 self._forget()
                 new, first = np.unique(keys, return_index=True)
-            self._remember(new, [text[cuts[i] : ends[i]] for i in first.tolist()])
+                if 2 * (self._count + len(new)) > _SLOTS:
+                    return self._ids_in_halves(keys, spelled)
+            self._remember(new, spelled(first))
             places = self._find(keys)
-        # The end of each text, after its pieces.
-        after = np.searchsorted(cuts, limits[1:])
-        places = np.insert(places, after, 0)
         sizes = self._sizes[places]
         total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         at = np.repeat(self._starts[places] - total[:-1], sizes) + np.arange(total[-1])
-        piece_ends = after + np.arange(1, len(after) + 1)
-        return self._ids[at], np.diff(np.concatenate(([0], total[piece_ends])))
+        return self._ids[at], sizes
+
+    def _ids_in_halves(self, keys: np.ndarray, spelled: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for more different pieces than the table can hold: one half of them after the other."""
+        half = len(keys) // 2
+        one = self._ids_of(keys[:half], spelled)
+        two = self._ids_of(keys[half:], lambda at: spelled(at + half))
+        return np.concatenate((one[0], two[0])), np.concatenate((one[1], two[1]))

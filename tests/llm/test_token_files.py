@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import struct
 import zlib
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from archipelago.llm import rans, token_files
+from archipelago.llm import pretokens, rans, token_files
 from archipelago.llm.pretokens import PieceEncoder
 
 public = pytest.importorskip("public_tokenizers")
@@ -64,6 +65,20 @@ def test_pieces_are_those_of_the_tokenizer(vocabulary, plain):
         at += count
 
 
+@pytest.mark.parametrize("slots", [4, 64, 1 << 10])
+def test_texts_with_more_pieces_than_the_memory_holds(vocabulary, plain, monkeypatch, slots):
+    """One long text of different numbers between short ones; known pieces are forgotten, never lost."""
+    monkeypatch.setattr(pretokens, "_SLOTS", slots)
+    draw = random.Random(slots)
+    texts = ["a b a", None, " ".join(f"{draw.randrange(10**8):08d}" for _ in range(3000)), "", "a b c", "x y " * 50]
+    encoder = PieceEncoder(vocabulary, 2)
+    for _ in range(2):
+        ids, counts = encoder.encode(pa.array(texts, pa.string()))
+        expected = [plain(text) for text in texts]
+        assert counts.tolist() == [len(own) for own in expected]
+        assert ids.tolist() == [i for own in expected for i in own]
+
+
 def test_added_tokens_are_those_of_the_tokenizer(spark, vocabulary, tmp_path):
     import random
 
