@@ -1,7 +1,7 @@
 """Token alignment of two tokenizers over the same texts, as Arrow tables inside Spark's tasks.
 
-Both tokenizers cut the bytes of a text, so the ends of their tokens are comparable. Per piece of a few megabytes of
-text:
+Both tokenizers cut the bytes of a text, so the ends of their tokens are comparable. Per piece of about a megabyte
+of text:
 
 1. Words (a blank and what follows it) are a list per document; distinct words are encoded once, and token lists
    are taken from there, flattened, with parent indices that lead back to word and document.
@@ -32,7 +32,7 @@ from archipelago.llm.arrays import pack, pieces, release, unpack, utf8
 from archipelago.llm.tables import written
 
 # Bytes of text aligned at a time, unless a single text is longer.
-PIECE = 4 << 20
+PIECE = 1 << 20
 # A pair of ids is one number: the first side's id, and in the lower bits the second side's.
 _LOW_BITS = 32
 
@@ -275,7 +275,7 @@ def _aligned_pieces(docs: DataFrame, first_json: str, second_model: bytes) -> Da
                 names = ["piece", "doc_ids", "sizes", "links", "pairs", "counts"]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
                 number += 1
-        release()
+                release()
 
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return written(given.mapInArrow(run, _PIECES), "aligned-pieces")
