@@ -2,10 +2,11 @@
 
 Each text becomes a vector of transformed statistics. For each language and source the minimum covariance
 determinant is sought: the part of the documents, three in four, whose statistics spread least. It starts
-at the medians and takes concentration steps: distances under the present centre and covariance, then
-centre and covariance of the closest three quarters. A step is one aggregation: documents
-are summed per group and distance bin, so a group of any size arrives as a few hundred rows.
-Documents too far from the final centre, by Mahalanobis distance, are rejected.
+at the medians with three covariances that outliers can't all spoil (see :func:`_starts`), and takes concentration
+steps: distances under the present centre and covariance, then centre and covariance of the closest three quarters.
+After two steps the start with the smallest determinant goes on alone, until the determinant of no group gets smaller.
+A step is one aggregation: documents are summed per group and distance bin, so a group of any size arrives as a few
+hundred rows. Documents too far from the final centre, by Mahalanobis distance, are rejected.
 """
 
 from __future__ import annotations
@@ -38,18 +39,22 @@ SYMBOLS = "#*$%&|<>"
 # Transformed statistics, in steps of 1 / GRID: shares, all but that of repeats as square roots.
 VECTOR = ("word_length", "symbols", "stutter", "punctuation", "capitals", "repeats")
 GRID = 4096
-# Standardised statistics are held as whole numbers, in steps of 1 / STEP up to CLIP.
+# Statistics are measured from their group's median in units of so many grid steps, as whole numbers of 1 / STEP.
+UNIT = 160
 STEP = 256
-CLIP = 32
-# A statistic's spread counts as this much at least, for many are zero in most texts.
-FLOOR = 160  # grid steps
-# The share of a group that is sought, and the concentration steps.
+# No direction has a smaller variance than this, in these units: what is the same in three texts of four has none.
+LEAST_VARIANCE = 0.1
+# The share of a group that is sought; the concentration steps of all starts, and of the best of them at most.
 PART = 0.75
-STEPS = 6
+FIRST_STEPS = 2
+STEPS = 20
+# The steps end when no group's determinant gets smaller by more than this part.
+ENOUGH = 1e-3
 # Groups of fewer documents that pass the base rules are judged together with the other small ones of their language.
 FEWEST = 100
-# A clean document is rejected with this chance if the statistics are Gaussian.
-TAIL = 1e-9
+# A document is rejected beyond this squared distance. The statistics have longer tails than Gaussian ones (of which one in
+# 10^39 is so far), so the limit is taken from what clean documents lose; see the README.
+CUTOFF = 200.0
 # Distance bins in a factor of two.
 BINS = 16
 
@@ -186,30 +191,21 @@ def _group(rows: DataFrame) -> DataFrame:
 
 
 def _standardised(rows: DataFrame) -> DataFrame:
-    """Add ``z_*``: the statistics in robust units of their group, as whole numbers."""
+    """Add ``z_*``: the statistics from the medians of their group, as whole numbers."""
     named = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"x_{n}").alias("x")) for n in VECTOR])
     bins = rows.filter("fit").select("grp", F.inline(named)).groupBy("grp", "name", "x").count()
     by = Window.partitionBy("grp", "name")
     upto = by.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     rank = bins.withColumns({"upto": F.sum("count").over(upto), "all": F.sum("count").over(by)})
 
-    def quantile(part: float) -> Column:
-        return F.min(F.when(F.col("upto") >= part * F.col("all"), F.col("x")))
-
-    scale = F.greatest(F.lit(float(FLOOR)), (quantile(0.75) - quantile(0.25)) / 1.349)
-    units = (
-        rank.groupBy("grp", "name")
-        .agg(quantile(0.5).cast("double").alias("middle"), scale.alias("scale"))
-        .groupBy("grp")
-        .pivot("name", list(VECTOR))
-        .agg(F.first(F.struct("middle", "scale")))
-    )
+    middle = F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("x")))
+    units = rank.groupBy("grp", "name").agg(middle.alias("middle"))
+    units = units.groupBy("grp").pivot("name", list(VECTOR)).agg(F.first("middle"))
     for n in VECTOR:
         units = units.withColumnRenamed(n, f"u_{n}")
 
     def z(n: str) -> Column:
-        value = (F.col(f"x_{n}") - F.col(f"u_{n}.middle")) / F.col(f"u_{n}.scale")
-        return F.round(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), value)) * STEP).cast("bigint").alias(f"z_{n}")
+        return F.round((F.col(f"x_{n}") - F.col(f"u_{n}")) * F.lit(STEP / UNIT)).cast("bigint").alias(f"z_{n}")
 
     return spread_join(rows, units, ["grp"], "a", "left").select("a", "b", "grp", "fit", *map(z, VECTOR))
 
@@ -224,63 +220,119 @@ def _distance() -> Column:
     return total
 
 
-def _estimate(sums: DataFrame) -> DataFrame:
-    """Centre and inverse covariance per group, from sums over its closest documents."""
-    size = len(VECTOR)
-    correction = PART / chi_square(chi_square_quantile(PART, size), size + 2)
+_ESTIMATE = "grp string, start int, centre array<double>, inverse array<double>, logdet double"
+
+
+def _estimate(sums: DataFrame, correction: float) -> DataFrame:
+    """Centre, inverse covariance and its determinant per group and start, from sums over documents (``_ESTIMATE``)."""
+    size, least = len(VECTOR), LEAST_VARIANCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            centres, inverses = [], []
+            rows = []
             for row in batch.to_pylist():
                 centre = np.array([row[f"s_{i}"] for i in range(size)], float) / row["n"]
                 cov = np.zeros((size, size))
                 for i in range(size):
                     for j in range(i, size):
                         cov[i, j] = cov[j, i] = row[f"p_{i}_{j}"] / row["n"] - centre[i] * centre[j]
-                # No direction counts as less spread than one robust unit of the group.
-                cov = cov * correction / STEP**2 + np.eye(size)
-                centres.append((centre / STEP).tolist())
-                inverses.append(np.linalg.inv(cov).ravel().tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))],
-                names=["grp", "centre", "inverse"],
-            )
+                variances, axes = np.linalg.eigh(cov * correction / STEP**2)
+                variances = np.maximum(variances, least)
+                inverse = (axes / variances) @ axes.T
+                about = {"centre": (centre / STEP).tolist(), "inverse": inverse.ravel().tolist()}
+                rows.append({"grp": row["grp"], "start": row["start"], **about, "logdet": float(np.log(variances).sum())})
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+            names = ["grp", "start", "centre", "inverse", "logdet"]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, kinds, strict=True))))
+
+    return sums.mapInArrow(run, _ESTIMATE)
+
+
+def _sums(weight: Column | None = None) -> dict[str, Column]:
+    """Sums and sums of products of the statistics, or of these without a centre and times ``weight``."""
+    z = [F.col(f"z_{n}") for n in VECTOR]
+    size = range(len(z))
+    nothing = F.lit(0).cast("bigint")
+    sums = {f"s_{i}": F.sum(z[i]) if weight is None else F.sum(nothing) for i in size}
+    times = F.lit(1) if weight is None else weight
+    return sums | {f"p_{i}_{j}": F.sum(times * z[i] * z[j]) for i in size for j in size if i <= j}
 
-    return sums.mapInArrow(run, "grp string, centre array<double>, inverse array<double>")
+
+def _starts(fit: DataFrame) -> DataFrame:
+    """First estimates (``_ESTIMATE``) of each group with enough documents, all around the medians, which are zero.
+
+    One has the units as they are, one the products of all documents, and one the products of their directions, each
+    document counting alike however far it is (the spatial sign covariance).
+    """
+    size = len(VECTOR)
+    z = [F.col(f"z_{n}") for n in VECTOR]
+    length = sum((x * x for x in z), F.lit(0)).cast("double")
+    # Directions as if all documents were at a distance of one unit times the root of the statistics.
+    sign = F.when(length > 0, STEP**2 * size / length).otherwise(F.lit(0.0))
+    count = F.count(F.lit(1)).alias("n")
+    frames = []
+    for start, weight in ((1, F.lit(1.0)), (2, sign)):
+        sums = fit.groupBy("grp").agg(count, *[column.alias(name) for name, column in _sums(weight).items()])
+        frames.append(sums.filter(F.col("n") >= FEWEST).withColumn("start", F.lit(start)))
+    identity = F.array(*[F.lit(float(i == j)) for i in range(size) for j in range(size)])
+    plain = frames[0].select(
+        "grp",
+        F.lit(0).alias("start"),
+        F.array(*[F.lit(0.0)] * size).alias("centre"),
+        identity.alias("inverse"),
+        F.lit(0.0).alias("logdet"),
+    )
+    return written(plain.unionByName(_estimate(frames[0].unionByName(frames[1]), 1.0)), "starts")
 
 
 def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """One concentration step: new estimates from the closest part of each group."""
-    size = range(len(VECTOR))
-    z = [F.col(f"z_{n}") for n in VECTOR]
+    size = len(VECTOR)
+    correction = PART / chi_square(chi_square_quantile(PART, size), size + 2)
     bin_ = F.floor(BINS * F.log2(1 + F.greatest(_distance(), F.lit(0.0))))
-    sums = {f"s_{i}": F.sum(z[i]) for i in size}
-    sums |= {f"p_{i}_{j}": F.sum(z[i] * z[j]) for i in size for j in size if i <= j}
+    sums = _sums()
     binned = (
         rows.filter("fit")
         .transform(lambda fit: spread_join(fit, estimates, ["grp"], "a"))
         .withColumn("bin", bin_)
-        .groupBy("grp", "bin")
+        .groupBy("grp", "start", "bin")
         .agg(F.count(F.lit(1)).alias("n"), *[column.alias(name) for name, column in sums.items()])
     )
-    by = Window.partitionBy("grp")
+    by = Window.partitionBy("grp", "start")
     before = by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     closest = (
         binned.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(by)})
         .filter(F.col("before") < PART * F.col("all"))
-        .groupBy("grp")
+        .groupBy("grp", "start")
         .agg(*[F.sum(name).alias(name) for name in ("n", *sums)])
     )
-    return written(_estimate(closest), "estimates")
+    return written(_estimate(closest, correction), "estimates")
+
+
+def minimum_determinant(rows: DataFrame) -> DataFrame:
+    """``grp, start, centre, inverse, logdet``: the estimate of each group that has ``FEWEST`` documents or more.
+
+    ``rows`` has ``grp, fit, a`` and the statistics ``z_*``; a null ``fit`` or a false one takes no part.
+    """
+    estimates = _starts(rows.filter("fit"))
+    for _ in range(FIRST_STEPS):
+        estimates = _concentrate(rows, estimates)
+    best = F.min_by(F.struct("start", "centre", "inverse", "logdet"), F.struct("logdet", "start"))
+    estimates = estimates.groupBy("grp").agg(best.alias("best")).select("grp", "best.*")
+    for _ in range(STEPS):
+        before, estimates = estimates, _concentrate(rows, estimates)
+        smaller = before.select("grp", F.col("logdet").alias("was")).join(estimates, "grp")
+        if not smaller.agg(F.max(F.col("was") - F.col("logdet") > ENOUGH)).first()[0]:
+            break
+    return estimates
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """``doc_id, a, b``, the counts, ``base_failed``, ``distance``, ``kept``: the verdict on every row.
 
     ``docs`` has ``doc_id, text, lang, source``; other columns are not read. ``base_failed`` documents are
-    rejected and left out of the estimates. Others are rejected beyond the chi-square quantile of
-    ``1 - TAIL``. Null languages and sources are groups of their own; a null or empty text has no words
+    rejected and left out of the estimates. Others are rejected beyond a squared distance of ``CUTOFF``. Words count as 32
+    characters long at most on average. Null languages and sources are groups of their own; a null or empty text has no words
     and fails. Groups are small by the documents that pass the base rules; if all
     small groups together have fewer than ``FEWEST`` of these, those are kept (their distance is null). Equal rows get equal verdicts; an empty table gives an empty result. ``a`` and
     ``b`` are the row's :func:`key`.
@@ -293,18 +345,9 @@ def judged(docs: DataFrame) -> DataFrame:
     fit = rows.withColumn("fit", ~F.col("base_failed"))
     fit = fit.select("a", "b", "lang", "source", "fit", *[f"x_{n}" for n in VECTOR]).dropDuplicates(["a", "b"])
     z = written(_standardised(_group(fit)), "standardised")
-    size = len(VECTOR)
-    start = z.filter("fit").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FEWEST)
-    estimates = start.select(
-        "grp",
-        F.array(*[F.lit(0.0)] * size).alias("centre"),
-        F.array(*[F.lit(float(i == j)) for i in range(size) for j in range(size)]).alias("inverse"),
-    )
-    for _ in range(STEPS):
-        estimates = _concentrate(z, estimates)
+    estimates = minimum_determinant(z)
     distances = spread_join(z, estimates, ["grp"], "a", "left").select("a", "b", _distance().alias("distance"))
-    limit = chi_square_quantile(1 - TAIL, size)
-    near = F.coalesce(F.col("distance") <= limit, F.lit(True))
+    near = F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return rows.join(distances, ["a", "b"]).select(
         "doc_id", "a", "b", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & near).alias("kept")
     )

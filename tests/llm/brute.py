@@ -166,3 +166,47 @@ def without_lines(rows, length: int = 40, documents: int = 5) -> list[tuple]:
 
 def sha256(value: str | bytes) -> str:
     return hashlib.sha256(value.encode() if isinstance(value, str) else value).hexdigest()
+
+
+def closest_part(z, part, least, starts, correction, bins=None, first_steps=None, enough=1e-9):
+    """The minimum covariance determinant of the rows of ``z``: centre, inverse covariance, log determinant, distances.
+
+    Of all ``starts`` (centre and covariance) the one with the smallest determinant after ``first_steps`` (when they have
+    ended, without a number) is followed until the determinant gets smaller by no more than ``enough``. The closest ``part`` is
+    exact, or whole bins of distance with ``bins`` bins in a factor of two.
+    """
+    import numpy as np
+
+    def inverse_of(centre, cov):
+        variances, axes = np.linalg.eigh(cov)
+        variances = np.maximum(variances, least)
+        return np.log(variances).sum(), centre, (axes / variances) @ axes.T
+
+    def distances(centre, inverse):
+        return np.einsum("ij,jk,ik->i", z - centre, inverse, z - centre)
+
+    def step(estimate):
+        distance = distances(*estimate[1:])
+        if bins:
+            bin_ = np.floor(bins * np.log2(1 + np.maximum(distance, 0)))
+            own = z[np.searchsorted(np.sort(bin_), bin_) < part * len(z)]
+        else:
+            own = z[np.argsort(distance, kind="stable")[: int(np.ceil(part * len(z)))]]
+        return inverse_of(own.mean(0), np.cov(own.T, bias=True) * correction)
+
+    def to_the_end(estimate):
+        for _ in range(100):
+            before, estimate = estimate, step(estimate)
+            if not before[0] - estimate[0] > enough:
+                break
+        return estimate
+
+    found = [inverse_of(*start) for start in starts]
+    if first_steps is None:
+        found = [to_the_end(step(estimate)) for estimate in found]
+    else:
+        for _ in range(first_steps):
+            found = [step(estimate) for estimate in found]
+    best = min(found, key=lambda one: one[0])
+    logdet, centre, inverse = best if first_steps is None else to_the_end(best)
+    return centre, inverse, logdet, distances(centre, inverse)

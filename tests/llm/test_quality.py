@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from archipelago.llm import quality
 from tests.llm import brute
@@ -68,3 +70,73 @@ def test_chi_square():
     assert quality.chi_square(3.0, 2) == pytest.approx(0.7768698, abs=1e-6)
     assert quality.chi_square_quantile(0.95, 6) == pytest.approx(12.5916, abs=1e-3)
     assert quality.chi_square(0, 4) == 0
+
+
+def marked(draw, capitals, punctuation, words=150):
+    """Text whose roots of the shares of capitals and punctuation are about these."""
+    letters = [draw.choice("abcdefgh") for _ in range(words * 6)]
+    size = len(letters) / (1 - punctuation**2)
+    for i in draw.sample(range(len(letters)), int(capitals**2 * size)):
+        letters[i] = letters[i].upper()
+    marks = [""] * words
+    for _ in range(int(punctuation**2 * size)):
+        marks[draw.randrange(words)] += "."
+    return " ".join("".join(letters[6 * i : 6 * i + 6]) + marks[i] for i in range(words))
+
+
+@pytest.fixture(scope="module")
+def correlated():
+    """Texts with as many capitals as punctuation marks, a few or many, and 40 of 400 where one goes without the other."""
+    draw = random.Random(7)
+    rows = []
+    for i in range(400):
+        a, b = draw.uniform(0.1, 0.5), 0.0
+        b = min(0.5, max(0.1, a + draw.gauss(0, 0.01)))
+        if i % 10 == 0:
+            a, b = draw.choice([(0.48, 0.12), (0.12, 0.48)])
+        rows.append((i, marked(draw, a, b), "en", "one"))
+    return rows
+
+
+def verdicts(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    return {r["doc_id"]: r for r in quality.judged(docs).collect()}
+
+
+def test_correlated_outliers(spark, correlated, monkeypatch):
+    """No single statistic shows them: only the estimate does, and only after its steps."""
+    found = verdicts(spark, correlated)
+    assert [i for i, r in sorted(found.items()) if not r["kept"]] == list(range(0, 400, 10))
+    monkeypatch.setattr(quality, "FIRST_STEPS", 0)
+    monkeypatch.setattr(quality, "STEPS", 0)
+    assert all(r["kept"] for r in verdicts(spark, correlated).values())
+
+
+def test_estimate_against_brute_force(spark, correlated):
+    """The same distances as a plain model with the same bins, and nearly those of the exact closest part."""
+    docs = spark.createDataFrame(correlated, "doc_id bigint, text string, lang string, source string")
+    keyed = docs.select("doc_id", F.col("doc_id").alias("a"), F.lit(0).alias("b"), "text")
+    rows = quality.text_statistics(keyed, "doc_id", "a", "b")
+    z = quality._standardised(rows.withColumns({"grp": F.lit("g"), "fit": ~quality.base_failed()}))
+    z = quality.written(z, "z")
+    estimate = quality.minimum_determinant(z).collect()
+    assert len(estimate) == 1
+    estimate = estimate[0]
+    plain = np.array([r[1:] for r in sorted(z.select("a", *[f"z_{n}" for n in quality.VECTOR]).collect())], float) / quality.STEP
+    size = plain.shape[1]
+    length = (plain**2).sum(1)
+    signs = plain * np.sqrt(size / np.where(length > 0, length, 1))[:, None]
+    zero = np.zeros(size)
+    starts = [(zero, np.eye(size)), (zero, plain.T @ plain / len(plain)), (zero, signs.T @ signs / len(plain))]
+    correction = quality.PART / quality.chi_square(quality.chi_square_quantile(quality.PART, size), size + 2)
+    options = plain, quality.PART, quality.LEAST_VARIANCE, starts, correction
+    centre, inverse, logdet, _ = brute.closest_part(
+        *options, bins=quality.BINS, first_steps=quality.FIRST_STEPS, enough=quality.ENOUGH
+    )
+    assert estimate["logdet"] == pytest.approx(logdet, abs=1e-6)
+    assert estimate["centre"] == pytest.approx(centre.tolist(), abs=1e-6)
+    assert estimate["inverse"] == pytest.approx(inverse.ravel().tolist(), abs=1e-5)
+    *_, exact, distances = brute.closest_part(*options)
+    # Whole bins hold a little more than the part.
+    assert exact <= estimate["logdet"] + 1e-9 < exact + 0.5
+    assert sorted(np.flatnonzero(distances > quality.CUTOFF).tolist()) == list(range(0, 400, 10))
