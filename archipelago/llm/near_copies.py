@@ -29,7 +29,8 @@ from archipelago.llm.arrays import (
     text_pieces,
     words,
 )
-from archipelago.llm.tables import run_tables, small_side, spread_join, written
+from archipelago.llm.tables import run_tables, small_side, spread_join, union, written
+from archipelago.operators import lookup
 
 WORDS = 5
 # Linked if LEAST percent of the union are shared.
@@ -44,8 +45,11 @@ ZERO_BITS = 6
 MANTISSA_BITS = 10
 # Pairs with less agreement than this are hopeless: six standard deviations under the limit.
 HOPELESS = LEAST / 100 - 6 * (0.75 * 0.25 / REGISTERS) ** 0.5
-# Members of a bucket or family that are compared with as many others at a time.
+# Members of a bucket or family that are compared with as many others at a time, and shingles of a family's chunk.
 BLOCK = 512
+CHUNK = 1 << 21
+# A key with more rows than this part of all is split where rows are joined by it; so there are few such keys.
+HOT = 2000
 # Columns of the tables of shingles that are multiplied at a time.
 _WIDTH = 4096
 
@@ -113,12 +117,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             for first, end, data, limits in text_pieces(batch.column(2), _PIECE):
                 hashes, at = _shingle_sets(data, limits)
                 rows = end - first
-                sizes, a, b = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+                sizes, a, b = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
                 for i in range(rows):
                     own = np.unique(hashes[at[i] : at[i + 1]])
                     sizes[i] = len(own)
-                    a[i] = np.bitwise_xor.reduce(own, initial=0)
-                    b[i] = np.add.reduce(mix(own), initial=0)
+                    a[i], b[i] = _digest(own)
                 filled = sizes > 0
                 found = iter(registers(hashes, at))
                 values = [next(found).tobytes() if x else None for x in filled]
@@ -127,8 +130,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                         batch.column(0).slice(first, rows),
                         batch.column(1).slice(first, rows),
                         pa.array(sizes),
-                        pa.array(a.view(np.int64), mask=~filled),
-                        pa.array(b.view(np.int64), mask=~filled),
+                        pa.array(a, mask=~filled),
+                        pa.array(b, mask=~filled),
                         pa.array(values, pa.binary()),
                     ],
                     names=names,
@@ -181,20 +184,34 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, families: DataFrame) -> DataFrame:
-    """``family, chunks, node, shingles``: the sorted shingle sets of the documents in families."""
+    """``family, chunks, node, shingles``: the sorted shingle sets of the classes (``node``) in families.
+
+    ``families`` has with each class the id ``of`` a document that has its set, and the set's digest: rows of that id
+    with another text are others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, limits in text_pieces(batch.column(3), _PIECE):
+            for first, end, data, limits in text_pieces(batch.column(5), _PIECE):
                 hashes, at = _shingle_sets(data, limits)
-                values = [np.unique(hashes[at[i] : at[i + 1]]).tobytes() for i in range(end - first)]
+                sets = [np.unique(hashes[at[i] : at[i + 1]]) for i in range(end - first)]
                 own = batch.slice(first, end - first)
-                yield own.set_column(3, "shingles", pa.array(values, pa.binary()))
+                digests = zip(own.column(3).to_pylist(), own.column(4).to_pylist(), strict=True)
+                right = [_digest(held) == digest for held, digest in zip(sets, digests, strict=True)]
+                columns = [*own.columns[:3], pa.array([held.tobytes() for held in sets], pa.binary())]
+                names = ["family", "chunks", "node", "shingles"]
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(right, pa.bool_()))
         release()
 
-    texts = docs.select(node().alias("node"), "text").join(small_side(families, "members"), "node")
+    texts = docs.select(node().alias("of"), "text").join(small_side(families, "members"), "of")
     shape = "family bigint, chunks bigint, node bigint, shingles binary"
-    return texts.select("family", "chunks", "node", "text").mapInArrow(run, shape).dropDuplicates(["node"])
+    return texts.select("family", "chunks", "node", "a", "b", "text").mapInArrow(run, shape).dropDuplicates(["node"])
+
+
+def _digest(held: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    both = np.array([np.bitwise_xor.reduce(held, initial=0), np.add.reduce(mix(held), initial=0)], np.uint64)
+    return tuple(both.view(np.int64).tolist())
 
 
 def node() -> Column:
@@ -219,7 +236,19 @@ def _edges(pairs: list[tuple[int, int]]) -> dict[str, pa.Array]:
     }
 
 
-def _left_open(members: DataFrame, near: DataFrame, classes: DataFrame) -> DataFrame:
+def _split_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Join ``rows`` to ``keys``, which say in ``count`` how many rows they have; those of many rows are split."""
+    limit = max(500, total // HOT)
+    parts = F.ceil(F.col(count) / limit).cast("bigint")
+    # At most HOT keys have that many rows.
+    hot = F.broadcast(keys.filter(F.col(count) > limit).select(*on, parts.alias("_parts")))
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("node"), "_parts")).otherwise(0)
+    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col(count) > limit, parts).otherwise(1) - 1))
+    salted = rows.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    return salted.join(keys.withColumn("_part", spread), [*on, "_part"]).drop("_part")
+
+
+def _left_open(members: DataFrame, near: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """Edges (``src, dst``) between members of a bucket that its smallest member doesn't join.
 
     That one has been compared with all others; ``near`` are its edges. ``few`` are the members without one. Each pair
@@ -236,9 +265,12 @@ def _left_open(members: DataFrame, near: DataFrame, classes: DataFrame) -> DataF
         labelled.groupBy("band", "bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("few").alias("n_few"))
         .filter((F.col("n") > 2) & (F.col("n_few") > 0))
-        .withColumns({"n": F.ceil(F.col("n") / BLOCK), "n_few": F.ceil(F.col("n_few") / BLOCK)})
+        .withColumns({"all": F.col("n"), "n": F.ceil(F.col("n") / BLOCK), "n_few": F.ceil(F.col("n_few") / BLOCK)})
     )
-    rows = labelled.join(open_, ["band", "bucket"]).join(classes.select("node", "registers"), "node")
+    # Read twice, for the hot keys and for the join.
+    open_ = written(open_, "open-buckets")
+    rows = _split_join(labelled, open_, ["band", "bucket"], "all", total).drop("all")
+    rows = rows.join(classes.select("node", "registers"), "node")
 
     def run(group: pa.Table) -> pa.Table:
         side, ids, label, few = (group.column(n).to_numpy() for n in ("side", "node", "label", "few"))
@@ -363,45 +395,63 @@ def near_copies(docs: DataFrame) -> DataFrame:
     with fewer words it is all of them as one; without words or with a null text it is empty and
     linked with nothing. Documents are linked if they share 75 % of the union of their sets, and
     ``component_id`` is the smallest ``doc_id`` that links lead to. ``kept`` marks the document that has
-    it. Rows with the same ``doc_id`` are one document and stay or go together. A row without ``doc_id`` takes
-    part, but stands for its group only if no other row of the group has an id; then ``component_id`` is null.
-    An empty table gives an empty result. Other columns are not read.
+    it. Rows with the same ``doc_id`` are one document, whatever their texts are linked with, and stay or go together. A row
+    without ``doc_id`` takes part, but stands for its group only if no other row of the group has an id; then
+    ``component_id`` is null. An empty table gives an empty result. Other columns are not read.
     """
     given = docs.select("doc_id", "text")
-    own = written(sketches(given), "sketches")
+    own = run_tables(docs.sparkSession).write(sketches(given), "sketches")
+    total, own = own.rows, own.df
+    limit = max(500, total // HOT)
+    filled = own.filter("a is not null")
+    # Equal sets are one class, with a number of its own; ``of`` is the smallest document that has the set.
     classes = written(
-        own.filter("a is not null")
-        .groupBy("a", "b")
-        .agg(F.min("node").alias("node"), F.min("registers").alias("registers")),
+        filled.groupBy("a", "b")
+        .agg(F.min("node").alias("of"), F.min("registers").alias("registers"), F.min("n_shingles").alias("n_shingles"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     bands = _bands(classes)
     leaders = (
         bands.groupBy("band", "bucket")
-        .agg(F.min("node").alias("leader"), F.max("node").alias("last"))
+        .agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
         .filter(F.col("leader") != F.col("last"))
         .drop("last")
     )
-    members = written(bands.join(leaders, ["band", "bucket"]), "members")
+    leaders = written(leaders, "leaders")
+    members = written(_split_join(bands, leaders, ["band", "bucket"], "n", BANDS * total).drop("n"), "members")
     stars = (
         members.filter(F.col("leader") != F.col("node"))
         .select(F.col("leader").alias("src"), F.col("node").alias("dst"))
         .distinct()
     )
     near = written(_promising(stars, classes), "promising")
-    more = written(_left_open(members, near, classes), "left-open")
+    more = written(_left_open(members, near, classes, BANDS * total), "left-open")
     families = _components(near.unionByName(more))
     families = families.select("node", F.col("component").alias("family"))
-    chunks = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
-    sets = written(_sets(given, spread_join(families, chunks, ["family"], "node")), "sets")
+    families = families.join(classes.drop("registers"), "node")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / CHUNK))
+    chunks = families.groupBy("family").agg(size.alias("chunks"))
+    sets = written(_sets(given, spread_join(families.drop("n_shingles"), chunks, ["family"], "node")), "sets")
     component = written(_family_components(sets), "components")
 
-    group = classes.select("a", "b", "node").join(component, "node", "left")
-    group = group.select("a", "b", F.coalesce("component", "node").alias("group"))
-    rows = own.drop("registers").join(group, ["a", "b"], "left")
-    rows = rows.withColumn("group", F.coalesce("group", "node"))
-    named = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(named, "group").select(
+    named = classes.select("a", "b", "node").join(component, "node", "left")
+    named = named.select("a", "b", F.coalesce("component", "node").alias("group"))
+    grouped = written(lookup(filled.drop("registers"), named, "b", ["a"], "inner", total, hot_rows=limit), "grouped")
+    tied = run_tables(docs.sparkSession).write(_tied(grouped), "tied")
+    if tied.rows:
+        grouped = lookup(grouped, tied.df, "group", (), "left", total, hot_rows=limit)
+        grouped = grouped.withColumn("group", F.coalesce("tied", "group")).drop("tied")
+
+    # Rows without words have their document's group, if it has one, or none.
+    known = grouped.groupBy("node").agg(F.min("group").alias("group"))
+    alone = own.filter("a is null").drop("registers")
+    alone = lookup(alone, known, "node", (), "left", total, hot_rows=limit)
+    grouped = union(grouped, alone.filter("group is not null"))
+    ids = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    grouped = lookup(grouped, ids, "group", (), "inner", total, hot_rows=limit)
+    alone = alone.filter("group is null").withColumn("component_id", F.col("doc_id"))
+    return union(grouped, alone.select(*grouped.columns)).select(
         "doc_id",
         "node",
         "n_shingles",
@@ -410,6 +460,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     )
 
 
+def _tied(rows: DataFrame) -> DataFrame:
+    """``group, tied``: groups that rows of one document tie together, with the smallest of them."""
+    several = rows.groupBy("node").agg(F.min("group").alias("src"), F.max("group").alias("last"))
+    several = several.filter(F.col("src") < F.col("last")).drop("last")
+    ties = rows.join(several, "node").filter(F.col("group") != F.col("src")).select("src", F.col("group").alias("dst"))
+    return _components(ties).toDF("group", "tied")
+
+
 def _components(links: DataFrame) -> DataFrame:
     return connected_components(links, tables=run_tables(links.sparkSession))
 

@@ -48,6 +48,45 @@ def test_members_that_the_smallest_does_not_settle(spark, monkeypatch):
     same(near_copies.near_copies(docs).drop("node").collect(), expected(rows))
 
 
+def test_rows_of_one_id_with_several_texts(spark):
+    """A document links what its texts are linked with, whichever of them comes first; its empty rows go with it."""
+    draw = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in draw.integers(0, 10**6, 60)) for _ in range(4)]
+    rows = [(5, texts[0]), (5, texts[1]), (6, texts[0] + " x"), (7, texts[1] + " x"), (5, None), (8, ""), (9, None), (9, texts[2])]
+    rows += [(3, texts[2] + " y"), (None, texts[3]), (None, ""), (None, None), (11, texts[3]), (11, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = near_copies.near_copies(docs).drop("node").collect()
+    same(found, expected(rows))
+    assert {r["component_id"] for r in found if r["doc_id"] in (5, 6, 7)} == {5}
+    assert {r["component_id"] for r in found if r["doc_id"] in (3, 9)} == {3}
+
+
+def test_hot_groups_and_long_texts_are_split(spark, monkeypatch):
+    """Many copies and near copies of one text, in buckets and families that are cut by rows and by shingles."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    monkeypatch.setattr(near_copies, "CHUNK", 300)
+    monkeypatch.setattr(near_copies, "HOT", 10**6)
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(words)] * 600 + [" ".join([*words[:80], f"own{i}", *words[81:]]) for i in range(60)] + [None] * 550
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = near_copies.near_copies(docs).drop("node").collect()
+    assert sum(r["kept"] for r in found) == 551
+    assert {r["component_id"] for r in found if r["n_shingles"]} == {0}
+
+
+def test_pairs_at_the_limit_are_found(spark):
+    """300 pairs that share just over 75 % of their shingles: none is lost before the exact check."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        said = [f"w{x}" for x in draw.integers(0, 10**7, 140)]
+        rows += [(2 * i, " ".join(said)), (2 * i + 1, " ".join(said[:121]))]
+    assert len(brute.shingles(rows[1][1])) * 100 >= 75 * len(brute.shingles(rows[0][1]))
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r["doc_id"] for r in found if r["component_id"] != r["doc_id"] // 2 * 2] == []
+
+
 def test_registers_estimate_similarity():
     draw = np.random.default_rng(3)
     both = draw.integers(0, 2**63, 700, dtype=np.uint64)
