@@ -1,27 +1,29 @@
 """Drop lines that many documents repeat, with levelled sorted runs of line hashes.
 
-The documents arrive in batches. A batch is reduced to one row per line key: how many of its documents
-hold it and the largest of them. That sorted run is merge-anti-joined with the runs of earlier
-batches, which tells the keys that are new, and is then added as a run of level 0. As soon as a
-level has ``FANOUT`` runs, they are compacted into one run of the next level, so a key is rewritten
-a logarithmic number of times.
+The lines with a key are written once and arrive in batches of documents. A batch is reduced to one row per line key: how
+many of its documents hold it and the largest of them. The merge-anti-join with the runs of earlier batches decides
+what becomes of it: keys that no run has are the batch's own run, so a key is in one run only; the others are
+updates of their counts. As soon as a level has ``FANOUT`` runs, they are compacted into one run of the next level and
+updates are added to the keys they belong to, so a key is rewritten a logarithmic number of times.
 """
 
 from __future__ import annotations
 
 import string
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipelago.llm.tables import row_key, run_tables, spread_join, union
+from archipelago.llm.tables import row_key, run_tables, spread_join, union, written
 from archipelago.sources.round_tables import RoundTable
 
 # Code points that a key needs, and documents that must hold it.
 KEY_LENGTH = 40
 DOCUMENTS = 5
-# Batches that a whole table is dealt to, and runs of a level that are compacted.
-BATCHES = 4
+# Lines of a batch, and the most batches that a table is dealt to; runs of a level that are compacted.
+BATCH_LINES = 500_000
+MOST_BATCHES = 16
 FANOUT = 3
 
 _WHITE = " \t\n\x0b\x0c\r"
@@ -29,7 +31,10 @@ _WHITE = " \t\n\x0b\x0c\r"
 
 def line_key(line: Column) -> Column:
     """A line without white space at its ends, with A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(_WHITE)), string.ascii_uppercase, string.ascii_lowercase)
+    bare = F.btrim(line, F.lit(_WHITE))
+    # Where all characters are ASCII this is what lower() does, which is much faster.
+    plain = F.octet_length(bare) == F.char_length(bare)
+    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def lines(text: Column | str) -> Column:
@@ -49,9 +54,22 @@ def keyed_lines(docs: DataFrame, length: int = KEY_LENGTH) -> DataFrame:
     )
 
 
-def _merge(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("line").agg(
-        F.sum("documents").alias("documents"), F.max("largest").alias("largest"), F.max("fresh").alias("fresh")
+@dataclass(frozen=True)
+class Run:
+    """``line, documents, largest``: the keys that were new, and updates of keys in earlier runs."""
+
+    keys: RoundTable
+    updates: RoundTable | None = None
+
+
+def _merged(runs: list[Run]) -> DataFrame:
+    """``line, documents, largest, own``: counts of all runs; ``own`` is false for keys that are in none of them."""
+    frames = [run.keys.df.withColumn("own", F.lit(True)) for run in runs]
+    frames += [run.updates.df.withColumn("own", F.lit(False)) for run in runs if run.updates is not None]
+    return (
+        union(*frames)
+        .groupBy("line")
+        .agg(F.sum("documents").alias("documents"), F.max("largest").alias("largest"), F.max("own").alias("own"))
     )
 
 
@@ -61,23 +79,18 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
         self._tables = run_tables(spark)
         self._fanout = fanout
-        self.levels: list[list[RoundTable]] = [[]]
+        self.levels: list[list[Run]] = [[]]
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(self._tables.write(run.sortWithinPartitions("line"), f"run-{level}"))
+    def _write(self, rows: DataFrame, name: str) -> RoundTable:
+        return self._tables.write(rows.select("line", "documents", "largest").sortWithinPartitions("line"), name)
 
-    def runs(self) -> DataFrame | None:
-        """The rows of all runs; a key has one in each run that holds it."""
-        found = [run.df for level in self.levels for run in level]
-        return union(*found) if found else None
+    def _all(self) -> list[Run]:
+        return [run for level in self.levels for run in level]
 
-    def add(self, batch: DataFrame) -> RoundTable:
+    def add(self, batch: DataFrame) -> Run:
         """Add the keys of a batch of :func:`keyed_lines` and return its run.
 
-        A batch must hold all rows of the documents in it. ``fresh`` marks keys that no earlier batch had. The run
-        can be read until the next batch is added.
+        A batch must hold all rows of the documents in it. The run can be read until the next batch is added.
         """
         self._compact()
         own = (
@@ -86,48 +99,59 @@ class LineRuns:
             .groupBy("line")
             .agg(F.count(F.lit(1)).alias("documents"), F.max("doc_id").alias("largest"))
         )
-        earlier = self.runs()
-        if earlier is None:
-            run = own.withColumn("fresh", F.lit(True))
+        earlier = self._all()
+        if not earlier:
+            run = Run(self._write(own, "run-0"))
         else:
-            own = self._tables.write(own, "batch").df
-            known = earlier.select("line").distinct()
-            fresh = own.join(known.hint("merge"), "line", "left_anti").withColumn("fresh", F.lit(True))
-            seen = own.join(known.hint("merge"), "line", "left_semi").withColumn("fresh", F.lit(False))
-            run = fresh.unionByName(seen)
-        self._write(run, 0)
-        return self.levels[0][-1]
+            held = self._tables.write(own, "batch")
+            # No key is in two runs.
+            known = union(*[run.keys.df.select("line") for run in earlier]).hint("merge")
+            fresh = self._write(held.df.join(known, "line", "left_anti"), "run-0")
+            updates = None
+            if fresh.rows < held.rows:
+                updates = self._write(held.df.join(known, "line", "left_semi"), "updates-0")
+            self._tables.drop(held)
+            run = Run(fresh, updates)
+        self.levels[0].append(run)
+        return run
 
     def _compact(self) -> None:
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self._fanout:
                 full, self.levels[level] = self.levels[level], []
-                self._write(_merge(union(*[run.df for run in full])), level + 1)
-                self._tables.drop(*full)
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                merged = self._tables.write(_merged(full), "merged")
+                keys = self._write(merged.df.filter("own"), f"run-{level + 1}")
+                updates = None
+                if keys.rows < merged.rows:
+                    updates = self._write(merged.df.filter("not own"), f"updates-{level + 1}")
+                self.levels[level + 1].append(Run(keys, updates))
+                self._tables.drop(merged, *[table for run in full for table in (run.keys, run.updates) if table])
             level += 1
 
     def repeated(self, documents: int = DOCUMENTS) -> DataFrame:
         """``line, largest``: the keys that at least so many documents hold, and the last of these."""
-        found = self.runs()
-        if found is None:
+        if not self._all():
             raise ValueError("no batch was added")
-        return _merge(found).filter(F.col("documents") >= documents).select("line", "largest")
+        return _merged(self._all()).filter(F.col("documents") >= documents).select("line", "largest")
 
 
-def repeated_lines(
-    docs: DataFrame, batches: int = BATCHES, length: int = KEY_LENGTH, documents: int = DOCUMENTS
-) -> DataFrame:
-    """``line, largest`` for all documents, added to the runs in ``batches`` batches by ``doc_id``."""
-    runs = LineRuns(docs.sparkSession)
+def repeated_lines(keyed: DataFrame, rows: int, documents: int = DOCUMENTS, batches: int | None = None) -> DataFrame:
+    """``line, largest`` for all documents, added to the runs in batches of about ``BATCH_LINES`` lines.
+
+    ``keyed`` are :func:`keyed_lines` with ``bucket``, ``rows`` their number.
+    """
+    batches = batches or min(MOST_BATCHES, max(1, -(-rows // BATCH_LINES)))
+    runs = LineRuns(keyed.sparkSession)
     for batch in range(batches):
-        own = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch)
-        runs.add(keyed_lines(own, length))
+        runs.add(keyed.filter(F.col("bucket") % batches == batch))
     return runs.repeated(documents)
 
 
 def drop_repeated_lines(
-    docs: DataFrame, batches: int = BATCHES, length: int = KEY_LENGTH, documents: int = DOCUMENTS
+    docs: DataFrame, batches: int | None = None, length: int = KEY_LENGTH, documents: int = DOCUMENTS
 ) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept``: the texts without repeated lines.
 
@@ -136,12 +160,15 @@ def drop_repeated_lines(
     ``doc_id`` that holds them. A null or empty text has one empty line. Rows with one ``doc_id`` are one
     document; rows without are one document too, which is never the largest, unless no
     other holds the key, and then loses its lines as well. Equal rows are treated alike, an empty
-    table gives an empty result, and other columns are not read.
+    table gives an empty result, and other columns are not read. The texts are read twice, for the lines and for the
+    result. ``batches``, up to ``MOST_BATCHES``, follow the number of lines by default.
     """
     docs = docs.select("doc_id", "text")
-    repeated = repeated_lines(docs, batches, length, documents)
+    dealt = keyed_lines(docs, length).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(MOST_BATCHES)).cast("int"))
+    keyed = run_tables(docs.sparkSession).write(dealt, "keyed-lines", partition_by=("bucket",))
+    repeated = written(repeated_lines(keyed.df, keyed.rows, documents, batches), "repeated-lines")
     lost = (
-        spread_join(keyed_lines(docs, length), repeated, ["line"], "a")
+        spread_join(keyed.df, repeated, ["line"], "a")
         .filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("largest")))
         .groupBy("a", "b")
         .agg(F.collect_set("place").alias("places"))
