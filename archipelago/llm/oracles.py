@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+from html import unescape
+from html.entities import html5
 
 from archipelago.llm import chat, line_runs, warc
 from archipelago.llm.decontaminate import WINDOW
@@ -69,6 +71,45 @@ def _near_copies() -> str:
         from doc left join size using (doc_id) left join cc on node = doc.doc_id"""
 
 
+# What stands for a character in HTML: a number, or a name that may lack its semicolon.
+_REFERENCE = r"'&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)'"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _decoded(bare: str) -> str:
+    """A text with all character references decoded once, from left to right."""
+    names = f"map([{', '.join(map(_quoted, html5))}], [{', '.join(map(_quoted, html5.values()))}])"
+    # Numbers below the surrogates that do not stand for their own code point.
+    odd = [n for n in range(0xD800) if unescape(f"&#{n};") != chr(n)]
+    others = ", ".join(_quoted(unescape(f"&#{n};")) if n else "chr(65533)" for n in odd)
+    numbers = f"map([{', '.join(map(str, odd))}], [{others}])"
+    digits = "rtrim(substring(ref, 3), ';')"
+    hexadecimal = "('0x' || rtrim(substring(ref, 4), ';'))"
+    code = f"case when lower(ref[3]) = 'x' then try_cast({hexadecimal} as bigint) else try_cast({digits} as bigint) end"
+    plain = """case when code is null or code > 1114111 or code between 55296 and 57343 then chr(65533)
+        when code >= 64976 and code <= 65007 or code % 65536 >= 65534 then '' else chr(cast(code as integer)) end"""
+    named = """coalesce(names[substring(ref, 2)],
+        [names[substring(ref, 2, n)] || substring(ref, n + 2) for n in range(length(ref) - 2, 1, -1)
+            if names[substring(ref, 2, n)] is not null][1], ref)"""
+    return f"""
+        tables as (select {names} as names, {numbers} as numbers),
+        cut as (select *, string_split_regex({bare}, {_REFERENCE}) as parts,
+                regexp_extract_all({bare}, {_REFERENCE}) as refs from stripped),
+        ref as (select distinct unnest(refs) as ref from cut),
+        coded as (select ref, case when ref[2] = '#' then {code} end as code from ref),
+        meant as (
+            select ref, case when ref[2] = '#' then coalesce(numbers[code], {plain}) else {named} end as meaning
+            from coded, tables),
+        every as (select map(list(ref), list(meaning)) as meanings from meant),
+        decoded as (
+            select cut.*, array_to_string(
+                [parts[i] || coalesce(meanings[refs[i]], '') for i in range(1, len(parts) + 1)], '') as bare_text
+            from cut, every)"""
+
+
 def _derivatives() -> str:
     crlf = "chr(13) || chr(10)"
     line = f"|| {crlf} ||"
@@ -86,10 +127,7 @@ def _derivatives() -> str:
     text = rf"regexp_replace({text}, '[\r\n\t ]+', ' ', 'g')"
     text = rf"regexp_replace({text}, '(?i)</?({warc.BREAKS})\b[^>]*>', chr(10), 'g')"
     text = rf"regexp_replace({text}, '(?s)<[^>]*>', '', 'g')"
-    for entity, character in warc.ENTITIES:
-        character = character.replace("'", "''")
-        text = f"replace({text}, '{entity}', '{character}')"
-    text = rf"trim(regexp_replace({text}, ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    visible = r"trim(regexp_replace(replace(bare_text, chr(160), ' '), ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
     head = [
         ("WARC-Type", "kind"),
         ("WARC-Record-ID", "record_id"),
@@ -106,9 +144,11 @@ def _derivatives() -> str:
         with page as (
             select page_id, coalesce(url, '') as target_uri, coalesce(html, '') as payload,
                 '{warc.NO_DATE}' as date, coalesce(cast(page_id as varchar), '') as number from pages),
+        stripped as (select *, {text} as bare from page),
+        {_decoded("bare")},
         source as (
-            select *, 'sha256:' || sha256(payload) as payload_digest, {text} as txt,
-                {record_id("response", "number", "target_uri", "sha256(payload)")} as refers_to from page),
+            select *, 'sha256:' || sha256(payload) as payload_digest, {visible} as txt,
+                {record_id("response", "number", "target_uri", "sha256(payload)")} as refers_to from decoded),
         named as (
             select *, {record_id("conversion", "refers_to", "payload_digest")} as text_id,
                 {record_id("metadata", "refers_to", "payload_digest")} as about_id from source),
@@ -118,7 +158,7 @@ def _derivatives() -> str:
             union all
             select page_id, 'metadata', about_id, refers_to, target_uri, date, payload_digest,
                 'application/warc-fields',
-                'conversion: ' || text_id {line} 'source-content-type: text/html; charset=utf-8' {line}
+                'conversion: ' || text_id {line} 'source-status: HTTP/1.1 200 OK' {line} 'source-content-type: text/html; charset=utf-8' {line}
                 'source-content-length: ' || strlen(payload) {line}
                 'source-payload-digest: ' || payload_digest {line}
                 'text-digest: sha256:' || sha256(txt) {line} 'text-characters: ' || length(txt) || {crlf}

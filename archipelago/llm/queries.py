@@ -73,8 +73,9 @@ def op5_mcd_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Two records for each page, with all of HTML's character references decoded."""
     sources = warc.responses(table(spark, folder, "pages"))
-    return warc.derivatives(sources, "page_id")
+    return warc.derivatives(sources, "page_id", all_references=True)
 
 
 def op7_bucket_refinement(spark: SparkSession, folder: str) -> DataFrame:

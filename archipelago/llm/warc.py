@@ -94,6 +94,12 @@ def header(response_headers: Column, name: str) -> Column:
     return F.trim(F.regexp_extract(response_headers, rf"(?im)^{name}:([^\r\n]*)", 1))
 
 
+def status_line(response_headers: Column) -> Column:
+    """The first line of the source's header, without which the header is a list of fields alone; then it is empty."""
+    first = F.regexp_extract(response_headers, r"\A([^\r\n]*)", 1)
+    return F.when(first.rlike(r"^[A-Za-z]+/[0-9.]+ "), first).otherwise("")
+
+
 def other_headers(response_headers: Column) -> Column:
     """A line ``source-header`` for each header field but the first content type and length, in their order."""
     lines = F.filter(F.split(response_headers, "\r?\n"), lambda line: line.rlike(r"^[^:\s]+:"))
@@ -113,8 +119,8 @@ def derivatives(sources: DataFrame, *keep: str, all_references: bool = False) ->
     ``kind`` (``metadata`` or ``conversion``), ``record_id``, ``refers_to``, ``target_uri``, ``date``,
     ``payload_digest`` (of the response's payload), ``block_digest``, ``content_type``, ``block``, and
     ``record``, the whole record as it stands in a file. Null values of a response count as empty. Equal
-    responses give equal records. Other columns are not read. The metadata block has all header fields of the
-    source. ``all_references`` is that of :func:`plain_text`.
+    responses give equal records. Other columns are not read. The metadata block has the status line and all header fields
+    of the source. ``all_references`` is that of :func:`plain_text`.
     """
     given = {n: F.coalesce(n, F.lit("")) for n in ("record_id", "target_uri", "date", "http_headers", "payload")}
     # A field may go on in lines that begin with white space.
@@ -122,6 +128,7 @@ def derivatives(sources: DataFrame, *keep: str, all_references: bool = False) ->
     text_id = record_id(F.lit("conversion"), F.col("record_id"), F.col("payload_digest"))
     about = [
         ("conversion", F.col("_text_id")),
+        ("source-status", status_line(F.col("http_headers"))),
         ("source-content-type", header(F.col("http_headers"), "Content-Type")),
         ("source-content-length", header(F.col("http_headers"), "Content-Length")),
         ("source-payload-digest", F.col("payload_digest")),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from archipelago.llm import warc
+from archipelago.llm import oracles, warc
 from tests.llm.conftest import same
 
 SCHEMA = "page_id bigint, url string, html string"
@@ -92,3 +93,31 @@ def test_empty_table_and_long_pages(spark):
         warc.derivatives(long).filter("kind = 'conversion'").select(F.length("block")).collect(),
         [(5 * 100_000 - 1,)],
     )
+
+
+def test_sql_decodes_as_the_query(spark):
+    """The table of references in the SQL, against HTML's own decoding, on mixed-up references."""
+    import random
+    from html import unescape
+    from html.entities import html5
+
+    duckdb = pytest.importorskip("duckdb")
+    draw, names = random.Random(1), list(html5)
+    texts = ["", "&", "&&lt", "&amp;lt;", "&notit;", "&copyx &copy;", "&#0;&#13;&#128;&#x9f;&#1;&#xD800;&#x110000;", "&#65", "&#;&x;& a;"]
+    for _ in range(500):
+        kinds = ["&", "&#", ";", " ", "é", "&" + draw.choice(names), "&" + draw.choice(names)[:4], f"&#{draw.randrange(0x120000)};"]
+        texts.append("".join(draw.choices(kinds, k=draw.randint(1, 6))))
+    connection = duckdb.connect()
+    connection.execute("create table given(i int, bare varchar)")
+    connection.executemany("insert into given values (?, ?)", list(enumerate(texts)))
+    sql = f"with stripped as (select * from given), {oracles._decoded('bare')} select bare_text from decoded order by i"
+    assert [row[0] for row in connection.execute(sql).fetchall()] == [unescape(t) for t in texts]
+
+
+def test_status_line(spark):
+    headers = ["HTTP/1.1 404 Not Found\r\nServer: x\r\n", "Server: x\r\n", "", None, "HTTP/2 200\r\n", "HTTP/1.0 200 OK"]
+    rows = [(f"<urn:uuid:{i}>", "u", "d", h, "") for i, h in enumerate(headers)]
+    sources = spark.createDataFrame(rows, "record_id string, target_uri string, date string, http_headers string, payload string")
+    found = {r["refers_to"]: r["block"] for r in warc.derivatives(sources).filter("kind = 'metadata'").collect()}
+    said = [found[f"<urn:uuid:{i}>"].split("\r\n")[1] for i in range(len(headers))]
+    assert said == [f"source-status: {x}" for x in ("HTTP/1.1 404 Not Found", "", "", "", "HTTP/2 200", "HTTP/1.0 200 OK")]
