@@ -19,16 +19,19 @@ from archipelago.plans import (
     component_count_from_file,
     connected_components,
     iteration_log,
+    minimum_spanning_forest,
     multi_graph,
     multi_graph_counts,
     offences,
     removed_edges,
     run_ccf,
+    single_linkage,
     spanning_forest,
 )
 from archipelago.sources import (
     AssignmentStore,
     RoundTables,
+    SeparatedLines,
     edges_from_columns,
     edges_from_shared_value,
     kind_and_id,
@@ -36,12 +39,14 @@ from archipelago.sources import (
     read_assignments,
     read_edge_file,
     read_edge_lines,
+    separate_edge_lines,
     write_assignments,
 )
 
 __all__ = [
     "AssignmentStore",
     "RoundTables",
+    "SeparatedLines",
     "Update",
     "added_edges",
     "adjacency_lists",
@@ -54,6 +59,7 @@ __all__ = [
     "edges_from_columns",
     "edges_from_shared_value",
     "iteration_log",
+    "minimum_spanning_forest",
     "kind_and_id",
     "multi_graph",
     "multi_graph_counts",
@@ -68,6 +74,8 @@ __all__ = [
     "read_edge_lines",
     "removed_edges",
     "run_ccf",
+    "separate_edge_lines",
+    "single_linkage",
     "spanning_forest",
     "symmetrize",
     "wide_to_long",

@@ -20,6 +20,11 @@ def id_field(line: Column, position: int) -> Column:
     return F.get(F.split(line, FIELD_SEPARATOR), F.lit(position)).try_cast("bigint")
 
 
+def has_field(line: Column, position: int) -> Column:
+    """Whether a line has so many separators that there is a field at ``position``."""
+    return F.size(F.split(line, FIELD_SEPARATOR)) > position
+
+
 def smallest_in_neighbourhood(node: Column, neighbours: Column) -> Column:
     """The smallest id among a node and its array of neighbours."""
     return F.least(node, F.array_min(neighbours))

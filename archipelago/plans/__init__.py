@@ -8,6 +8,7 @@ from archipelago.plans.connected import (
 )
 from archipelago.plans.contraction import contract
 from archipelago.plans.forest import spanning_forest
+from archipelago.plans.linkage import minimum_spanning_forest, single_linkage
 from archipelago.plans.updates import Update, added_edges, removed_edges
 
 __all__ = [
@@ -18,10 +19,12 @@ __all__ = [
     "connected_components",
     "contract",
     "iteration_log",
+    "minimum_spanning_forest",
     "multi_graph",
     "multi_graph_counts",
     "offences",
     "removed_edges",
     "run_ccf",
+    "single_linkage",
     "spanning_forest",
 ]

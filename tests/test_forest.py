@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -104,3 +105,55 @@ def test_several_graphs(spark, graph_edges):
     damaged = assignments.withColumn("component", assignments["node"])
     wrong = {(r.graph, r.node) for r in ar.offences(damaged, graph_edges, forest, by=BY).filter(f"reason = '{certificate.NOT_REACHED}'").collect()}
     assert wrong == {(name, n) for name, edges in GRAPHS.items() for n, c in components(edges).items() if n != c}
+
+
+def kruskal(edges):
+    """The edges of the minimum spanning forest in the order (weight, src, dst)."""
+    leader = {}
+
+    def find(node):
+        while leader.setdefault(node, node) != node:
+            node = leader[node]
+        return node
+
+    chosen = set()
+    for weight, a, b in sorted((w, a, b) for a, b, w in edges if a != b and w is not None and a is not None and b is not None):
+        one, two = find(a), find(b)
+        if one != two:
+            leader[one] = two
+            chosen.add((a, b, weight))
+    return chosen
+
+
+def weighted(seed):
+    draw = random.Random(seed)
+    graphs = {name: [(a, b, draw.randint(0, 4)) for a, b in edges] for name, edges in GRAPHS.items()}
+    graphs["parallel"] = [(1, 2, 3), (2, 1, 1), (1, 2, 1), (1, 2, 2), (2, 3, 0), (3, 2, 0), (3, 3, -1), (4, 5, None), (None, 1, 0)]
+    graphs["same"] = [(a, b, 1) for a in range(9) for b in range(a)]
+    return graphs
+
+
+@pytest.mark.parametrize("hot_rows", [None, 2])
+def test_minimum_spanning_forest(spark, hot_rows):
+    graphs = weighted(11)
+    rows = [(name, *edge) for name, edges in graphs.items() for edge in edges]
+    edges = spark.createDataFrame(rows, "graph string, src bigint, dst bigint, weight int")
+    found: dict[str, set] = {name: set() for name in graphs}
+    for row in ar.minimum_spanning_forest(edges, by=BY, hot_rows=hot_rows).collect():
+        found[row.graph].add((row.src, row.dst, row.weight))
+    assert found == {name: kruskal(given) for name, given in graphs.items()}
+
+
+def test_single_linkage(spark):
+    graphs = weighted(12)
+    rows = [(name, *edge) for name, edges in graphs.items() for edge in edges]
+    edges = spark.createDataFrame(rows, "graph string, src bigint, dst bigint, weight int")
+    found = {(r.graph, r.cutoff, r.node): r.component for r in ar.single_linkage(edges, [3, 0, 1, 1], by=BY).collect()}
+    expected = {}
+    for name, given in graphs.items():
+        for cutoff in (0, 1, 3):
+            part = [(a, b) for a, b, w in given if w is not None and a is not None and w <= cutoff]
+            expected |= {(name, cutoff, n): c for n, c in components(part).items()}
+    assert found == expected
+    with pytest.raises(ValueError, match="cut-offs"):
+        ar.single_linkage(edges, [], by=BY)

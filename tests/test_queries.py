@@ -38,9 +38,8 @@ def test_query(spark, database, name):
     names = [column[0] for column in expected.description]
     assert sorted(names) == columns
     order = [names.index(column) for column in columns]
-    assert sorted(tuple(r) for r in result.select(*columns).collect()) == sorted(
-        tuple(row[i] for i in order) for row in expected.fetchall()
-    )
+    found = [tuple(r) for r in result.select(*columns).collect()]
+    assert sorted(found, key=repr) == sorted((tuple(row[i] for i in order) for row in expected.fetchall()), key=repr)
 
 
 def test_entry(spark):

@@ -188,3 +188,28 @@ def test_reports(spark):
     assert rows(long) == [("x", "first", 1), ("x", "second", 2), ("y", "first", 3), ("y", "second", 4)]
     assert [tuple(r) for r in ar.ordered_preview(wide, 1, "second").collect()] == [("x", 1, 2)]
     assert ar.ordered_preview(wide, 5).count() == 2
+
+
+def test_separated_lines(spark, tmp_path):
+    """Edges, quarantine and skipped lines are all lines, in one table."""
+    lines = ["1\t2", "# 3\t4", "", "  ", "5", "x\t6", "7\ty", "8\t9\tmore", "\t", "10 11", "99999999999999999999\t1", "-1\t0\r"]
+    (tmp_path / "edges.txt").write_text("\n".join(lines) + "\n")
+    found = ar.separate_edge_lines(ar.read_edge_lines(spark, str(tmp_path / "edges.txt")))
+    assert sorted(map(tuple, found.edges.collect())) == [(-1, 0), (1, 2), (8, 9)]
+    rejected = {r.line: r.reason for r in found.rejected.collect()}
+    assert rejected == {
+        "5": "no second field", "10 11": "no second field", "x\t6": "first field is not an id",
+        "99999999999999999999\t1": "first field is not an id", "7\ty": "second field is not an id", "\t": "first field is not an id",
+    }
+    assert all(r.file.endswith("edges.txt") for r in found.rejected.collect())
+    assert (found.edge_count, found.rejected_count, found.skipped_count) == (3, 6, 3)
+    plan = found.edges._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "line" not in plan.split("ReadSchema")[1]
+
+
+def test_separated_lines_of_nothing(spark):
+    found = ar.separate_edge_lines(spark.createDataFrame([], "value string"))
+    assert found.edges.collect() == [] and found.rejected.collect() == []
+    assert (found.edge_count, found.rejected_count, found.skipped_count) == (0, 0, 0)
+    found = ar.separate_edge_lines(spark.createDataFrame([(None,), ("1\t2",)], "value string"))
+    assert (found.edge_count, found.rejected_count, found.skipped_count) == (1, 0, 1)

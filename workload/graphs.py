@@ -56,6 +56,13 @@ def order_part_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     return tuple(edges_from_columns(lines.filter(part), "l_orderkey", "l_partkey", two_kinds=True) for part in (first, later))
 
 
+def weighted_order_part(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and parts, nearer the more of a part was ordered (``weight`` from 0 for 50 pieces to 49)."""
+    lines = table(spark, folder, "lineitem").withColumn("weight", (50 - F.col("l_quantity")).cast("int"))
+    edges = lines.select("weight", (2 * F.col("l_orderkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst"))
+    return edges.select("src", "dst", "weight")
+
+
 def customer_order_pending(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Customers and their orders again, as those decided and those pending."""
     orders = table(spark, folder, "orders")
@@ -84,6 +91,9 @@ def _star_sql(holders: str) -> str:
         ) linked where src <> dst"""
 
 
+WEIGHTED_SQL = """
+    select 2 * l_orderkey as src, 2 * l_partkey + 1 as dst, cast(50 - l_quantity as integer) as weight from lineitem"""
+
 EDGE_SQL: dict[str, str] = {
     "order_part": "select 2 * l_orderkey as src, 2 * l_partkey + 1 as dst from lineitem",
     "bulk_order_part": """

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from workload.graphs import EDGE_SQL
+from workload.graphs import EDGE_SQL, WEIGHTED_SQL
 
 MULTI = ("order_part", "customer_order", "doc_lines")
 PREVIEW_ROWS = 20
+# Weights up to which edges count.
+CUTOFFS = (0, 4, 20, 49)
 # Edge sets that others start from or end with.
 EARLIER = ("order_part_first_lines", "customer_order_decided")
 
@@ -52,6 +54,23 @@ def _graph_components() -> str:
         )"""
 
 
+def _cutoff_components() -> str:
+    """``cc(cutoff, node, component)`` of the weighted edges up to each cut-off."""
+    levels = ", ".join(f"({cutoff})" for cutoff in CUTOFFS)
+    return f"""with recursive e as (
+            select cutoff, src, dst from ({WEIGHTED_SQL}) given join (values {levels}) level(cutoff) on weight <= cutoff),
+        sym as (select cutoff, src, dst from e union select cutoff, dst, src from e),
+        cc(cutoff, node, component) using key (cutoff, node) as (
+            select distinct cutoff, src, src from sym
+            union
+            select old.cutoff, old.node, min(new.component)
+            from recurring.cc old
+            join sym on sym.cutoff = old.cutoff and sym.src = old.node
+            join cc new on new.cutoff = sym.cutoff and new.node = sym.dst
+            where new.component < old.component group by old.cutoff, old.node
+        )"""
+
+
 def _cc(name: str) -> str:
     return f"{_components(EDGE_SQL[name])} select node, component from cc"
 
@@ -175,6 +194,13 @@ def oracle_sql() -> dict[str, str]:
             select component, count(*) - 1 as forest_edges, count(*) - 1 as graph_edges from cc group by component""",
         "cc_by_forest": _cc("order_part"),
         "certificate_accepts": f"{_components(edges)} select count(*) as nodes, cast(0 as bigint) as offences from cc",
+        "single_linkage_orders": f"{_cutoff_components()} select cutoff, node, component from cc",
+        "spanning_forest_weights": f"""{_cutoff_components()}
+            select cutoff, count(*) - count(distinct component) as edges from cc group by cutoff""",
+        "edge_lines_separated": """
+            select case l_linenumber when 5 then 'no second field' when 6 then 'first field is not an id' else 'edge' end as kind,
+                count(*) as lines, (select count(*) from lineitem where l_linenumber in (3, 4)) as skipped
+            from lineitem where l_linenumber not in (3, 4) group by kind""",
         "certificate_stale": _stale(EDGE_SQL["customer_order_decided"], EDGE_SQL["customer_order"]),
     }
     sql |= {f"cc_{name}": _cc(name) for name in EDGE_SQL if name not in EARLIER}

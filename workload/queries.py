@@ -11,7 +11,7 @@ import archipelago as ar
 from archipelago.sources.round_tables import RoundTables
 from workload import graphs
 from workload.graphs import EdgeSet, table
-from workload.oracles import MULTI, PREVIEW_ROWS
+from workload.oracles import CUTOFFS, MULTI, PREVIEW_ROWS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +44,7 @@ def edge_file_parse(spark: SparkSession, folder: str) -> DataFrame:
     return ar.read_edge_file(spark, path, on_bad="fail")
 
 
-def edge_lines_malformed(spark: SparkSession, folder: str) -> DataFrame:
+def malformed_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every line item as a line, in one of seven shapes of which three are edges."""
     src = (2 * F.col("l_orderkey")).cast("string")
     dst = (2 * F.col("l_partkey") + 1).cast("string")
@@ -60,7 +60,19 @@ def edge_lines_malformed(spark: SparkSession, folder: str) -> DataFrame:
     value = F.lit(None).cast("string")
     for shape, line in shapes.items():
         value = F.when(F.col("l_linenumber") == shape, line).otherwise(value)
-    return ar.parse_edge_lines(table(spark, folder, "lineitem").select(value.alias("value")))
+    return table(spark, folder, "lineitem").select(value.alias("value"))
+
+
+def edge_lines_malformed(spark: SparkSession, folder: str) -> DataFrame:
+    return ar.parse_edge_lines(malformed_lines(spark, folder))
+
+
+def edge_lines_separated(spark: SparkSession, folder: str) -> DataFrame:
+    """Bad lines by reason, and what became of all lines."""
+    found = ar.separate_edge_lines(malformed_lines(spark, folder))
+    reasons = found.rejected.groupBy(F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("lines"))
+    edges = found.edges.select(F.lit("edge").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("lines"))
+    return reasons.unionByName(edges).withColumn("skipped", F.lit(found.skipped_count).cast("bigint"))
 
 
 def symmetrize(spark: SparkSession, folder: str) -> DataFrame:
@@ -282,6 +294,19 @@ def certificate_stale(spark: SparkSession, folder: str) -> DataFrame:
     return ar.offences(ar.connected_components(before), edges, ar.spanning_forest(edges))
 
 
+def single_linkage_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and parts that stay together when lines of fewer pieces are cut."""
+    return ar.single_linkage(graphs.weighted_order_part(spark, folder), CUTOFFS)
+
+
+def spanning_forest_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """How many edges of each weight a minimum spanning forest needs."""
+    forest = ar.minimum_spanning_forest(graphs.weighted_order_part(spark, folder))
+    within = F.array(*[F.lit(cutoff) for cutoff in CUTOFFS])
+    each = forest.select(F.explode(F.filter(within, lambda cutoff: F.col("weight") <= cutoff)).alias("cutoff"))
+    return each.groupBy("cutoff").agg(F.count(F.lit(1)).alias("edges"))
+
+
 def queries() -> dict[str, Query]:
     named: dict[str, Query] = {
         query.__name__: query
@@ -322,6 +347,9 @@ def queries() -> dict[str, Query]:
             cc_by_forest,
             certificate_accepts,
             certificate_stale,
+            single_linkage_orders,
+            spanning_forest_weights,
+            edge_lines_separated,
         )
     }
     named |= {f"cc_{name}": cc_query(edge_set) for name, edge_set in EDGE_SETS.items()}
