@@ -15,13 +15,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archipelago.llm.arrays import find, letters_and_digits, lower_case, release, span_hashes, text_pieces, words
+from archipelago.llm.arrays import (
+    find,
+    letters_and_digits,
+    lower_case,
+    pack,
+    release,
+    span_hashes,
+    text_pieces,
+    unpack,
+    words,
+)
 from archipelago.llm.fm_index import FMIndex
+from archipelago.llm.tables import text_bytes, written
 
 WINDOW = 10
 # Bytes of text of a shard, and of benchmark items that are searched for at a time.
 SHARD = 1 << 20
 ITEMS = 1 << 23
+# Blocks of items that one pass over the documents searches for.
+PASS = 4
 
 _SPANS = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"
 _COLUMNS = f"n_words bigint, spans {_SPANS}, items array<bigint>"
@@ -67,6 +80,17 @@ class Phrases:
             items.append((np.concatenate(([0], np.cumsum(sizes))), flat))
         return Phrases(vocabulary, windows, items)
 
+    def packed(self) -> bytes:
+        widths = np.array([w.shape[1] for w in self.windows], np.int64)
+        each = [x for w, (begins, ids) in zip(self.windows, self.items, strict=True) for x in (w.ravel(), begins, ids)]
+        return pack(self.vocabulary, widths, *each)
+
+    @classmethod
+    def unpacked(cls, value: bytes) -> Phrases:
+        vocabulary, widths, *each = unpack(value)
+        windows = [flat.reshape(-1, width) for flat, width in zip(each[::3], widths.tolist(), strict=True)]
+        return cls(vocabulary, windows, list(zip(each[1::3], each[2::3], strict=True)))
+
     def occurrences(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
         """For each window length: the group's number, phrases found, the words they begin at, the length."""
         if not self.windows or not len(hashes):
@@ -170,22 +194,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame
     words, ``spans`` are the merged runs of words inside any occurrence of a window (first word, word
     after the last, and the UTF-8 bytes they take up), ``items`` the ids of the items with occurring windows. Null
     texts have no words; items without id hit, but are not listed; rows with equal ``item_id`` are one item.
-    Every row of ``docs`` gives a row; empty tables are fine. The benchmark's items are read in blocks of
-    bounded size, and each block is one more step over the documents.
+    Every row of ``docs`` gives a row; empty tables are fine. The benchmark's windows are made by tasks, in blocks of items of
+    about ``ITEMS`` bytes; the driver holds one block at a time for each of the ``PASS`` that a pass over the documents looks for.
     """
     empty = {"n_words": F.lit(0).cast("bigint"), "spans": F.array().cast(_SPANS), "items": F.array().cast("array<bigint>")}
     marked = docs.select(*keep, "text", *[value.alias(name) for name, value in empty.items()])
-    ids: list[int | None] = []
-    texts: list[str | None] = []
-    size, blocks = 0, 0
-    for row in benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").toLocalIterator():
-        if size > ITEMS:
-            marked = _marked(marked, Phrases.of(ids, texts))
-            ids, texts, size, blocks = [], [], 0, blocks + 1
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        size += len((row["text"] or "").encode())
-    return _marked(marked, Phrases.of(ids, texts))
+    numbers, blocks = phrase_blocks(benchmark)
+    for done, number in enumerate(numbers):
+        if done and done % PASS == 0:
+            marked = written(marked, "marked")
+        payload = blocks.filter(F.col("block") == number).select("payload").first()["payload"]
+        marked = _marked(marked, Phrases.unpacked(bytes(payload)))
+    return marked if numbers else _marked(marked, Phrases.of([], []))
+
+
+def phrase_blocks(benchmark: DataFrame) -> tuple[list[int], DataFrame]:
+    """The numbers of the blocks that the benchmark's items are dealt to, and ``block, payload``: the windows of each."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    count = max(1, -(-text_bytes(items) // ITEMS))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int").alias("block")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        phrases = Phrases.of(group["item_id"].to_pylist(), group["text"].to_pylist())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "payload": pa.array([phrases.packed()], pa.binary())})
+
+    made = items.select(block, "item_id", "text").groupBy("block").applyInArrow(run, "block int, payload binary")
+    blocks = written(made, "phrases")
+    # One number for each ITEMS bytes of the benchmark.
+    return sorted(row["block"] for row in blocks.select("block").collect()), blocks
 
 
 def hit_words(spans: str = "spans") -> Column:
