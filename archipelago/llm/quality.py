@@ -28,7 +28,8 @@ from archipelago.llm.arrays import (
     text_pieces,
     words,
 )
-from archipelago.llm.tables import row_key, small_side, spread_join, written
+from archipelago.llm.tables import BROADCAST_BYTES, row_key, run_tables, small_side, spread_join, written
+from archipelago.sources.round_tables import RoundTable
 
 # Fixed values of the base rules.
 FEWEST_WORDS = 20
@@ -47,9 +48,9 @@ LEAST_VARIANCE = 0.1
 # The share of a group that is sought; the concentration steps of all starts, and of the best of them at most.
 PART = 0.75
 FIRST_STEPS = 2
-STEPS = 20
+STEPS = 10
 # The steps end when no group's determinant gets smaller by more than this part.
-ENOUGH = 1e-3
+ENOUGH = 1e-2
 # Groups of fewer documents that pass the base rules are judged together with the other small ones of their language.
 FEWEST = 100
 # A document is rejected beyond this squared distance. The statistics have longer tails than Gaussian ones (of which one in
@@ -258,7 +259,15 @@ def _sums(weight: Column | None = None) -> dict[str, Column]:
     return sums | {f"p_{i}_{j}": F.sum(times * z[i] * z[j]) for i in size for j in size if i <= j}
 
 
-def _starts(fit: DataFrame) -> DataFrame:
+def _with_estimates(rows: DataFrame, estimates: RoundTable, how: str = "inner") -> DataFrame:
+    """Rows with the estimates of their group: as long as these are few, no row is moved for it."""
+    size = len(VECTOR)
+    if estimates.rows * 8 * (size * size + size + 8) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(estimates.df), ["grp"], how)
+    return spread_join(rows, estimates.df, ["grp"], "a", how)
+
+
+def _starts(fit: DataFrame) -> RoundTable:
     """First estimates (``_ESTIMATE``) of each group with enough documents, all around the medians, which are zero.
 
     One has the units as they are, one the products of all documents, and one the products of their directions, each
@@ -282,18 +291,18 @@ def _starts(fit: DataFrame) -> DataFrame:
         identity.alias("inverse"),
         F.lit(0.0).alias("logdet"),
     )
-    return written(plain.unionByName(_estimate(frames[0].unionByName(frames[1]), 1.0)), "starts")
+    starts = plain.unionByName(_estimate(frames[0].unionByName(frames[1]), 1.0))
+    return run_tables(fit.sparkSession).write(starts, "starts")
 
 
-def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _concentrate(rows: DataFrame, estimates: RoundTable) -> RoundTable:
     """One concentration step: new estimates from the closest part of each group."""
     size = len(VECTOR)
     correction = PART / chi_square(chi_square_quantile(PART, size), size + 2)
     bin_ = F.floor(BINS * F.log2(1 + F.greatest(_distance(), F.lit(0.0))))
     sums = _sums()
     binned = (
-        rows.filter("fit")
-        .transform(lambda fit: spread_join(fit, estimates, ["grp"], "a"))
+        _with_estimates(rows.filter("fit"), estimates)
         .withColumn("bin", bin_)
         .groupBy("grp", "start", "bin")
         .agg(F.count(F.lit(1)).alias("n"), *[column.alias(name) for name, column in sums.items()])
@@ -306,10 +315,10 @@ def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         .groupBy("grp", "start")
         .agg(*[F.sum(name).alias(name) for name in ("n", *sums)])
     )
-    return written(_estimate(closest, correction), "estimates")
+    return run_tables(rows.sparkSession).write(_estimate(closest, correction), "estimates")
 
 
-def minimum_determinant(rows: DataFrame) -> DataFrame:
+def minimum_determinant(rows: DataFrame) -> RoundTable:
     """``grp, start, centre, inverse, logdet``: the estimate of each group that has ``FEWEST`` documents or more.
 
     ``rows`` has ``grp, fit, a`` and the statistics ``z_*``; a null ``fit`` or a false one takes no part.
@@ -318,10 +327,11 @@ def minimum_determinant(rows: DataFrame) -> DataFrame:
     for _ in range(FIRST_STEPS):
         estimates = _concentrate(rows, estimates)
     best = F.min_by(F.struct("start", "centre", "inverse", "logdet"), F.struct("logdet", "start"))
-    estimates = estimates.groupBy("grp").agg(best.alias("best")).select("grp", "best.*")
+    chosen = estimates.df.groupBy("grp").agg(best.alias("best")).select("grp", "best.*")
+    estimates = run_tables(rows.sparkSession).write(chosen, "best-start")
     for _ in range(STEPS):
         before, estimates = estimates, _concentrate(rows, estimates)
-        smaller = before.select("grp", F.col("logdet").alias("was")).join(estimates, "grp")
+        smaller = before.df.select("grp", F.col("logdet").alias("was")).join(estimates.df, "grp")
         if not smaller.agg(F.max(F.col("was") - F.col("logdet") > ENOUGH)).first()[0]:
             break
     return estimates
@@ -346,7 +356,7 @@ def judged(docs: DataFrame) -> DataFrame:
     fit = fit.select("a", "b", "lang", "source", "fit", *[f"x_{n}" for n in VECTOR]).dropDuplicates(["a", "b"])
     z = written(_standardised(_group(fit)), "standardised")
     estimates = minimum_determinant(z)
-    distances = spread_join(z, estimates, ["grp"], "a", "left").select("a", "b", _distance().alias("distance"))
+    distances = _with_estimates(z, estimates, "left").select("a", "b", _distance().alias("distance"))
     near = F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return rows.join(distances, ["a", "b"]).select(
         "doc_id", "a", "b", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & near).alias("kept")

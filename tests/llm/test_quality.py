@@ -119,7 +119,7 @@ def test_estimate_against_brute_force(spark, correlated):
     rows = quality.text_statistics(keyed, "doc_id", "a", "b")
     z = quality._standardised(rows.withColumns({"grp": F.lit("g"), "fit": ~quality.base_failed()}))
     z = quality.written(z, "z")
-    estimate = quality.minimum_determinant(z).collect()
+    estimate = quality.minimum_determinant(z).df.collect()
     assert len(estimate) == 1
     estimate = estimate[0]
     plain = np.array([r[1:] for r in sorted(z.select("a", *[f"z_{n}" for n in quality.VECTOR]).collect())], float) / quality.STEP
