@@ -18,7 +18,7 @@ sums back to the pieces that hold the pair. A piece sends every pair once, howev
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archipelago.llm.arrays import pack, pieces, release, unpack, utf8
+from archipelago.llm.pretokens import PieceEncoder
 from archipelago.llm.tables import written
 
-# Bytes of text aligned at a time, unless a single text is longer.
+# Bytes of text aligned at a time, unless a single text is longer, and those whose distinct words are encoded together.
 PIECE = 1 << 20
+BATCH = 1 << 23
 # A pair of ids is one number: the first side's id, and in the lower bits the second side's.
 _LOW_BITS = 32
 
@@ -51,14 +53,18 @@ def _byte_letters() -> dict[str, int]:
 class Tokenizers:
     """Both tokenizers, and the bytes of all their tokens."""
 
-    first: object
+    first: PieceEncoder
     second: object
     first_bytes: pa.Array
     second_bytes: pa.Array
+    numbers: pa.Array
 
     @classmethod
     def load(cls, first_json: str, second_model: bytes) -> Tokenizers:
-        """A byte-level BPE of the tokenizers library, and a sentencepiece model whose pieces have blanks in front only."""
+        """A byte-level BPE of the tokenizers library (see :class:`PieceEncoder`), and a sentencepiece model.
+
+        Pieces of the model may have blanks in front only.
+        """
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,7 +72,6 @@ class Tokenizers:
         from tokenizers import Tokenizer
 
         first = Tokenizer.from_str(first_json)
-        first.encode_special_tokens = True
         letters = _byte_letters()
         names = {number: name for name, number in first.get_vocab(with_added_tokens=True).items()}
         entries = [names.get(i, "") for i in range(max(names) + 1)]
@@ -78,23 +83,20 @@ class Tokenizers:
             if "▁" in name.lstrip("▁"):
                 raise ValueError(f"piece {name!r} goes on after a blank")
             held.append(bytes([int(name[3:5], 16)]) if second.is_byte(i) else name.replace("▁", " ").encode())
-        return cls(first, second, pa.array(plain, pa.large_binary()), pa.array(held, pa.large_binary()))
+        # Ids in decimal with what follows them: , or | on the first side, , or ; on the second.
+        numbers = [f"{i}{mark}" for table, marks in ((plain, ",|"), (held, ",;")) for mark in marks for i in range(len(table))]
+        tables = [pa.array(table, pa.large_binary()) for table in (plain, held)]
+        return cls(PieceEncoder(first_json, 0), second, *tables, pa.array(numbers, pa.large_string()))
 
-    def encode(self, words: Sequence[str]) -> tuple[pa.ListArray, pa.ListArray]:
+    def encode(self, words: pa.Array) -> tuple[pa.LargeListArray, pa.LargeListArray]:
         """The ids of words that begin with a blank; the second tokenizer puts that blank there by itself."""
-        first = [one.ids for one in self.first.encode_batch_fast(words, add_special_tokens=False)]
-        return _lists(first), _lists(self.second.encode([word[1:] for word in words], num_threads=1))
-
-    @property
-    def numbers(self) -> pa.Array:
-        """Ids in decimal with what follows them: ``,`` or ``|`` on the first side, ``,`` or ``;`` on the second."""
-        made = [
-            f"{i}{mark}"
-            for table, marks in ((self.first_bytes, ",|"), (self.second_bytes, ",;"))
-            for mark in marks
-            for i in range(len(table))
-        ]
-        return pa.array(made, pa.large_string())
+        ids, sizes = self.first.encode(words)
+        limits = np.concatenate(([0], np.cumsum(sizes)))
+        # Without the end that the encoder puts after each word.
+        inside = np.ones(len(ids), bool)
+        inside[limits[1:] - 1] = False
+        first = pa.LargeListArray.from_arrays(pa.array(limits - np.arange(len(limits))), pa.array(ids[inside].astype(np.int32)))
+        return first, _lists(self.second.encode([word[1:] for word in words.to_pylist()], num_threads=1))
 
 
 def _lists(ids: list[list[int]]) -> pa.ListArray:
@@ -182,25 +184,49 @@ def _ends(words: pa.Table, ids: pa.LargeListArray, table: pa.Array, before: pa.A
     return pa.table({"doc": doc, "end": pc.subtract(through, before.take(doc)), name: tokens})
 
 
-def align_texts(texts: pa.Array, tokenizers: Tokenizers) -> Piece:
-    """The links of a column of texts (with a blank in front, or empty, which have no tokens)."""
+@dataclass
+class Encoded:
+    """Texts as words, and both sides' ids of each distinct word.
+
+    ``limits`` are the words of each text, ``words`` their places among the distinct ones. Texts that are ``lost`` have an odd
+    word and are spelled otherwise by their tokens.
+    """
+
+    texts: pa.Array
+    limits: np.ndarray
+    words: pa.Array
+    ids: tuple[pa.LargeListArray, pa.LargeListArray]
+    lost: np.ndarray
+
+
+def encode_texts(texts: pa.Array, tokenizers: Tokenizers) -> Encoded:
+    """Texts (with a blank in front, or empty, which have no tokens) by both tokenizers."""
     lists = word_lists(texts)
-    coded = lists.flatten().dictionary_encode()
-    distinct = coded.dictionary
-    ids = tokenizers.encode(distinct.to_pylist())
+    coded = lists.values.dictionary_encode()
+    ids = tokenizers.encode(coded.dictionary)
     tables = tokenizers.first_bytes, tokenizers.second_bytes
-    odd = _misspelled(distinct, ids[0], tables[0]) | _misspelled(distinct, ids[1], tables[1])
-    words = pa.table({"doc": pc.list_parent_indices(lists), "word": coded.indices})
-    lost = np.zeros(len(texts), bool)
+    odd = _misspelled(coded.dictionary, ids[0], tables[0]) | _misspelled(coded.dictionary, ids[1], tables[1])
+    limits, lost = lists.offsets.to_numpy(), np.zeros(len(texts), bool)
     if odd.any():
         # A text with an odd word: are its joined tokens another text?
-        per_row = pa.LargeListArray.from_arrays(lists.offsets, coded.indices)
-        for row in np.unique(words["doc"].to_numpy()[odd[words["word"].to_numpy()]]).tolist():
-            own, text = per_row[row].values, texts[row].as_py().encode()
+        at = np.flatnonzero(odd[coded.indices.to_numpy()])
+        for row in np.unique(np.searchsorted(limits, at, "right") - 1).tolist():
+            own, text = coded.indices[limits[row] : limits[row + 1]], texts[row].as_py().encode()
             lost[row] = any(_spelled(side.take(own), t)[0].tobytes() != text for side, t in zip(ids, tables, strict=True))
+    return Encoded(texts, limits, coded.indices, ids, lost)
+
+
+def align(encoded: Encoded, tokenizers: Tokenizers, first: int = 0, end: int | None = None) -> Piece:
+    """The links of the texts from ``first`` to before ``end``."""
+    texts, lost = encoded.texts[first:end], encoded.lost[first:end]
+    limits = encoded.limits[first : first + len(texts) + 1]
+    lists = pa.LargeListArray.from_arrays(pa.array(limits - limits[0]), encoded.words[limits[0] : limits[-1]])
+    words = pa.table({"doc": pc.list_parent_indices(lists), "word": pc.list_flatten(lists)})
+    if lost.any():
         words = words.filter(pa.array(~lost[words["doc"].to_numpy()]))
     bytes_of = np.where(lost, 0, pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     before = pa.array(np.cumsum(bytes_of) - bytes_of)
+    ids, tables = encoded.ids, (tokenizers.first_bytes, tokenizers.second_bytes)
 
     first = _ends(words, ids[0], tables[0], before, "first")
     second = _ends(words, ids[1], tables[1], before, "second")
@@ -256,26 +282,28 @@ def _aligned_pieces(docs: DataFrame, first_json: str, second_model: bytes) -> Da
         for batch in batches:
             texts = pc.cast(batch.column(1), pa.large_string())
             _, limits = utf8(texts)
-            for first, end in pieces(limits, PIECE):
-                own = texts.slice(first, end - first)
+            for low, high in pieces(limits, BATCH):
+                own = texts.slice(low, high - low)
                 spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), own, pa.scalar("", pa.large_string()))
                 has = pc.fill_null(pc.greater(pc.binary_length(own), 0), False)
-                piece = align_texts(pc.if_else(has, spaced, pa.scalar("", pa.large_string())), tokenizers)
-                planes = np.ascontiguousarray(piece.links.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
-                values = [
-                    [number],
-                    [batch.column(0).slice(first, end - first).to_pylist()],
-                    [piece.sizes],
-                    [pack(planes, piece.ends, level=3)],
-                    [piece.pairs],
-                    [piece.counts],
-                ]
-                lists = pa.list_(pa.int64())
-                kinds = [pa.int64(), lists, lists, pa.binary(), lists, lists]
-                names = ["piece", "doc_ids", "sizes", "links", "pairs", "counts"]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
-                number += 1
-                release()
+                encoded = encode_texts(pc.if_else(has, spaced, pa.scalar("", pa.large_string())), tokenizers)
+                for first, end in pieces(limits[low : high + 1], PIECE):
+                    piece = align(encoded, tokenizers, first, end)
+                    planes = np.ascontiguousarray(piece.links.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+                    values = [
+                        [number],
+                        [batch.column(0).slice(low + first, end - first).to_pylist()],
+                        [piece.sizes],
+                        [pack(planes, piece.ends, level=3)],
+                        [piece.pairs],
+                        [piece.counts],
+                    ]
+                    lists = pa.list_(pa.int64())
+                    kinds = [pa.int64(), lists, lists, pa.binary(), lists, lists]
+                    names = ["piece", "doc_ids", "sizes", "links", "pairs", "counts"]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
+                    number += 1
+                    release()
 
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return written(given.mapInArrow(run, _PIECES), "aligned-pieces")

@@ -102,16 +102,21 @@ def test_random_texts(tokenizers, files):
     draw = random.Random(3)
     letters = "ab eé日の \n\t'’.,0129Zß 　 ́🙂​  "
     texts = ["".join(draw.choices(letters, k=draw.randint(1, 60))) for _ in range(1500)]
-    piece = alignment.align_texts(pa.array([" " + t for t in texts], pa.large_string()), tokenizers)
+    encoded = alignment.encode_texts(pa.array([" " + t for t in texts], pa.large_string()), tokenizers)
+    piece = alignment.align(encoded, tokenizers)
     expected = Brute(files).rows(texts)
     assert piece.sizes.tolist() == [row[3] for row in expected]
     assert alignment.group_texts(piece, tokenizers).to_pylist() == [row[6] for row in expected]
     assert piece.counts.sum() == len(piece.links)
+    part = alignment.align(encoded, tokenizers, 700, 720)
+    assert part.sizes.tolist() == [row[3] for row in expected[700:720]]
+    assert alignment.group_texts(part, tokenizers).to_pylist() == [row[6] for row in expected[700:720]]
 
 
 def test_whole_corpus(spark, docs, rows, files, monkeypatch):
     """Copies, nulls, repeated rows and long texts; extra columns with clashing names; several pieces per task."""
     monkeypatch.setattr(alignment, "PIECE", 2000)
+    monkeypatch.setattr(alignment, "BATCH", 5000)
     found = alignment.aligned(docs, *files)
     expected = Brute(files).rows([r[1] for r in rows])
     same(found.collect(), [(r[0], *e) for r, e in zip(rows, expected, strict=True)])
