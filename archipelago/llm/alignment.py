@@ -34,7 +34,7 @@ from archipelago.llm.tables import written
 
 # Bytes of text aligned at a time, unless a single text is longer, and those whose distinct words are encoded together.
 PIECE = 1 << 20
-BATCH = 1 << 23
+BATCH = 1 << 21
 # A pair of ids is one number: the first side's id, and in the lower bits the second side's.
 _LOW_BITS = 32
 
@@ -287,6 +287,7 @@ def _aligned_pieces(docs: DataFrame, first_json: str, second_model: bytes) -> Da
                 spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), own, pa.scalar("", pa.large_string()))
                 has = pc.fill_null(pc.greater(pc.binary_length(own), 0), False)
                 encoded = encode_texts(pc.if_else(has, spaced, pa.scalar("", pa.large_string())), tokenizers)
+                release()
                 for first, end in pieces(limits[low : high + 1], PIECE):
                     piece = align(encoded, tokenizers, first, end)
                     planes = np.ascontiguousarray(piece.links.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
