@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.functions import smallest_in_neighbourhood
-from archipelago.operators.lookup import lookup
-from archipelago.operators.neighbours import LIST_LENGTH, split_lists
+from archipelago.operators.lookup import hot_limit, lookup
+from archipelago.operators.neighbours import LIST_LENGTH, split_by
 from archipelago.operators.pairs import as_edges, symmetrize
-from archipelago.sources.round_tables import RoundTables
+from archipelago.sources.round_tables import RoundTable, RoundTables
 
 FORMS = ("join", "array")
 
@@ -33,34 +33,52 @@ def emitted_pairs(
 ) -> DataFrame:
     """``node, component, fresh``: all pairs of one step; ``fresh`` is 1 on new pairs, else 0.
 
-    ``pairs`` must be distinct; they are read more than once. ``form="join"`` joins the minima back to
-    the edges. ``form="array"`` gathers neighbour lists of bounded length and unfolds them again; which
-    nodes need several lists is written to ``tables`` first. Both emit the same rows. ``total``
-    is the number of pairs, where it is known.
+    ``pairs`` must be distinct; they are read more than once. ``form="join"`` joins the minima back to the edges.
+    ``form="array"`` gathers neighbour lists of bounded length and unfolds them again. Both emit the same rows.
+    ``total`` is the number of ``pairs``, where it is known. What each node has, its smallest neighbour and how many, is
+    written to ``tables`` first for the lists, and for the join where ``total`` says that nodes can be hot.
     """
     if form not in FORMS:
         raise ValueError(f"form must be one of {FORMS}, not {form!r}")
     symmetric = symmetrize(as_edges(pairs, by), by)
     both = None if total is None else 2 * total
-    # A pair's component is always the smaller end, so the smallest neighbour of a node is the
-    # smallest component among its pairs, and nodes that are their own minimum have no row here.
-    minima = pairs.groupBy(*by, "node").agg(F.min("component").alias("component"))
+    limit = hot_limit(pairs.sparkSession, hot_rows)
+    if form == "join" and (both is None or both <= limit):
+        minima = pairs.groupBy(*by, "node").agg(F.min("component").alias("component"))
+        own = minima.select(*by, "node", "component", F.lit(0).alias("fresh"))
+        return _by_join(symmetric, minima.withColumnRenamed("node", "src"), by, both, limit).unionByName(own)
+
+    tables = tables or RoundTables(pairs.sparkSession)
+    each = symmetric.groupBy(*by, "src").agg(F.min("dst").alias("component"), F.count(F.lit(1)).alias("edges"))
+    # A node with its minimum as only neighbour has a pair, but nothing to emit.
+    linked, emits = F.col("component") < F.col("src"), (F.col("component") < F.col("src")) & (F.col("edges") > 1)
+    nodes = tables.write(
+        each, "nodes", hot=F.count_if(F.col("edges") > limit), emits=F.count_if(emits), large=F.count_if(F.col("edges") > list_length)
+    )
+    own = nodes.df.filter(linked).select(*by, F.col("src").alias("node"), "component", F.lit(0).alias("fresh"))
+    if not nodes.sums["emits"]:
+        return own
+    minima = nodes.df.filter(emits).select(*by, "src", "component")
     if form == "join":
-        neighbours = _by_join(symmetric, minima, by, both, hot_rows)
+        neighbours = _by_join(symmetric, minima, by, both, limit, nodes)
     else:
-        tables = tables or RoundTables(pairs.sparkSession)
-        neighbours = _from_arrays(symmetric, minima, by, both, hot_rows, list_length, tables)
-    own = minima.select(*by, "node", "component", F.lit(0).alias("fresh"))
+        neighbours = _from_arrays(symmetric, minima, by, both, limit, list_length, nodes)
     return neighbours.unionByName(own)
 
 
 def _by_join(
-    symmetric: DataFrame, minima: DataFrame, by: Sequence[str], total: int | None, hot_rows: int | None
+    symmetric: DataFrame, minima: DataFrame, by: Sequence[str], total: int | None, limit: int, nodes: RoundTable | None = None
 ) -> DataFrame:
     """The new pairs, from the edges joined to the minima."""
-    smallest = minima.withColumnRenamed("node", "src")
+    hot, table_rows = None, None
+    if nodes is not None:
+        hot = nodes.df.filter(F.col("edges") > limit)
+        hot = hot.select(*by, "src", F.ceil(F.col("edges") / limit).cast("bigint").alias("_parts"))
+        table_rows = nodes.sums["emits"]
+        # Where no node is hot, no number of edges calls for salt.
+        total = total if nodes.sums["hot"] else 0
     return (
-        lookup(symmetric, smallest, "src", by, "inner", total, hot_rows=hot_rows)
+        lookup(symmetric, minima, "src", by, "inner", total, hot_rows=limit, table_rows=table_rows, hot=hot)
         .filter(F.col("dst") != F.col("component"))
         .select(*by, F.col("dst").alias("node"), "component", F.lit(1).alias("fresh"))
     )
@@ -71,17 +89,20 @@ def _from_arrays(
     minima: DataFrame,
     by: Sequence[str],
     total: int | None,
-    hot_rows: int | None,
+    limit: int,
     list_length: int,
-    tables: RoundTables,
+    nodes: RoundTable,
 ) -> DataFrame:
     """The new pairs, from neighbour lists: a node's only list has its minimum, split lists need a join."""
-    few, many = split_lists(tables, symmetric, by, list_length, hot_rows, total)
+    large = None
+    if nodes.sums["large"]:
+        large = nodes.df.filter(F.col("edges") > list_length)
+    few, many = split_by(large, symmetric, by, list_length, limit, total, nodes.sums["large"])
     component = smallest_in_neighbourhood(F.col("node"), F.col("neighbours"))
     listed = few.select(*by, "node", "neighbours", component.alias("component"))
     if many is not None:
         # A split node has a list in every part, so its rows are few and one minimum goes to each.
-        split = many.join(minima, [*by, "node"]).select(*by, "node", "neighbours", "component")
+        split = many.join(minima.withColumnRenamed("src", "node"), [*by, "node"]).select(*by, "node", "neighbours", "component")
         listed = listed.unionByName(split)
     fresh = F.filter("neighbours", lambda other: other != F.col("component"))
     return (

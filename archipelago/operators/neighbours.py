@@ -11,6 +11,8 @@ from archipelago.operators.lookup import lookup
 from archipelago.sources.round_tables import RoundTables
 
 LIST_LENGTH = 100_000
+# Nodes with several lists that may be sent to every task.
+FEW_LARGE = 100_000
 
 
 def neighbour_min(symmetric: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -40,22 +42,41 @@ def split_lists(
     None if there are none: which nodes those are is written first.
     """
     degrees = edges.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("edges"))
-    large = tables.write(
-        degrees.filter(F.col("edges") > list_length).select(
-            *by, "src", F.ceil(F.col("edges") / list_length).cast("bigint").alias("parts")
-        ),
-        "large-nodes",
-    )
+    large = tables.write(degrees.filter(F.col("edges") > list_length), "large-nodes")
+    if not large.rows:
+        tables.drop(large)
+        return split_by(None, edges, by, list_length, hot_rows, total)
+    return split_by(large.df, edges, by, list_length, hot_rows, total, large.rows)
+
+
+def split_by(
+    large: DataFrame | None,
+    edges: DataFrame,
+    by: Sequence[str] = (),
+    list_length: int = LIST_LENGTH,
+    hot_rows: int | None = None,
+    total: int | None = None,
+    large_rows: int | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The same, where it is known which nodes have more than ``list_length`` neighbours.
+
+    ``large`` are those (``src``) with their number of ``edges``, or None if there are none, and ``large_rows`` how many.
+    """
 
     def lists(edges: DataFrame) -> DataFrame:
+        # The rows of a list come together as they are, in one shuffle; lists begun in each task would all be shuffled.
         members = F.array_sort(F.collect_list("dst")).alias("neighbours")
-        return edges.groupBy(*by, F.col("src").alias("node"), "part").agg(members)
+        keyed = edges.select(*by, F.col("src").alias("node"), "part", "dst")
+        return keyed.repartition(*by, "node", "part").groupBy(*by, "node", "part").agg(members)
 
     whole = F.lit(0).cast("bigint")
-    if not large.rows:
-        tables.drop(large)
+    if large is None:
         return lists(edges.withColumn("part", whole)), None
-    found = lookup(edges, large.df, "src", by, "left", total, hot_rows=hot_rows)
+    large = large.select(*by, "src", F.ceil(F.col("edges") / list_length).cast("bigint").alias("parts"))
+    if large_rows is not None and large_rows <= FEW_LARGE:
+        found = edges.join(F.broadcast(large), [*by, "src"], "left")
+    else:
+        found = lookup(edges, large, "src", by, "left", total, hot_rows=hot_rows)
     few = found.filter(F.col("parts").isNull()).withColumn("part", whole)
     many = found.filter(F.col("parts").isNotNull()).withColumn("part", F.pmod(F.xxhash64("dst"), "parts"))
     return lists(few), lists(many)

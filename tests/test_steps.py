@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import archipelago as ar
-from archipelago.operators import as_edges, emitted_pairs
+from archipelago.operators import as_edges, emitted_pairs, lookup
 from archipelago.sources import RoundTables
 from tests.goldens import FIRST, LAST, SECOND, TOY
 from tests.model import step
@@ -142,3 +142,38 @@ def test_orientation(edges_of):
     assert ar.by_component(pairs).columns == ["component", "node"]
     assert as_edges(pairs).columns == ["src", "dst"]
     assert rows(ar.by_component(pairs)) == sorted(TOY)
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_step_without_links_needs_no_join(edges_of, hot_nodes):
+    """All hang on the smallest node already, which the minima say."""
+    star = ar.normalise(edges_of([(1, node) for node in range(2, 9)]))
+    for form in ("join", "array"):
+        emitted = emitted_pairs(star, form=form, total=7)
+        assert "Join" not in plan_of(emitted) and "collect_list" not in plan_of(emitted)
+        assert sorted(tuple(row) for row in emitted.collect()) == [(node, 1, 0) for node in range(2, 9)]
+
+
+def test_lists_are_made_after_the_shuffle(edges_of):
+    """Lists begun by each task would be shuffled, and grow in number with the tasks."""
+    lists = plan_of(ar.adjacency_lists(ar.symmetrize(edges_of([(1, 2), (2, 3), (3, 4)]))))
+    assert lists.index("partial_collect_list") < lists.index("Exchange")
+
+
+def test_large_tables_are_hashed_where_partitions_fit(spark, edges_of):
+    rows = edges_of([(1, 2), (2, 3)])
+    table = edges_of([(1, 5)]).withColumnRenamed("dst", "value")
+
+    def hinted(count):
+        return "SHUFFLE_HASH" in lookup(rows, table, "src", total=2, table_rows=count)._jdf.queryExecution().logical().toString().upper()
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert not hinted(None) and not hinted(1000)
+    spark.conf.set("spark.archipelago.hashed.rows", 3_000_000)
+    assert hinted(3_000_000 * partitions) and not hinted(3_000_000 * partitions + 1)
+    spark.conf.unset("spark.archipelago.hashed.rows")
+    both = sorted(tuple(row) for row in lookup(rows, table, "src", total=2, table_rows=3_000_000 // 2 * partitions).collect())
+    assert both == [(1, 2, 5), (2, 3, None)]
