@@ -64,8 +64,8 @@ def offences(
 
         of_node = labels.select(*by, "node", F.col("component").alias("label"))
         of_other = labels.select(*by, F.col("node").alias("component"), F.col("component").alias("other"))
-        ends = lookup(pairs.df, of_node, "node", by, "left", pairs.rows, hot_rows=hot_rows)
-        ends = scratch.write(lookup(ends, of_other, "component", by, "left", pairs.rows, pairs.df, hot_rows), "ends").df
+        ends = lookup(pairs.df, of_node, "node", by, "left", pairs.rows, hot_rows=hot_rows, table_rows=stored.rows)
+        ends = scratch.write(lookup(ends, of_other, "component", by, "left", pairs.rows, pairs.df, hot_rows, stored.rows), "ends").df
         missing = ends.filter(F.col("label").isNull()).select(*by, "node").unionByName(
             ends.filter(F.col("other").isNull()).select(*by, F.col("component").alias("node"))
         )
