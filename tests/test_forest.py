@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 import archipelago as ar
+from archipelago.sources.round_tables import RoundTables
 from archipelago.plans import certificate
 from tests.model import components
 from tests.test_components import SHAPES, edges_with_graph
@@ -157,3 +158,32 @@ def test_single_linkage(spark):
     assert found == expected
     with pytest.raises(ValueError, match="cut-offs"):
         ar.single_linkage(edges, [], by=BY)
+
+
+def test_rounds_hash_their_aggregates(edges_of):
+    """A minimum of structs would sort all edges."""
+    from archipelago.plans.forest import _distinct, witnessed_pairs, witnessed_pointers
+
+    pairs = witnessed_pairs(edges_of([(5, 2), (2, 5), (7, 5), (7, 2)]))
+    assert sorted(tuple(row) for row in pairs.collect()) == [(5, 2, 2, 5), (7, 2, 7, 2), (7, 5, 7, 5)]
+    pointers = witnessed_pointers(pairs)
+    assert sorted(tuple(row) for row in pointers.collect()) == [(5, 2, 2, 5, 1), (7, 2, 7, 2, 2)]
+    for frame in (pairs, pointers, _distinct(pairs, ())):
+        assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_linkage_rounds_carry_places(spark, tmp_path, monkeypatch):
+    """Edges are numbered in their order once, and shuffled with their number alone."""
+    columns = {}
+    write = RoundTables.write
+
+    def noted(self, df, name, *args, **sums):
+        columns.setdefault(name, df.columns)
+        return write(self, df, name, *args, **sums)
+
+    monkeypatch.setattr(RoundTables, "write", noted)
+    edges = [(1, 2, 3), (2, 1, 3), (3, 2, 3), (1, 3, 3), (3, 4, None), (5, 4, 1), (4, 1, 9), (5, 1, 9)]
+    given = spark.createDataFrame(edges, "src bigint, dst bigint, weight int")
+    forest = ar.minimum_spanning_forest(given, tables=RoundTables(spark, str(tmp_path)))
+    assert sorted(tuple(row) for row in forest.collect()) == [(1, 2, 3), (1, 3, 3), (4, 1, 9), (5, 4, 1)]
+    assert columns["pairs"] == ["node", "component", "place"]
