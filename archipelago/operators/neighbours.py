@@ -63,11 +63,11 @@ def split_by(
     ``large`` are those (``src``) with their number of ``edges``, or None if there are none, and ``large_rows`` how many.
     """
 
-    def lists(edges: DataFrame) -> DataFrame:
+    def lists(edges: DataFrame, *parts: str) -> DataFrame:
         # The rows of a list come together as they are, in one shuffle; lists begun in each task would all be shuffled.
         members = F.array_sort(F.collect_list("dst")).alias("neighbours")
         keyed = edges.select(*by, F.col("src").alias("node"), "part", "dst")
-        return keyed.repartition(*by, "node", "part").groupBy(*by, "node", "part").agg(members)
+        return keyed.repartition(*by, "node", *parts).groupBy(*by, "node", "part").agg(members)
 
     whole = F.lit(0).cast("bigint")
     if large is None:
@@ -79,7 +79,7 @@ def split_by(
         found = lookup(edges, large, "src", by, "left", total, hot_rows=hot_rows)
     few = found.filter(F.col("parts").isNull()).withColumn("part", whole)
     many = found.filter(F.col("parts").isNotNull()).withColumn("part", F.pmod(F.xxhash64("dst"), "parts"))
-    return lists(few), lists(many)
+    return lists(few), lists(many, "part")
 
 
 def adjacency_lists(
