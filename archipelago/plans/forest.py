@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.operators import lookup
-from archipelago.plans.contraction import Flat, flatten, hot_nodes, resolved
+from archipelago.plans.contraction import Flat, flatten, resolved
 from archipelago.sources.round_tables import RoundTables
 
 _WITNESS = ("src", "dst")
@@ -33,28 +33,24 @@ def witnessed_pairs(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _distinct(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per pair, with its smallest (``src``, ``dst``): columns are compared one by one, as structs cannot be hashed."""
-    of_source = pairs.groupBy(*by, "node", "component", "src").agg(F.min("dst").alias("dst"))
-    first = (F.min("src").alias("first"), F.min_by("dst", "src").alias("dst"))
-    return of_source.groupBy(*by, "node", "component").agg(*first).withColumnRenamed("first", "src")
+    first = F.min(F.struct(*_WITNESS)).alias("witness")
+    return pairs.groupBy(*by, "node", "component").agg(first).select(*by, "node", "component", "witness.*")
 
 
 def witnessed_pointers(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``node, parent, src, dst, pairs``: each node that has a smaller neighbour, its smallest one, the edge between them, and how many."""
+    """``node, parent, src, dst``: each node that has a smaller neighbour, its smallest one, and the edge between them."""
     # A node's pairs have different components, so no two are the smallest.
     of_smallest = [F.min_by(name, "component").alias(name) for name in _WITNESS]
-    return pairs.groupBy(*by, "node").agg(F.min("component").alias("parent"), *of_smallest, F.count(F.lit(1)).alias("pairs"))
+    return pairs.groupBy(*by, "node").agg(F.min("component").alias("parent"), *of_smallest)
 
 
-def _between(
-    pairs: DataFrame, roots: DataFrame, by: Sequence[str], total: int, hot_rows: int | None, root_rows: int, hot: DataFrame
-) -> DataFrame:
+def _between(pairs: DataFrame, roots: DataFrame, by: Sequence[str], total: int, hot_rows: int | None) -> DataFrame:
     """Pairs between the trees, each with one of the witnesses of its pairs."""
     of_node = roots.select(*by, "node", F.col("parent").alias("high"))
     of_component = roots.select(*by, F.col("node").alias("component"), F.col("parent").alias("root"))
-    moved = lookup(pairs, of_node, "node", by, "inner", total, None, hot_rows, root_rows, hot)
+    moved = lookup(pairs, of_node, "node", by, "inner", total, hot_rows=hot_rows)
     moved = moved.filter(F.col("high") != F.col("component")).drop("node")
-    ends = lookup(moved, of_component, "component", by, "left", total, pairs, hot_rows, root_rows)
+    ends = lookup(moved, of_component, "component", by, "left", total, pairs, hot_rows)
     low = F.coalesce("root", "component")
     ends = ends.withColumn("low", low).filter(F.col("high") != F.col("low"))
     pair = (F.greatest("high", "low").alias("node"), F.least("high", "low").alias("component"))
@@ -84,7 +80,7 @@ def spanning_forest(
         labels = resolved(scratch, forests, by, hot_rows)
         labels = labels.select(*by, F.col("node").alias("src"), "component")
         total = sum(forest.rows for forest in forests)
-        found = lookup(chosen, labels, "src", by, "left", total, hot_rows=hot_rows, table_rows=total)
+        found = lookup(chosen, labels, "src", by, "left", total, hot_rows=hot_rows)
         found = found.select(*by, *_WITNESS, F.coalesce("component", "src").alias("component"))
         return tables.write(found, "forest").df
 
@@ -106,9 +102,7 @@ def _rounds(
         forests.append(flatten(tables, first.df.select(*by, "node", "parent"), first.rows, by, hot_rows))
         if first.rows == current.rows:
             break
-        flat = forests[-1]
-        hot = hot_nodes(first.df, by, hot_rows)
-        between = _between(current.df, flat.pointers, by, current.rows, hot_rows, flat.rows, hot)
+        between = _between(current.df, forests[-1].pointers, by, current.rows, hot_rows)
         previous, current = current, tables.write(between, "pairs")
         tables.drop(previous)
     return chosen, forests
