@@ -1,7 +1,7 @@
 """Drop lines that many documents repeat, with levelled sorted runs of line hashes.
 
 The lines with a key are written once and arrive in batches of documents. A batch is reduced to one row per line key: how
-many of its documents hold it and the largest of them. The merge-anti-join with the runs of earlier batches decides
+many of its documents hold it and the largest of them. One merge join with the runs of earlier batches decides
 what becomes of it: keys that no run has are the batch's own run, so a key is in one run only; the others are
 updates of their counts. As soon as a level has ``FANOUT`` runs, they are compacted into one run of the next level and
 updates are added to the keys they belong to, so a key is rewritten a logarithmic number of times.
@@ -56,7 +56,10 @@ def keyed_lines(docs: DataFrame, length: int = KEY_LENGTH) -> DataFrame:
 
 @dataclass(frozen=True)
 class Run:
-    """``line, documents, largest``: the keys that were new, and updates of keys in earlier runs."""
+    """``line, documents, largest``: the keys that were new, and updates of keys in earlier runs.
+
+    Both are parts of one table.
+    """
 
     keys: RoundTable
     updates: RoundTable | None = None
@@ -81,8 +84,16 @@ class LineRuns:
         self._fanout = fanout
         self.levels: list[list[Run]] = [[]]
 
-    def _write(self, rows: DataFrame, name: str) -> RoundTable:
-        return self._tables.write(rows.select("line", "documents", "largest").sortWithinPartitions("line"), name)
+    def _write(self, rows: DataFrame, name: str) -> Run:
+        """A run of ``line, documents, largest, own``, its updates apart: one table, sorted by key in each part."""
+        rows = rows.select("line", "documents", "largest", "own").sortWithinPartitions("own", "line")
+        written = self._tables.write(rows, name, partition_by=("own",), fresh=F.count_if("own"))
+        fresh = written.sums["fresh"]
+        keys, updates = (
+            RoundTable(written.df.filter(chosen).drop("own"), written.path, number, {})
+            for chosen, number in ((F.col("own"), fresh), (~F.col("own"), written.rows - fresh))
+        )
+        return Run(keys, updates if updates.rows else None)
 
     def _all(self) -> list[Run]:
         return [run for level in self.levels for run in level]
@@ -100,18 +111,13 @@ class LineRuns:
             .agg(F.count(F.lit(1)).alias("documents"), F.max("doc_id").alias("largest"))
         )
         earlier = self._all()
-        if not earlier:
-            run = Run(self._write(own, "run-0"))
-        else:
-            held = self._tables.write(own, "batch")
+        if earlier:
             # No key is in two runs.
-            known = union(*[run.keys.df.select("line") for run in earlier]).hint("merge")
-            fresh = self._write(held.df.join(known, "line", "left_anti"), "run-0")
-            updates = None
-            if fresh.rows < held.rows:
-                updates = self._write(held.df.join(known, "line", "left_semi"), "updates-0")
-            self._tables.drop(held)
-            run = Run(fresh, updates)
+            known = union(*[run.keys.df.select("line") for run in earlier]).withColumn("known", F.lit(True))
+            own = own.join(known.hint("merge"), "line", "left").withColumn("own", F.col("known").isNull())
+        else:
+            own = own.withColumn("own", F.lit(True))
+        run = self._write(own, "run-0")
         self.levels[0].append(run)
         return run
 
@@ -122,13 +128,8 @@ class LineRuns:
                 full, self.levels[level] = self.levels[level], []
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                merged = self._tables.write(_merged(full), "merged")
-                keys = self._write(merged.df.filter("own"), f"run-{level + 1}")
-                updates = None
-                if keys.rows < merged.rows:
-                    updates = self._write(merged.df.filter("not own"), f"updates-{level + 1}")
-                self.levels[level + 1].append(Run(keys, updates))
-                self._tables.drop(merged, *[table for run in full for table in (run.keys, run.updates) if table])
+                self.levels[level + 1].append(self._write(_merged(full), f"run-{level + 1}"))
+                self._tables.drop(*[run.keys for run in full])
             level += 1
 
     def repeated(self, documents: int = DOCUMENTS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from archipelago.llm import line_runs
+from archipelago.sources.round_tables import RoundTables
 from tests.llm import brute
 from tests.llm.conftest import same
 
@@ -54,3 +55,18 @@ def test_batches_follow_the_lines(docs, rows, monkeypatch):
     monkeypatch.setattr(line_runs, "BATCH_LINES", 40)
     same(line_runs.drop_repeated_lines(docs, None, 20, 3).collect(), brute.without_lines([r[:2] for r in rows], 20, 3))
     assert 2 < len(added) <= line_runs.MOST_BATCHES
+
+
+def test_a_batch_meets_the_runs_once(spark, monkeypatch):
+    written = []
+    write = RoundTables.write
+    monkeypatch.setattr(RoundTables, "write", lambda self, df, name, **more: written.append(df) or write(self, df, name, **more))
+    runs = line_runs.LineRuns(spark)
+    long = "a line that is long enough to have a key of its own, number {}"
+    for batch in range(3):
+        texts = [(batch, "\n".join([long.format(batch), long.format("x")]))]
+        runs.add(line_runs.keyed_lines(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    # One table for each batch, with its keys and its updates, from one join with all runs before.
+    assert len(written) == 3
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in written]
+    assert joins == [0, 1, 1]
