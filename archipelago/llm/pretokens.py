@@ -21,6 +21,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 # Slots of the table of known pieces; it starts anew when half of them are taken, and what does not fit into an empty
 # one is encoded half a table at a time.
 _SLOTS = 1 << 21
+# Words that the tokenizer gets as one text.
+_TOGETHER = 500
 
 
 class PieceEncoder:
@@ -40,6 +42,13 @@ class PieceEncoder:
         names = sorted((t.content for t in tokens), key=len, reverse=True)
         self._added = re.compile("|".join(map(re.escape, names))) if names else None
         self._end = end
+        # What a tokenizer may do to a whole text depends on what is in it.
+        about = (self._tokenizer.normalizer, self._tokenizer.truncation, self._tokenizer.padding)
+        self._joinable = all(part is None for part in about)
+        # The bytes of each id; a byte-level entry has a character for each.
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._bytes = np.zeros(self._tokenizer.get_vocab_size() + max(vocabulary.values(), default=0) + 1, np.int64)
+        self._bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         self._kinds = np.full(0x110000, 255, np.uint8)
         self._values = mix(np.arange(1, 0x110001, dtype=np.uint64))
         self._forget()
@@ -132,10 +141,44 @@ class PieceEncoder:
         return out
 
     def _remember(self, keys: np.ndarray, pieces: list[str]) -> None:
-        encoded = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        ids = [one.ids for one in encoded]
+        words = self._words(pieces)
+        for chosen, encoded in ((words, self._encoded_together), (~words, self._encoded_apart)):
+            at = np.flatnonzero(chosen)
+            if len(at):
+                self._put(keys[at], *encoded([pieces[i] for i in at.tolist()]))
+
+    def _words(self, pieces: list[str]) -> np.ndarray:
+        """Whether a piece is a blank and letters: one after the other, such pieces are cut as they are alone."""
+        points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        first = np.cumsum(sizes) - sizes
+        fits = self._kind_of(points) == _LETTER
+        fits[first] = points[first] == 0x20
+        return np.logical_and.reduceat(fits, first) & (sizes > 1) & self._joinable
+
+    def _encoded_apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pieces, one after the other, and how many each has."""
+        ids = [one.ids for one in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
+        return np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum())), sizes
+
+    def _encoded_together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words: many are given to the tokenizer as one text, and told apart by the bytes of their ids."""
+        texts = ["".join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+        if self._added is not None and any(map(self._added.search, texts)):
+            return self._encoded_apart(words)
+        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(one.ids, np.uint32) for one in encoded])
+        ends = np.cumsum(self._bytes[ids])
+        limits = np.cumsum(np.fromiter((len(word.encode()) for word in words), np.int64, len(words)))
+        last = np.searchsorted(ends, limits)
+        # A tokenizer that has no ids for some bytes leaves them out.
+        if not len(ends) or ends[-1] != limits[-1] or (ends[last] != limits).any():
+            return self._encoded_apart(words)
+        return ids, np.diff(last + 1, prepend=0).astype(np.int32)
+
+    def _put(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Into the memory: pieces by their keys, their ids one after the other, and how many each has."""
         first, self._count = self._count, self._count + len(keys)
         for name in ("_starts", "_sizes"):
             if self._count > len(getattr(self, name)):
@@ -179,16 +222,18 @@ class PieceEncoder:
     def _ids_of(self, keys: np.ndarray, spelled: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and how many each has; ``spelled`` gives the pieces at some places."""
         places = self._find(keys)
-        if (places < 0).any():
-            new, first = np.unique(np.where(places < 0, keys, np.uint64(0)), return_index=True)
-            new, first = new[new > 0], first[new > 0]
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            new, first = np.unique(keys[unknown], return_index=True)
+            first = unknown[first]
             if 2 * (self._count + len(new)) > _SLOTS:
                 self._forget()
+                unknown = np.arange(len(keys))
                 new, first = np.unique(keys, return_index=True)
                 if 2 * (self._count + len(new)) > _SLOTS:
                     return self._ids_in_halves(keys, spelled)
             self._remember(new, spelled(first))
-            places = self._find(keys)
+            places[unknown] = self._find(keys[unknown])
         sizes = self._sizes[places]
         total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         at = np.repeat(self._starts[places] - total[:-1], sizes) + np.arange(total[-1])

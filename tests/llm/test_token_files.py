@@ -129,3 +129,41 @@ def test_damage_is_noticed():
     other = rans.Frequencies.from_counts(np.arange(1, 8))
     with pytest.raises(ValueError, match="another"):
         rans.Decoder(other).decode(rans.encode(ids, table))
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self._tokenizer = tokenizer
+        self.texts = 0
+
+    def __getattr__(self, name):
+        return getattr(self._tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self._tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_are_encoded_together(vocabulary, plain):
+    draw = random.Random(2)
+    words = {"".join(draw.choices("etaoinshré漢", k=draw.randint(2, 12))) for _ in range(3000)}
+    texts = [" ".join(["", *sorted(words)[i::3]]) for i in range(3)]
+    encoder = PieceEncoder(vocabulary, 2)
+    encoder._tokenizer = Counted(encoder._tokenizer)
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    expected = [plain(text) for text in texts]
+    assert counts.tolist() == [len(one) for one in expected]
+    assert ids.tolist() == [x for one in expected for x in one]
+    assert encoder._tokenizer.texts < len(words) / 100
+
+
+@pytest.mark.parametrize("added", ["b ca", " ab", "ca"])
+def test_added_tokens_between_words(vocabulary, added):
+    tokenizer = tokenizers.Tokenizer.from_str(vocabulary)
+    tokenizer.add_tokens([added])
+    texts = [" xb yy xb", " ca cab", " xab abc xb zca abab ca ab", " xb", " cay ab"]
+    ids, _ = PieceEncoder(tokenizer.to_str(), 2, added=True).encode(pa.array(texts, pa.string()))
+    expected = [[*tokenizer.encode(text, add_special_tokens=False).ids, 2] for text in texts]
+    assert ids.tolist() == [x for one in expected for x in one]
