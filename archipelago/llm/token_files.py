@@ -150,6 +150,8 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end: int = 2)
     first = (F.col("before") + F.col("within")).alias("first_id")
     blocks = coded.join(F.broadcast(parts), "part").select(first, "doc_ids", "sizes", "n_ids", "block")
     blocks.write.parquet(f"{path}/blocks")
+    # The driver is done with its tokenizer and counts: what is free of them goes back, as for tasks.
+    release()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

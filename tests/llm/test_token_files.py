@@ -52,6 +52,13 @@ def test_empty_table(spark, no_docs, vocabulary, tmp_path):
     assert read(spark, no_docs, vocabulary, str(tmp_path / "file")).collect() == []
 
 
+def test_driver_gives_memory_back(no_docs, vocabulary, tmp_path, monkeypatch):
+    freed = []
+    monkeypatch.setattr(token_files, "release", lambda: freed.append(1))
+    token_files.write_tokens(no_docs, vocabulary, str(tmp_path / "file"))
+    assert freed == [1]
+
+
 def test_pieces_are_those_of_the_tokenizer(vocabulary, plain):
     import random
 
