@@ -32,6 +32,18 @@ def test_words_and_hashes(rows, size):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_powers():
+    for size in (0, 1, 2, 3, 4, 5, 100):
+        assert arrays.powers(12345, size).tolist() == [pow(12345, i, 1 << 64) for i in range(size)]
+
+
+def test_eight_bytes():
+    data = np.random.default_rng(1).integers(0, 256, 40).astype(np.uint8)
+    for given in (data, data[3:30], data[::2], data[:8], data[:7], data[:0]):
+        expected = [int.from_bytes(given[i : i + 8].tobytes(), "little") for i in range(max(len(given) - 7, 0))]
+        assert arrays.eight_bytes(given).tolist() == expected
+
+
 def test_shingles(rows):
     names: dict = {}
     for first, end, data, limits in arrays.text_pieces(column(rows), 5000):
