@@ -121,3 +121,62 @@ def test_status_line(spark):
     found = {r["refers_to"]: r["block"] for r in warc.derivatives(sources).filter("kind = 'metadata'").collect()}
     said = [found[f"<urn:uuid:{i}>"].split("\r\n")[1] for i in range(len(headers))]
     assert said == [f"source-status: {x}" for x in ("HTTP/1.1 404 Not Found", "", "", "", "HTTP/2 200", "HTTP/1.0 200 OK")]
+
+
+def by_expressions(html):
+    """The steps before references are decoded, as Spark's own expressions."""
+    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    for name in warc.HIDDEN:
+        text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
+    text = F.regexp_replace(text, r"[\r\n\t ]+", " ")
+    text = F.regexp_replace(text, rf"(?i)</?({warc.BREAKS})\b[^>]*>", "\n")
+    return F.regexp_replace(text, r"(?s)<[^>]*>", "")
+
+
+def test_odd_pages_are_read_as_by_expressions(spark):
+    import random
+    from html import unescape
+
+    draw = random.Random(3)
+    names = [*warc.HIDDEN, *warc.BREAKS.split("|"), "b", "headline", "scripté", "ṕ", "p1", "p-x", "p_", "ſcript", "blocKquote"]
+    after = ["", " ", "\t", "\n", "\x0b", "\f", "\xa0", "/", " a='x'", " a='>'", "é", "́", "١", "⃣", "日", "😀", "'"]
+    plain = ["a", " ", "  ", "\n", "\r\n", "\t", "é", "日本", "\x0b", "\x00", "&amp;", "&amp;lt;", "&nbsp;", "&#160;", "&copy;", "\xa0", "&lt;p&gt;",
+             "<", ">", "</", "<!--", "-->", "--", "\\1", "$1"]
+
+    def piece():
+        if draw.random() < 0.4:
+            return draw.choice(plain)
+        name = draw.choice(names[:5] if draw.random() < 0.5 else names)
+        name = "".join(draw.choice((c, c.upper() if c.isascii() else c)) for c in name)
+        return f"<{draw.choice(('', '/'))}{name}{draw.choice(after) if draw.random() < 0.5 else ''}{draw.choice('>>>>>> ')}"
+
+    pages = [(i, "u", "".join(piece() for _ in range(draw.randint(0, 40)))) for i in range(3000)] + [(3000, "u", None)]
+    given = spark.createDataFrame(pages, SCHEMA)
+    found = given.select("page_id", by_expressions(F.col("html")), warc.plain_text("html", True), warc.plain_text("html")).collect()
+
+    def lines(text):
+        import re
+
+        return re.sub(r" *\n[ \n]*", "\n", text).strip(" \n")
+
+    def six(text):
+        for entity, character in warc.ENTITIES:
+            text = text.replace(entity, character)
+        return text
+
+    same(
+        [(i, every, few) for i, _, every, few in found],
+        [(i, None, None) if t is None else (i, lines(unescape(t).replace("\xa0", " ")), lines(six(t))) for i, t, _, _ in found],
+    )
+
+
+def test_long_pages_that_leave_elements_open(spark):
+    """Time is linear in a page's length; where each open tag is searched to the end of the page this takes minutes."""
+    import time
+
+    pages = [(i, "u", tag * 300_000) for i, tag in enumerate(("<script>", "<!--", "<head a='x'>", "&nbsp;"))]
+    given = spark.createDataFrame(pages, SCHEMA)
+    start = time.monotonic()
+    found = given.select("page_id", warc.plain_text("html", True)).collect()
+    assert time.monotonic() - start < 30
+    same(found, [(0, ""), (1, "<!--" * 300_000), (2, ""), (3, "")])
