@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from archipelago.operators import dedup, emitted_pairs, normalise
+from archipelago.operators import normalise
+from archipelago.operators.ccf import FORMS, crowded, hold, linked
+from archipelago.operators.lookup import hot_limit
 from archipelago.sources.round_tables import RoundTables
 
 LOG_SCHEMA = "iteration bigint, new_pairs bigint, pairs bigint"
@@ -36,25 +37,38 @@ def run_ccf(
 ) -> CcfRun:
     """Repeat the CCF step on ``edges`` (``src``, ``dst``) to its fixpoint.
 
-    Each step is one job, which writes the step's pairs and counts them on the way; the driver sees
-    two numbers per step. The last step's pairs are one table of ``tables``; all others are
+    Each step writes its pairs, those of a node together, and counts them on the way; the driver sees
+    a few numbers per step. The last step's pairs are one table of ``tables``; all others are
     deleted, also if a step raises.
     """
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {FORMS}, not {form!r}")
     if max_rounds < 1:
         raise ValueError(f"max_rounds must be 1 at least, not {max_rounds}")
     tables = tables or RoundTables(edges.sparkSession)
     log: list[tuple[int, int, int]] = []
     with tables.temporary() as scratch:
-        pairs = scratch.write(normalise(edges, by), "pairs")
+        given = scratch.write(normalise(edges, by), "pairs")
+        crowd = crowded(scratch, given.df, by, given.rows, hot_rows)
+        held, centres = hold(scratch, given.df, by, form, crowd, hot_rows), None
+        scratch.drop(given)
         while not log or log[-1][1]:
             if len(log) == max_rounds:
                 raise RuntimeError(f"still {log[-1][1]} new pairs after {max_rounds} steps")
-            emitted = emitted_pairs(pairs.df, by, form, pairs.rows, hot_rows, tables=scratch)
-            fresh = F.coalesce(F.sum("fresh"), F.lit(0))
-            previous, pairs = pairs, scratch.write(dedup(emitted, by), "step", new_pairs=fresh)
-            scratch.drop(previous)
-            log.append((len(log) + 1, pairs.sums["new_pairs"], pairs.rows))
-        kept = tables.write(pairs.df.select(*by, "node", "component"), "components")
+            # Small steps are one job each, and Spark sees what it can broadcast.
+            aside = scratch if 2 * held.pairs > hot_limit(edges.sparkSession, hot_rows) else None
+            links, few, fresh = linked(aside, held, by, centres, crowd, hot_rows)
+            if not fresh:
+                log.append((len(log) + 1, 0, held.nodes))
+                break
+            previous, held = held, hold(scratch, links, by, form, crowd, hot_rows, combine=few, name="step")
+            centres = previous.centres
+            # Besides the new pairs, each node emits the one to its smallest neighbour.
+            log.append((len(log) + 1, held.emitted - previous.nodes, held.pairs))
+            scratch.drop(*previous.written)
+            if log[-1][1]:
+                crowd = crowded(scratch, held.rows, by, held.pairs, hot_rows)
+        kept = tables.write(held.rows.select(*by, "node", "component"), "components")
     return CcfRun(kept.df, log)
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 import archipelago as ar
 from archipelago.operators import as_edges, emitted_pairs, lookup
+from archipelago.operators.ccf import crowded
 from archipelago.sources import RoundTables
 from tests.goldens import FIRST, LAST, SECOND, TOY
-from tests.model import step
+from tests.model import counts, step
 
 
 def rows(df):
@@ -177,3 +178,84 @@ def test_large_tables_are_hashed_where_partitions_fit(spark, edges_of):
     spark.conf.unset("spark.archipelago.hashed.rows")
     both = sorted(tuple(row) for row in lookup(rows, table, "src", total=2, table_rows=3_000_000 // 2 * partitions).collect())
     assert both == [(1, 2, 5), (2, 3, None)]
+
+
+class SeenSteps(RoundTables):
+    """Keeps the names and plans of what is written."""
+
+    plans: list[tuple[str, str]] = []
+
+    def write(self, df, name, **how):
+        self.plans.append((name, plan_of(df)))
+        return super().write(df, name, **how)
+
+
+@pytest.fixture
+def seen_steps(monkeypatch):
+    monkeypatch.setattr(SeenSteps, "temporary", lambda self: SeenSteps(self._spark, self.folder))
+    SeenSteps.plans = []
+    return SeenSteps
+
+
+@pytest.mark.parametrize("form", ["join", "array"])
+def test_a_step_shuffles_pairs_and_links_once(spark, edges_of, seen_steps, form):
+    """By component the pairs and the minima, by node the links; the edges of both directions are not shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ar.run_ccf(edges_of(TOY), form=form, tables=seen_steps(spark))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    steps = [plan for name, plan in seen_steps.plans if name == "step"]
+    assert steps
+    for plan in steps:
+        assert plan.count("Exchange hashpartitioning") == 3
+        assert "inline" not in plan
+
+
+@pytest.mark.parametrize("form", ["join", "array"])
+@pytest.mark.parametrize("bytes_sent", [0, 1 << 20])
+def test_large_steps_log_true_counts(spark, edges_of, hot_nodes, seen_steps, form, bytes_sent):
+    """With crowded nodes, and with the minima of the centres shuffled or sent to every task."""
+    spark.conf.set("spark.archipelago.broadcast.bytes", str(bytes_sent))
+    high = [(n, 300) for n in range(100, 130)]
+    edges = [(a, b) for a, b in HUBS + high if a != b]
+    try:
+        run = ar.run_ccf(edges_of(edges), form=form, tables=seen_steps(spark))
+    finally:
+        spark.conf.unset("spark.archipelago.broadcast.bytes")
+    assert [new for _, new, _ in run.log] == counts(edges)
+    names = {name for name, _ in seen_steps.plans}
+    assert "crowded" in names and ("centres" in names) == (bytes_sent > 0)
+    model = edges
+    for _, new, pairs in run.log:
+        model, expected = step(model)
+        assert (new, pairs) == (expected, len(model))
+    assert set(rows(run.pairs)) == set(model)
+
+
+@pytest.mark.parametrize("groups", [1, 1 << 16])
+def test_crowded_nodes_are_those_above_the_limit(spark, edges_of, monkeypatch, groups):
+    from archipelago.operators import ccf
+
+    monkeypatch.setattr(ccf, "GROUPS", groups)
+    pairs = ar.normalise(edges_of([(0, n) for n in range(1, 31)] + [(n, 100) for n in range(1, 11)] + [(200, 201)]))
+    tables = RoundTables(spark)
+    found = crowded(tables, pairs, total=41, hot_rows=10)
+    assert rows(found) == [(0, 30)]
+    assert rows(crowded(tables, pairs, total=41, list_length=9)) == [(0, 30), (100, 10)]
+    assert crowded(tables, pairs, total=41, hot_rows=30) is None
+    assert crowded(tables, pairs, total=41, hot_rows=82) is None
+
+
+def test_many_smaller_neighbours_are_held_in_parts(spark, edges_of, tmp_path):
+    from archipelago.operators.ccf import hold
+
+    pairs = ar.normalise(edges_of([(n, 500) for n in range(1, 101)] + [(1, 2)]))
+    tables = RoundTables(spark, str(tmp_path))
+    held = hold(tables, pairs, form="array", crowd=crowded(tables, pairs, total=101, list_length=10), list_length=10)
+    assert (held.pairs, held.nodes) == (101, 2)
+    assert sorted(tuple(row) for row in held.rows.select("node", "component", "smallest").collect()) == [
+        (2, 1, 1), *[(500, n, 1) for n in range(1, 101)],
+    ]
+    assert rows(held.minima.select("node", "smallest")) == [(2, 1), (500, 1)]
+    assert max(row.n for row in held.df.select(F.size("components").alias("n")).collect()) < 40
