@@ -61,7 +61,9 @@ def run_ccf(
             if not fresh:
                 log.append((len(log) + 1, 0, held.nodes))
                 break
-            previous, held = held, hold(scratch, links, by, form, crowd, hot_rows, combine=few, name="step")
+            # The neighbours of a crowded node may all emit the same link to it.
+            combine = few or crowd is not None
+            previous, held = held, hold(scratch, links, by, form, crowd, hot_rows, combine=combine, name="step")
             centres = previous.centres
             # Besides the new pairs, each node emits the one to its smallest neighbour.
             log.append((len(log) + 1, held.emitted - previous.nodes, held.pairs))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +260,17 @@ def test_many_smaller_neighbours_are_held_in_parts(spark, edges_of, tmp_path):
     ]
     assert rows(held.minima.select("node", "smallest")) == [(2, 1), (500, 1)]
     assert max(row.n for row in held.df.select(F.size("components").alias("n")).collect()) < 40
+
+
+@pytest.mark.parametrize("form", ["join", "array"])
+def test_equal_links_of_a_crowded_node_are_one_before_the_shuffle(spark, edges_of, hot_nodes, seen_steps, form):
+    """All members of a hub have the same smaller neighbour, so each of them links the hub to it."""
+    edges = [(50, node) for node in range(100, 160)] + [(1, node) for node in range(100, 160)]
+    spark.conf.set("spark.archipelago.broadcast.bytes", "0")
+    try:
+        run = ar.run_ccf(edges_of(edges), form=form, tables=seen_steps(spark))
+    finally:
+        spark.conf.unset("spark.archipelago.broadcast.bytes")
+    assert run.log[0] == (1, 60, 61)
+    first = next(plan for name, plan in seen_steps.plans if name == "step")
+    assert re.search(r"HashAggregate\(keys=\[node#\d+L?, component#\d+L?\], functions=\[partial_count", first)
